@@ -91,3 +91,170 @@ _reg("target_name_match",
      f"SELECT p_type AS name, {OP.name_match_sql('p_type')} AS suggests_target FROM part")
 _reg("profile_document", _on("fx_dirty_orders", P.profile_document), None)
 _reg("profile_digest", _on("fx_dirty_orders", P.profile_digest), None)
+
+
+# ---------------------------------------------------------------- cleaning
+from tabvet.functions.constants import MISSING_MARKERS  # noqa: E402
+from tabvet.operators import ask as Q  # noqa: E402
+from tabvet.operators import clean as C  # noqa: E402
+from tabvet.sources.fixtures import with_ctes  # noqa: E402
+
+_DIRTY_COLS = [n for n, _ in OP.SCHEMAS["fx_dirty_orders"]]
+_DIRTY_TEXT = [n for n, d in OP.SCHEMAS["fx_dirty_orders"] if d == "string"]
+_MARKERS_SQL = ", ".join(OP.lit(m) for m in MISSING_MARKERS)
+
+
+def _trim_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _null_sql(c: str) -> str:
+    return f"CASE WHEN lower({_trim_sql(c)}) IN ({_MARKERS_SQL}) THEN NULL ELSE {c} END"
+
+
+def _dirty_select(fn) -> str:
+    return ", ".join((fn(c) + f" AS {c}") if c in _DIRTY_TEXT else c for c in _DIRTY_COLS)
+
+
+_TRIMMED = f"SELECT {_dirty_select(_trim_sql)} FROM fx_dirty_orders"
+_NULLED_AFTER_TRIM = f"SELECT {', '.join((_null_sql(c) + ' AS ' + c) if c in _DIRTY_TEXT else c for c in _DIRTY_COLS)} FROM ({_TRIMMED}) t"
+
+
+def _dirty(spark, sf):
+    return relation(spark, sf, "fx_dirty_orders")
+
+
+_reg("clean_trim", lambda s, sf: C.trim_text(_dirty(s, sf)), with_ctes(_TRIMMED, "fx_dirty_orders"))
+_reg("clean_trim_counts", lambda s, sf: C.trim_counts(_dirty(s, sf)), with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} <> {_trim_sql(c)}) AS BIGINT) AS rows_changed FROM fx_dirty_orders"
+    for c in _DIRTY_TEXT), "fx_dirty_orders"))
+_reg("clean_missing", lambda s, sf: C.normalise_missing(_dirty(s, sf)),
+     with_ctes(f"SELECT {_dirty_select(_null_sql)} FROM fx_dirty_orders", "fx_dirty_orders"))
+_reg("clean_missing_counts", lambda s, sf: C.missing_counts(_dirty(s, sf)), with_ctes(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count_if({c} IS NOT NULL AND lower({_trim_sql(c)}) IN ({_MARKERS_SQL})) AS BIGINT) AS n_nulled FROM fx_dirty_orders"
+    for c in _DIRTY_TEXT), "fx_dirty_orders"))
+_reg("clean_empty_columns",
+     lambda s, sf: C.empty_columns(C.normalise_missing(C.trim_text(_dirty(s, sf)))),
+     with_ctes(" UNION ALL ".join(
+         f"SELECT {i} AS position, '{c}' AS column_name FROM ({_NULLED_AFTER_TRIM}) n HAVING count({c}) = 0"
+         for i, c in enumerate(_DIRTY_COLS)), "fx_dirty_orders"))
+_reg("clean_dedupe", lambda s, sf: C.drop_duplicate_rows(_dirty(s, sf)),
+     with_ctes("SELECT DISTINCT * FROM fx_dirty_orders", "fx_dirty_orders"))
+_CLEAN_KEEP = [c for c in _DIRTY_COLS if c not in ("junk", "empty_col")]
+_reg("clean_table", lambda s, sf: C.clean(_dirty(s, sf)).table,
+     with_ctes(f"SELECT DISTINCT {', '.join(_CLEAN_KEEP)} FROM ({_NULLED_AFTER_TRIM}) t", "fx_dirty_orders"))
+_reg("clean_report", lambda s, sf: C.clean(_dirty(s, sf)).report, with_ctes(f"""
+SELECT * FROM (
+SELECT 1 AS step, 'trim_whitespace' AS action, '{C.TRIM_DETAIL}' AS detail, CAST(0 AS BIGINT) AS rows_affected,
+       string_agg(column_name, ',' ORDER BY position) AS columns, count(*) AS n FROM (
+  {" UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS column_name FROM fx_dirty_orders HAVING count_if({c} <> {_trim_sql(c)}) > 0" for i, c in enumerate(_DIRTY_COLS) if c in _DIRTY_TEXT)}) t
+UNION ALL
+SELECT 2, 'normalise_missing', '{C.MISSING_DETAIL}', CAST(sum(n) AS BIGINT), string_agg(column_name, ',' ORDER BY column_name), count(*) FROM (
+  {" UNION ALL ".join(f"SELECT '{c}' AS column_name, count_if({c} IS NOT NULL AND lower({c}) IN ({_MARKERS_SQL})) AS n FROM ({_TRIMMED}) t0 HAVING n > 0" for c in _DIRTY_TEXT)}) t
+UNION ALL
+SELECT 3, 'drop_empty_columns', '{C.EMPTY_DETAIL}', CAST(0 AS BIGINT), string_agg(column_name, ',' ORDER BY position), count(*) FROM (
+  {" UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS column_name FROM ({_NULLED_AFTER_TRIM}) t1 HAVING count({c}) = 0" for i, c in enumerate(_DIRTY_COLS))}) t
+UNION ALL
+SELECT 4, 'drop_duplicate_rows', '{C.DEDUPE_DETAIL}', a - b, '', a - b FROM
+  (SELECT count(*) AS a FROM ({_NULLED_AFTER_TRIM}) t2) x,
+  (SELECT count(*) AS b FROM (SELECT DISTINCT {', '.join(_CLEAN_KEEP)} FROM ({_NULLED_AFTER_TRIM}) t3) y) z
+) r WHERE n > 0""".replace("SELECT * FROM (", "SELECT step, action, detail, rows_affected, columns FROM (", 1), "fx_dirty_orders"))
+_reg("clean_summary", lambda s, sf: C.clean(_dirty(s, sf)).summary, with_ctes(f"""
+SELECT (SELECT count(*) FROM fx_dirty_orders) AS rows_before,
+       (SELECT count(*) FROM (SELECT DISTINCT {', '.join(_CLEAN_KEEP)} FROM ({_NULLED_AFTER_TRIM}) t) d) AS rows_after,
+       CAST({len(_DIRTY_COLS)} AS BIGINT) AS columns_before, CAST({len(_CLEAN_KEEP)} AS BIGINT) AS columns_after,
+       true AS changed""", "fx_dirty_orders"))
+_reg("clean_then_profile",
+     lambda s, sf: P.column_profile(C.clean(_dirty(s, sf)).table).select(
+         "column_name", "semantic_type", "null_count", "unique_count"), None)
+
+
+# ---------------------------------------------------------------- ad-hoc questions
+def _fx(sql: str) -> str:
+    return with_ctes(sql, "fx_dirty_orders")
+
+
+_reg("ask_overview", lambda s, sf: Q.overview(_dirty(s, sf)), _fx(" UNION ALL ".join(
+    f"SELECT (SELECT count(*) FROM fx_dirty_orders) AS rows, {i} AS position, '{c}' AS column_name, "
+    f"'{'numeric' if OP.cls_of(d) in ('integral', 'fractional', 'boolean') else 'text'}' AS kind, "
+    f"CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, count(DISTINCT {c}) AS distinct FROM fx_dirty_orders"
+    for i, (c, d) in enumerate(OP.SCHEMAS["fx_dirty_orders"]))))
+_reg("ask_describe_numeric", lambda s, sf: Q.describe(_dirty(s, sf), "price"), _fx("""
+SELECT 'price' AS column_name, CAST(count_if(price IS NULL) AS BIGINT) AS nulls,
+       round(CAST(count_if(price IS NULL) AS DOUBLE) / count(*) * 100, 2) AS null_pct,
+       count(DISTINCT price) AS distinct, min(price) AS min, max(price) AS max, avg(price) AS mean,
+       median(price) AS median, CASE WHEN count(price) > 1 THEN stddev_samp(price) END AS std
+FROM fx_dirty_orders"""))
+_reg("ask_describe_text", lambda s, sf: Q.describe(_dirty(s, sf), "Status_Raw"), _fx("""
+SELECT 'status_raw' AS column_name, h.nulls, h.null_pct, h.distinct, CAST(c.rank AS INTEGER) AS rank, c.value, c.count
+FROM (SELECT CAST(count_if(status_raw IS NULL) AS BIGINT) AS nulls,
+             round(CAST(count_if(status_raw IS NULL) AS DOUBLE) / count(*) * 100, 2) AS null_pct,
+             count(DISTINCT status_raw) AS distinct FROM fx_dirty_orders) h,
+     (SELECT value, count, row_number() OVER (ORDER BY count DESC, value ASC) AS rank FROM (
+        SELECT status_raw AS value, count(*) AS count FROM fx_dirty_orders WHERE status_raw IS NOT NULL GROUP BY 1) g) c
+WHERE c.rank <= 10"""))
+_reg("ask_top_values", lambda s, sf: Q.top(relation(s, sf, "lineitem"), "l_suppkey", 10), """
+SELECT 'l_suppkey' AS column_name, CAST(rank AS INTEGER) AS rank, CAST(v AS VARCHAR) AS value, count,
+       round(CAST(count AS DOUBLE) / (SELECT count(*) FROM lineitem) * 100, 2) AS pct
+FROM (SELECT v, count, row_number() OVER (ORDER BY count DESC, v ASC) AS rank FROM (
+        SELECT l_suppkey AS v, count(*) AS count FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1) g) t
+WHERE rank <= 10""")
+
+
+def _agg_sql(rel: str, group: str, stat: str, metric_name: str, fixture: bool) -> str:
+    sql = f"""
+SELECT '{group}' AS group_by, '{metric_name}' AS metric_name, CAST(rank AS INTEGER) AS rank,
+       CAST(g AS VARCHAR) AS "group", metric, total_groups > 25 AS truncated, total_groups
+FROM (SELECT g, metric, row_number() OVER (ORDER BY metric DESC NULLS LAST, g ASC NULLS FIRST) AS rank,
+             count(*) OVER () AS total_groups
+      FROM (SELECT {group} AS g, {stat} AS metric FROM {rel} GROUP BY {group}) a) t
+WHERE rank <= 25"""
+    return _fx(sql) if fixture else sql
+
+
+_reg("ask_agg_count", lambda s, sf: Q.aggregate(relation(s, sf, "lineitem"), "l_suppkey"),
+     _agg_sql("lineitem", "l_suppkey", "CAST(count(*) AS DOUBLE)", "count", False))
+_reg("ask_agg_mean", lambda s, sf: Q.aggregate(_dirty(s, sf), "priority_raw", "price", "mean"),
+     _agg_sql("fx_dirty_orders", "priority_raw", "avg(price)", "mean_price", True))
+_reg("ask_agg_sum", lambda s, sf: Q.aggregate(_dirty(s, sf), "cust_id", "price", "sum"),
+     _agg_sql("fx_dirty_orders", "cust_id", "coalesce(sum(price), 0.0)", "sum_price", True))
+_reg("ask_agg_median", lambda s, sf: Q.aggregate(_dirty(s, sf), "status_raw", "price", "median"),
+     _agg_sql("fx_dirty_orders", "status_raw", "median(price)", "median_price", True))
+_reg("ask_agg_min", lambda s, sf: Q.aggregate(_dirty(s, sf), "priority_raw", "price", "min"),
+     _agg_sql("fx_dirty_orders", "priority_raw", "min(price)", "min_price", True))
+_reg("ask_agg_max", lambda s, sf: Q.aggregate(_dirty(s, sf), "priority_raw", "price", "max"),
+     _agg_sql("fx_dirty_orders", "priority_raw", "max(price)", "max_price", True))
+
+
+def _count_sql(column: str, condition: str, pred: str) -> str:
+    return _fx(f"""
+SELECT '{column}' AS column_name, '{condition}' AS condition, CAST(count_if({pred}) AS BIGINT) AS matched,
+       count(*) AS total, round(CAST(count_if({pred}) AS DOUBLE) / count(*) * 100, 2) AS pct
+FROM fx_dirty_orders""")
+
+
+for _key, _col, _op, _val, _pred in [
+    ("ask_count_eq", "status_raw", "==", "O", "coalesce(status_raw = 'O', false)"),
+    ("ask_count_ne", "cust_id", "!=", "5", "(cust_id IS NULL OR CAST(cust_id AS DOUBLE) <> 5.0)"),
+    ("ask_count_gt", "price", ">", "250000", "coalesce(price > 250000.0, false)"),
+    ("ask_count_lt", "price", "<", "100000.5", "coalesce(price < 100000.5, false)"),
+    ("ask_count_ge", "status_raw", ">=", "O", "coalesce(status_raw >= 'O', false)"),
+    ("ask_count_le", "cust_id", "<=", "100", "coalesce(CAST(cust_id AS DOUBLE) <= 100.0, false)"),
+    ("ask_count_contains", "status_raw", "contains", "n", "coalesce(regexp_matches(status_raw, '(?i)n'), false)"),
+    ("ask_count_isnull", "price", "isnull", None, "price IS NULL"),
+    ("ask_count_notnull", "cust_id", "notnull", None, "cust_id IS NOT NULL"),
+]:
+    _cond = f"{_col} {_op} {_val if _val is not None else ''}".strip()
+    _reg(_key, (lambda c, o, v: lambda s, sf: Q.count_where(_dirty(s, sf), c, o, v))(_col, _op, _val),
+         _count_sql(_col, _cond, _pred))
+_reg("ask_correlation",
+     lambda s, sf: Q.correlation(relation(s, sf, "lineitem"), "l_quantity", "l_extendedprice"), """
+SELECT 'l_quantity' AS column_a, 'l_extendedprice' AS column_b, corr(l_quantity, l_extendedprice) AS pearson_r
+FROM lineitem""")
+_reg("ask_batch", lambda s, sf: Q.ask_batch(_dirty(s, sf), [
+    ("DatasetOverview", {}), ("DescribeColumn", {"column": "price"}),
+    ("TopValues", {"column": "status_raw", "n": 3}),
+    ("Aggregate", {"group_by": "priority_raw", "agg": "count"}),
+    ("CountRows", {"column": "price", "operator": ">", "value": "abc"}),
+    ("Correlation", {"column_a": "price", "column_b": "o_orderkey"}),
+    ("NoSuchTool", {})]), None)
