@@ -258,3 +258,232 @@ _reg("ask_batch", lambda s, sf: Q.ask_batch(_dirty(s, sf), [
     ("CountRows", {"column": "price", "operator": ">", "value": "abc"}),
     ("Correlation", {"column_a": "price", "column_b": "o_orderkey"}),
     ("NoSuchTool", {})]), None)
+
+
+# ---------------------------------------------------------------- features, split, leakage
+from tabvet.functions import constants as K  # noqa: E402
+from tabvet.operators import leakage as LK  # noqa: E402
+from tabvet.operators import metrics as M  # noqa: E402
+from tabvet.operators import prepare as FP  # noqa: E402
+
+
+def _prof_fx(rel: str, select: str, extra_ctes: str = "") -> str:
+    return OP.wrap(rel, OP.profiled_sql(rel) + extra_ctes, select)
+
+
+_SELECT_FEATURES_SQL = """
+SELECT position, column_name,
+  CASE WHEN semantic_type IN ('identifier', 'constant', 'empty', 'text') THEN 'dropped'
+       WHEN null_pct >= 80 THEN 'dropped'
+       WHEN semantic_type IN ('numeric', 'categorical_numeric', 'boolean') THEN 'numeric'
+       WHEN semantic_type = 'binary' THEN CASE WHEN type_class IN ('integral', 'fractional', 'boolean') THEN 'numeric' ELSE 'categorical' END
+       WHEN semantic_type IN ('categorical', 'high_cardinality_categorical') THEN CASE WHEN unique_count > 100 THEN 'dropped' ELSE 'categorical' END
+       ELSE 'dropped' END AS role,
+  CASE WHEN semantic_type IN ('identifier', 'constant', 'empty', 'text') THEN printf('semantic type ''%s''', semantic_type)
+       WHEN null_pct >= 80 THEN printf('%d%% missing', CAST(round(null_pct, 0) AS BIGINT))
+       WHEN semantic_type IN ('numeric', 'categorical_numeric', 'boolean', 'binary') THEN NULL
+       WHEN semantic_type IN ('categorical', 'high_cardinality_categorical') THEN CASE WHEN unique_count > 100 THEN printf('%d categories', unique_count) END
+       ELSE printf('unhandled type ''%s''', semantic_type) END AS reason
+FROM prof WHERE column_name <> '{target}'"""
+
+_reg("select_features",
+     lambda s, sf: FP.select_features(P.profiled(_dirty(s, sf)), "status_raw"),
+     _prof_fx("fx_dirty_orders", _SELECT_FEATURES_SQL.format(target="status_raw")))
+_reg("select_features_part",
+     lambda s, sf: FP.select_features(P.profiled(relation(s, sf, "part")), "p_size"),
+     _prof_fx("part", _SELECT_FEATURES_SQL.format(target="p_size")))
+_reg("target_checks",
+     lambda s, sf: FP.target_checks(_dirty(s, sf), "price", "regression",
+                                    FP.select_features(P.profiled(_dirty(s, sf)), "price")),
+     _prof_fx("fx_dirty_orders", """
+SELECT * FROM (VALUES ('target_exists', true, '''price'' is a column.')) v("check", passed, detail)
+UNION ALL SELECT 'target_not_all_null', count(price) > 0, CASE WHEN count(price) > 0 THEN '''price'' has values.' ELSE 'Every value of ''price'' is null.' END FROM fx_dirty_orders
+UNION ALL SELECT 'numeric_target', true, '''price'' is numeric.'
+UNION ALL SELECT 'features_left', n >= 1, printf('%d usable feature column(s).', n) FROM (
+  SELECT count(*) AS n FROM (""" + _SELECT_FEATURES_SQL.format(target="price") + """) f WHERE role <> 'dropped') c"""))
+_reg("drop_null_target", lambda s, sf: FP.drop_null_target(_dirty(s, sf), "price"),
+     _fx("SELECT * FROM fx_dirty_orders WHERE price IS NOT NULL"))
+_reg("seeded_sample", lambda s, sf: FP.sample_rows(relation(s, sf, "fx_sum"), 1000, "row_id", 42),
+     with_ctes("SELECT * FROM fx_sum ORDER BY md5(row_id || '|42'), row_id LIMIT 1000", "fx_sum"))
+_reg("split_stratified",
+     lambda s, sf: FP.split(relation(s, sf, "fx_leak"), "row_id", "survived").select("row_id", "survived", "is_test"),
+     with_ctes("""
+SELECT row_id, survived, rn <= quota AS is_test FROM (
+  SELECT f.row_id, f.survived, q.quota,
+         row_number() OVER (PARTITION BY f.survived ORDER BY md5(CAST(f.row_id AS VARCHAR) || '|42'), f.row_id) AS rn
+  FROM fx_leak f JOIN (
+    SELECT c, base + CASE WHEN ord <= n_test - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM (
+      SELECT c, base, n_test, row_number() OVER (ORDER BY rem DESC, CAST(c AS VARCHAR) ASC) AS ord FROM (
+        SELECT c, n_c, n_test, floor(n_test * n_c / n) AS base, (n_test * n_c) % n AS rem FROM (
+          SELECT survived AS c, count(*) AS n_c, sum(count(*)) OVER () AS n,
+                 ceil(CAST(0.2 AS DOUBLE) * CAST(sum(count(*)) OVER () AS DOUBLE)) AS n_test
+          FROM fx_leak GROUP BY survived) a) b) c0) q ON f.survived = q.c) t""", "fx_leak"))
+_reg("split_plain",
+     lambda s, sf: FP.split(relation(s, sf, "fx_sum"), "row_id", None, stratify=False).select("row_id", "is_test"),
+     with_ctes("""
+SELECT row_id, row_number() OVER (ORDER BY md5(row_id || '|42'), row_id)
+               <= ceil(CAST(0.2 AS DOUBLE) * CAST(count(*) OVER () AS DOUBLE)) AS is_test FROM fx_sum""", "fx_sum"))
+
+_PROBS = ", ".join(repr(i / 12) for i in range(13))
+
+
+def _bin_sql(col: str, edges: str, nd: str) -> str:
+    return (f"coalesce(CASE WHEN {col} IS NULL THEN NULL WHEN {nd} > 12 THEN CAST(greatest(len(list_filter({edges}, lambda e: e < CAST({col} AS DOUBLE))) - 1, 0) AS VARCHAR) "
+            f"ELSE CAST(CAST({col} AS DOUBLE) AS VARCHAR) END, 'nan')")
+
+
+_reg("quantile_bins",
+     lambda s, sf: FP.discretise(relation(s, sf, "fx_sum"), "fare").groupBy(F_col_bin := "fare_bin").agg(
+         __import__("pyspark.sql.functions", fromlist=["count"]).count("*").alias("n"))
+     .withColumnRenamed("fare_bin", "bin"),
+     with_ctes(f"""
+SELECT bin, count(*) AS n FROM (
+  SELECT CASE WHEN e.nd > 12 THEN CAST(greatest(len(list_filter(e.edges, lambda x: x < f.fare)) - 1, 0) AS VARCHAR)
+              ELSE CAST(f.fare AS VARCHAR) END AS bin
+  FROM fx_sum f, (SELECT count(DISTINCT fare) AS nd, list_sort(list_distinct(quantile_cont(fare, [{_PROBS}]))) AS edges FROM fx_sum) e) t
+GROUP BY bin""", "fx_sum"))
+
+
+def _nmi_sql(rel: str, target: str, target_numeric: bool, features: list[tuple[str, bool]]) -> str:
+    numeric = ([target] if target_numeric else []) + [f for f, num in features if num]
+    edges = ", ".join(f"count(DISTINCT CAST({c} AS DOUBLE)) AS nd_{c}, list_sort(list_distinct(quantile_cont(CAST({c} AS DOUBLE), [{_PROBS}]))) AS ed_{c}"
+                      for c in numeric) or "1 AS dummy"
+
+    def b(c: str, num: bool) -> str:
+        return _bin_sql(c, f"ed_{c}", f"nd_{c}") if num else f"coalesce(CAST({c} AS VARCHAR), 'nan')"
+
+    long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {b(f, num)} AS x, {b(target, target_numeric)} AS y FROM base, e"
+                              for f, num in features)
+    return with_ctes(f""",
+base AS (SELECT * FROM {rel} WHERE {target} IS NOT NULL),
+e AS (SELECT {edges} FROM base),
+ct AS (SELECT feature, x, y, count(*) AS n FROM ({long}) l GROUP BY feature, x, y),
+ct2 AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS bigN, sum(n) OVER (PARTITION BY feature, x) AS nx,
+               sum(n) OVER (PARTITION BY feature, y) AS ny FROM ct),
+mi AS (SELECT feature, sum(CAST(n AS DOUBLE) / bigN * ln(CAST(n AS DOUBLE) * bigN / (CAST(nx AS DOUBLE) * ny))) AS mi,
+              count(DISTINCT x) AS kx, count(DISTINCT y) AS ky, sum(CASE WHEN x <> 'nan' THEN n ELSE 0 END) AS non_null
+       FROM ct2 GROUP BY feature),
+hx AS (SELECT feature, sum(-CAST(c AS DOUBLE) / bigN * ln(CAST(c AS DOUBLE) / bigN)) AS hx FROM (
+         SELECT feature, x, first(nx) AS c, first(bigN) AS bigN FROM ct2 GROUP BY feature, x) t GROUP BY feature),
+hy AS (SELECT feature, sum(-CAST(c AS DOUBLE) / bigN * ln(CAST(c AS DOUBLE) / bigN)) AS hy FROM (
+         SELECT feature, y, first(ny) AS c, first(bigN) AS bigN FROM ct2 GROUP BY feature, y) t GROUP BY feature),
+sc AS (SELECT mi.feature AS column_name, round(CASE WHEN kx = 1 AND ky = 1 THEN 1.0
+                 WHEN greatest(mi, 0.0) = 0 THEN 0.0
+                 ELSE greatest(mi, 0.0) / greatest((hx + hy) / 2, 2.220446049250313e-16) END, 4) AS score
+       FROM mi JOIN hx ON mi.feature = hx.feature JOIN hy ON mi.feature = hy.feature WHERE non_null > 0)
+SELECT column_name, score, score >= {K.LEAKAGE_NMI_THRESHOLD} AS leaked FROM sc""".replace("WITH ,", "WITH ", 1)
+                     if False else f"""
+SELECT column_name, score, score >= {K.LEAKAGE_NMI_THRESHOLD} AS leaked FROM sc""", rel) \
+        .replace("\nSELECT column_name, score, score >=",
+                 f""",
+base AS (SELECT * FROM {rel} WHERE {target} IS NOT NULL),
+e AS (SELECT {edges} FROM base),
+ct AS (SELECT feature, x, y, count(*) AS n FROM ({long}) l GROUP BY feature, x, y),
+ct2 AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS bigN, sum(n) OVER (PARTITION BY feature, x) AS nx,
+               sum(n) OVER (PARTITION BY feature, y) AS ny FROM ct),
+mi AS (SELECT feature, sum(CAST(n AS DOUBLE) / bigN * ln(CAST(n AS DOUBLE) * bigN / (CAST(nx AS DOUBLE) * ny))) AS mi,
+              count(DISTINCT x) AS kx, count(DISTINCT y) AS ky, sum(CASE WHEN x <> 'nan' THEN n ELSE 0 END) AS non_null
+       FROM ct2 GROUP BY feature),
+hx AS (SELECT feature, sum(-CAST(c AS DOUBLE) / bigN * ln(CAST(c AS DOUBLE) / bigN)) AS hx FROM (
+         SELECT feature, x, first(nx) AS c, first(bigN) AS bigN FROM ct2 GROUP BY feature, x) t GROUP BY feature),
+hy AS (SELECT feature, sum(-CAST(c AS DOUBLE) / bigN * ln(CAST(c AS DOUBLE) / bigN)) AS hy FROM (
+         SELECT feature, y, first(ny) AS c, first(bigN) AS bigN FROM ct2 GROUP BY feature, y) t GROUP BY feature),
+sc AS (SELECT mi.feature AS column_name, round(CASE WHEN kx = 1 AND ky = 1 THEN 1.0
+                 WHEN greatest(mi, 0.0) = 0 THEN 0.0
+                 ELSE greatest(mi, 0.0) / greatest((hx + hy) / 2, 2.220446049250313e-16) END, 4) AS score
+       FROM mi JOIN hx ON mi.feature = hx.feature JOIN hy ON mi.feature = hy.feature WHERE non_null > 0)
+SELECT column_name, score, score >=""", 1)
+
+
+_reg("leakage_nmi",
+     lambda s, sf: LK.detect_leakage(relation(s, sf, "fx_leak"), "survived", ["alive", "fare", "pclass"])
+     .select("column_name", "score", "leaked"),
+     _nmi_sql("fx_leak", "survived", True, [("alive", False), ("fare", True), ("pclass", False)]))
+_reg("leakage_nmi_missing",
+     lambda s, sf: LK.detect_leakage(relation(s, sf, "fx_missing"), "label", ["measured", "noise"])
+     .select("column_name", "score", "leaked"),
+     _nmi_sql("fx_missing", "label", True, [("measured", True), ("noise", True)]))
+_reg("additive_leakage",
+     lambda s, sf: LK.detect_additive(relation(s, sf, "fx_sum"), "total", ["fare", "tip"]).select(
+         __import__("tabvet.functions.exprs", fromlist=["rnd"]).rnd("r2", 5).alias("r2"), "is_derived", "contributors"),
+     with_ctes("""
+SELECT round(r2, 5) AS r2, r2 >= 0.99 AS is_derived,
+       CASE WHEN abs(ba) >= abs(bb) THEN 'fare,tip' ELSE 'tip,fare' END AS contributors FROM (
+  SELECT (ba * say + bb * sby) / syy AS r2, ba, bb FROM (
+    SELECT (sbb * say - sab * sby) / (saa * sbb - sab * sab) AS ba, (saa * sby - sab * say) / (saa * sbb - sab * sab) AS bb,
+           say, sby, syy FROM (
+      SELECT var_pop(fare) AS saa, var_pop(tip) AS sbb, covar_pop(fare, tip) AS sab,
+             covar_pop(fare, total) AS say, covar_pop(tip, total) AS sby, var_pop(total) AS syy FROM fx_sum) m) c) r""", "fx_sum"))
+_reg("impute_median",
+     lambda s, sf: FP.numeric_prep_params(relation(s, sf, "fx_missing"), ["measured", "noise"]).select(
+         "column_name", "median"),
+     with_ctes("SELECT 'measured' AS column_name, median(measured) AS median FROM fx_missing "
+               "UNION ALL SELECT 'noise', median(noise) FROM fx_missing", "fx_missing"))
+_reg("missing_indicators",
+     lambda s, sf: FP.numeric_prep_params(relation(s, sf, "fx_missing"), ["measured", "noise"]).select(
+         "column_name", "has_nulls"),
+     with_ctes("SELECT 'measured' AS column_name, count_if(measured IS NULL) > 0 AS has_nulls FROM fx_missing "
+               "UNION ALL SELECT 'noise', count_if(noise IS NULL) > 0 FROM fx_missing", "fx_missing"))
+_reg("standard_scale",
+     lambda s, sf: FP.numeric_prep_params(relation(s, sf, "fx_missing"), ["measured", "noise"]).select(
+         "column_name", "mean", "scale"),
+     with_ctes("""
+SELECT 'measured' AS column_name, avg(v) AS mean, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END AS scale
+FROM (SELECT coalesce(measured, (SELECT median(measured) FROM fx_missing)) AS v FROM fx_missing) a
+UNION ALL SELECT 'noise', avg(v), CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1.0 END
+FROM (SELECT coalesce(noise, (SELECT median(noise) FROM fx_missing)) AS v FROM fx_missing) b""", "fx_missing"))
+_reg("impute_mode",
+     lambda s, sf: FP.categorical_prep_params(C.clean(_dirty(s, sf)).table, ["status_raw", "priority_raw"])
+     .select("column_name", "mode"),
+     with_ctes(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, (SELECT v FROM (
+  SELECT {c} AS v, count(*) AS n FROM (SELECT DISTINCT {', '.join(_CLEAN_KEEP)} FROM ({_NULLED_AFTER_TRIM}) t) d
+  WHERE {c} IS NOT NULL GROUP BY 1) g ORDER BY n DESC, v ASC LIMIT 1) AS mode""" for c in ("status_raw", "priority_raw")),
+               "fx_dirty_orders"))
+_reg("one_hot",
+     lambda s, sf: FP.categorical_prep_params(C.clean(_dirty(s, sf)).table, ["status_raw", "priority_raw"])
+     .select("column_name", __import__("pyspark.sql.functions", fromlist=["posexplode"]).posexplode("categories")
+             .alias("index", "category")),
+     with_ctes(" UNION ALL ".join(f"""SELECT '{c}' AS column_name, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS index, v AS category
+FROM (SELECT DISTINCT {c} AS v FROM (SELECT DISTINCT {', '.join(_CLEAN_KEEP)} FROM ({_NULLED_AFTER_TRIM}) t) d WHERE {c} IS NOT NULL) g"""
+                                  for c in ("status_raw", "priority_raw")), "fx_dirty_orders"))
+
+# ---------------------------------------------------------------- metrics
+_reg("classification_metrics",
+     lambda s, sf: M.classification_metrics(
+         relation(s, sf, "fx_scores").selectExpr("label", "CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS pred"),
+         "label", "pred"),
+     with_ctes("""
+WITH c AS (SELECT label AS y, CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS p, count(*) AS n FROM fx_scores GROUP BY 1, 2),
+cls AS (SELECT y FROM c UNION SELECT p FROM c),
+per AS (SELECT cls.y, coalesce((SELECT sum(n) FROM c WHERE c.y = cls.y), 0) AS support,
+               coalesce((SELECT sum(n) FROM c WHERE c.p = cls.y), 0) AS predicted,
+               coalesce((SELECT sum(n) FROM c WHERE c.y = cls.y AND c.p = cls.y), 0) AS tp FROM cls),
+m AS (SELECT support, tp, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+             CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM per)
+SELECT sum(tp) / sum(support) AS accuracy, sum(prec * support) / sum(support) AS precision,
+       sum(rec * support) / sum(support) AS recall,
+       sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support) AS f1
+FROM m""".replace("WITH c AS", "c AS", 1).join(["", ""]) if False else """
+SELECT sum(tp) / sum(support) AS accuracy, sum(prec * support) / sum(support) AS precision,
+       sum(rec * support) / sum(support) AS recall,
+       sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support) AS f1
+FROM (SELECT support, tp, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS prec,
+             CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS rec FROM (
+  SELECT cls.y, coalesce((SELECT sum(n) FROM cm WHERE cm.y = cls.y), 0) AS support,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.p = cls.y), 0) AS predicted,
+         coalesce((SELECT sum(n) FROM cm WHERE cm.y = cls.y AND cm.p = cls.y), 0) AS tp
+  FROM (SELECT y FROM cm UNION SELECT p FROM cm) cls) per) m""", "fx_scores").replace(
+         "\nSELECT sum(tp)", ",\ncm AS (SELECT label AS y, CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS p, count(*) AS n FROM fx_scores GROUP BY 1, 2)\nSELECT sum(tp)", 1))
+_reg("roc_auc", lambda s, sf: M.roc_auc(relation(s, sf, "fx_scores"), "label", "proba"), with_ctes("""
+SELECT CASE WHEN k = 2 AND P > 0 AND N > 0 THEN u / (CAST(P AS DOUBLE) * N) END AS roc_auc FROM (
+  SELECT sum(pos * (neg_before + 0.5 * neg)) AS u, sum(pos) AS P, sum(neg) AS N FROM (
+    SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before FROM (
+      SELECT CAST(proba AS DOUBLE) AS s, count_if(label = 1) AS pos, count_if(label <> 1) AS neg
+      FROM fx_scores WHERE label IS NOT NULL AND proba IS NOT NULL GROUP BY 1) g) r) a,
+  (SELECT count(DISTINCT label) AS k FROM fx_scores WHERE label IS NOT NULL) kk""", "fx_scores"))
+_reg("regression_metrics", lambda s, sf: M.regression_metrics(relation(s, sf, "fx_scores"), "y", "y_hat"),
+     with_ctes("""
+SELECT CASE WHEN vp > 0 THEN 1 - sse / (vp * n) ELSE CASE WHEN sse = 0 THEN 1.0 ELSE 0.0 END END AS r2,
+       mae, sqrt(sse / n) AS rmse, sse / n AS mse FROM (
+  SELECT sum((y - y_hat) * (y - y_hat)) AS sse, avg(abs(y - y_hat)) AS mae, var_pop(y) AS vp, count(*) AS n FROM fx_scores) a""",
+               "fx_scores"))
