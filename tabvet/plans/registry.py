@@ -487,3 +487,268 @@ SELECT CASE WHEN vp > 0 THEN 1 - sse / (vp * n) ELSE CASE WHEN sse = 0 THEN 1.0
        mae, sqrt(sse / n) AS rmse, sse / n AS mse FROM (
   SELECT sum((y - y_hat) * (y - y_hat)) AS sse, avg(abs(y - y_hat)) AS mae, var_pop(y) AS vp, count(*) AS n FROM fx_scores) a""",
                "fx_scores"))
+
+
+# ---------------------------------------------------------------- quality gate
+import datetime as _dt  # noqa: E402
+
+from tabvet.operators import ledger as R  # noqa: E402
+from tabvet.operators import quality as G  # noqa: E402
+
+
+def _runs(s, sf):
+    return relation(s, sf, "fx_runs")
+
+
+def _imps(s, sf):
+    return relation(s, sf, "fx_importances")
+
+
+_MISSING_CTE = """mflag AS (
+  SELECT run_id, max(CASE WHEN encoded LIKE 'missing:%' OR encoded LIKE '%(was missing)' THEN 1 ELSE 0 END) = 1 AS missing_top,
+         coalesce(string_agg(CASE WHEN encoded LIKE 'missing:%' OR encoded LIKE '%(was missing)' THEN encoded END, ', ' ORDER BY r), '') AS missing_names
+  FROM (SELECT run_id, encoded, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, encoded ASC) AS r FROM fx_importances) t
+  WHERE r <= 5 GROUP BY run_id),
+rr AS (SELECT f.*, coalesce(m.missing_top, false) AS missing_top, coalesce(m.missing_names, '') AS missing_names
+       FROM fx_runs f LEFT JOIN mflag m ON f.run_id = m.run_id)"""
+
+_CHECKS_SQL = """checks AS (
+SELECT run_id, 1 AS ord, 'class_separation' AS name, roc_auc >= 0.65 AS passed, true AS gating,
+       CASE WHEN roc_auc < 0.65 THEN printf('ROC-AUC %.4f is below 0.65; barely separates classes.', roc_auc)
+            ELSE printf('ROC-AUC %.4f meets the 0.65 threshold.', roc_auc) END AS detail
+FROM rr WHERE task_type = 'classification' AND roc_auc IS NOT NULL
+UNION ALL SELECT run_id, 2, 'f1_threshold', primary_value >= 0.6, true,
+       CASE WHEN primary_value < 0.6 THEN printf('F1 %.4f is below 0.6.', primary_value)
+            ELSE printf('F1 %.4f meets the 0.6 threshold.', primary_value) END
+FROM rr WHERE task_type = 'classification'
+UNION ALL SELECT run_id, 3, 'variance_explained', primary_value >= 0.3, true,
+       CASE WHEN primary_value < 0.3 THEN printf('R2 %.4f is below 0.3; the model explains little variance.', primary_value)
+            ELSE printf('R2 %.4f meets the 0.3 threshold.', primary_value) END
+FROM rr WHERE task_type = 'regression'
+UNION ALL SELECT run_id, 4, 'target_leakage', leaked_count = 0, false,
+       CASE WHEN leaked_count = 0 THEN 'No feature restates the target.'
+            ELSE printf('%d column(s) removed before training because they restate the target.', leaked_count) END
+FROM rr
+UNION ALL SELECT run_id, 5, 'plausibility', false, false,
+       printf('%s of %.4f is essentially perfect. On real data this usually means leakage or a duplicated target, not skill.',
+              CASE WHEN task_type = 'classification' THEN 'f1' ELSE 'r2' END, primary_value)
+FROM rr WHERE primary_value >= 0.98
+UNION ALL SELECT run_id, 6, 'target_is_derived', NOT derived_target, true,
+       CASE WHEN derived_target THEN 'The target is a combination of its own features.'
+            ELSE 'The target is not a combination of its own features.' END FROM rr
+UNION ALL SELECT run_id, 7, 'informative_missingness', false, false,
+       printf('Predictions are driven by whether a value was recorded, not by the value itself: %s.', missing_names)
+FROM rr WHERE missing_top
+UNION ALL SELECT run_id, 8, 'sample_size', n_train >= 200, true,
+       CASE WHEN n_train < 200 THEN printf('Only %d training rows; results are unstable.', n_train)
+            ELSE printf('%d training rows is sufficient; sample size is NOT a problem.', n_train) END FROM rr)"""
+
+_VERDICT_SQL = """verd AS (
+SELECT r.run_id,
+       CASE WHEN coalesce(f.n_failed, 0) > 0 THEN 'weak'
+            WHEN (r.task_type = 'classification' AND r.primary_value >= 0.75) OR (r.task_type = 'regression' AND r.primary_value >= 0.6) THEN 'strong'
+            ELSE 'acceptable' END AS verdict,
+       CASE WHEN r.task_type = 'classification' THEN 'f1' ELSE 'r2' END AS primary_metric, r.primary_value,
+       CASE WHEN r.task_type = 'classification' AND r.roc_auc IS NOT NULL THEN 'roc_auc'
+            WHEN r.task_type = 'classification' THEN 'f1' ELSE 'r2' END AS gate_metric,
+       CASE WHEN r.task_type = 'classification' AND r.roc_auc IS NOT NULL THEN r.roc_auc ELSE r.primary_value END AS gate_value,
+       CAST(coalesce(f.n_failed, 0) AS BIGINT) AS n_failed, coalesce(f.reasons, '') AS reasons
+FROM rr r LEFT JOIN (SELECT run_id, count(*) AS n_failed, string_agg(detail, '; ' ORDER BY ord) AS reasons
+                     FROM checks WHERE gating AND NOT passed GROUP BY run_id) f ON r.run_id = f.run_id)"""
+
+
+def _q(select: str, extra: str = "", fixtures=("fx_runs", "fx_importances")) -> str:
+    body = f"{_MISSING_CTE},\n{_CHECKS_SQL},\n{_VERDICT_SQL}{extra}\n{select}"
+    sql = with_ctes("SELECT 1", *fixtures)
+    return sql[:sql.rindex("\nSELECT 1")] + ",\n" + body
+
+
+_reg("quality_checks", lambda s, sf: G.quality_checks(_runs(s, sf), _imps(s, sf)),
+     _q("SELECT run_id, ord, name, coalesce(passed, false) AS passed, gating, detail FROM checks"))
+_reg("quality_verdict", lambda s, sf: G.verdict(_runs(s, sf), _imps(s, sf)), _q("SELECT * FROM verd"))
+_reg("dead_features", lambda s, sf: G.dead_features(_imps(s, sf)), with_ctes("""
+SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total END AS share,
+       CASE WHEN total > 0 THEN abs(importance) / total < 0.02 ELSE true END AS dead
+FROM (SELECT *, sum(abs(importance)) OVER (PARTITION BY run_id) AS total FROM fx_importances) t""", "fx_importances"))
+_reg("round_improvement", lambda s, sf: G.round_improvement(relation(s, sf, "fx_rounds")), with_ctes("""
+SELECT run_id, round, gate_value, prev AS previous_best, CASE WHEN prev IS NULL THEN NULL ELSE gate_value >= prev + 0.02 END AS is_improvement
+FROM (SELECT *, max(gate_value) OVER (PARTITION BY run_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+      FROM fx_rounds) t""", "fx_rounds"))
+_reg("quality_suggestions", lambda s, sf: G.suggestions(_runs(s, sf), _imps(s, sf)), _q("""
+SELECT run_id, 1 AS ord, printf('%d leaked feature(s) were excluded. Scores below are from the model trained WITHOUT them.', leaked_count) AS suggestion FROM rr WHERE leaked_count > 0
+UNION ALL SELECT run_id, 2, 'Verify no remaining column encodes the answer.' FROM rr WHERE primary_value >= 0.98
+UNION ALL SELECT run_id, 3, 'Check why those columns are missing. If missingness reflects how the data was collected rather than the subject, the model will not transfer.' FROM rr WHERE missing_top
+UNION ALL SELECT d.run_id, 4, printf('%d feature(s) contribute almost nothing: %s. Removing them reduces noise without losing signal.', d.n_dead, d.names)
+  FROM rr JOIN dd d ON rr.run_id = d.run_id
+UNION ALL SELECT run_id, 5, 'More data would help more than any model change.' FROM rr WHERE n_train < 200""", """,
+dd AS (SELECT run_id, count(*) AS n_dead, array_to_string(list_slice(list_sort(list(encoded)), 1, 5), ', ') AS names FROM (
+  SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total < 0.02 ELSE true END AS dead
+  FROM (SELECT *, sum(abs(importance)) OVER (PARTITION BY run_id) AS total FROM fx_importances) t) x WHERE dead GROUP BY run_id)"""))
+_reg("findings", lambda s, sf: G.findings(_runs(s, sf), _imps(s, sf)), _q("""
+SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY critical DESC, pos ASC) AS INTEGER) AS ord, name, critical, text FROM (
+  SELECT run_id, 0 AS pos, 'additive_leakage' AS name, true AS critical,
+         'CRITICAL: the target is a combination of its own features. The scores are arithmetic, not prediction.' AS text
+  FROM rr WHERE coalesce(derived_target, false)
+  UNION ALL SELECT run_id, 1, 'leaked_features', true,
+         printf('%d column(s) removed before training for restating the target. Every score comes from a model trained without them.', leaked_count)
+  FROM rr WHERE coalesce(leaked_count, 0) > 0
+  UNION ALL SELECT rr.run_id, 3, 'dead_features', false, printf('Measured as contributing almost nothing: %s.', d.names)
+  FROM rr JOIN dd d ON rr.run_id = d.run_id WHERE length(d.names) > 0
+  UNION ALL SELECT run_id, 4, 'failed_checks', false, printf('Quality checks that failed: %s', reasons) FROM verd WHERE length(reasons) > 0) f""", """,
+dd AS (SELECT run_id, array_to_string(list_sort(list(encoded)), ', ') AS names FROM (
+  SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total < 0.02 ELSE true END AS dead
+  FROM (SELECT *, sum(abs(importance)) OVER (PARTITION BY run_id) AS total FROM fx_importances) t) x WHERE dead GROUP BY run_id)"""))
+
+# ---------------------------------------------------------------- ledger
+_LATEST_SQL = """latest AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, run_id DESC) AS rn
+  FROM fx_runs WHERE status = 'succeeded' AND agent_name = 'analysis' AND parent_run_id IS NULL) t WHERE rn = 1)"""
+
+
+def _ledger_q(select: str, extra: str = "") -> str:
+    sql = with_ctes("SELECT 1", "fx_projects", "fx_datasets", "fx_runs", "fx_importances")
+    return sql[:sql.rindex("\nSELECT 1")] + f",\n{_LATEST_SQL}{extra}\n{select}"
+
+
+_reg("ledger_latest_run", lambda s, sf: R.latest_successful(_runs(s, sf)),
+     _ledger_q("SELECT * EXCLUDE (rn) FROM latest"))
+_reg("ledger_project_summary",
+     lambda s, sf: R.project_summary(relation(s, sf, "fx_projects"), relation(s, sf, "fx_datasets"),
+                                     _runs(s, sf), _imps(s, sf)),
+     with_ctes("SELECT 1", "fx_projects", "fx_datasets", "fx_runs", "fx_importances")[:-len("\nSELECT 1")] + f""",
+{_LATEST_SQL},
+rr AS (SELECT l.*, coalesce(m.missing_top, false) AS missing_top, coalesce(m.missing_names, '') AS missing_names
+       FROM latest l LEFT JOIN (SELECT run_id, max(CASE WHEN encoded LIKE 'missing:%' THEN 1 ELSE 0 END) = 1 AS missing_top,
+              '' AS missing_names FROM (SELECT run_id, encoded, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, encoded ASC) AS r
+              FROM fx_importances) t WHERE r <= 5 GROUP BY run_id) m ON l.run_id = m.run_id),
+{_CHECKS_SQL},
+{_VERDICT_SQL}
+SELECT p.project_id, p.name, CAST(coalesce(d.dataset_count, 0) AS BIGINT) AS dataset_count,
+       CAST(coalesce(rc.run_count, 0) AS BIGINT) AS run_count, d.row_count, l.run_id AS last_run_id,
+       v.verdict AS last_verdict, v.gate_metric AS last_metric, v.gate_value AS last_value, l.created_at AS last_run_at,
+       CAST(coalesce(l.leaked_count, 0) AS INTEGER) AS leaked_count, coalesce(l.derived_target, false) AS derived_target
+FROM fx_projects p
+LEFT JOIN (SELECT project_id, count(*) AS dataset_count, max(n_rows) AS row_count FROM fx_datasets GROUP BY 1) d ON p.project_id = d.project_id
+LEFT JOIN (SELECT project_id, count(*) AS run_count FROM fx_runs WHERE agent_name = 'analysis' GROUP BY 1) rc ON p.project_id = rc.project_id
+LEFT JOIN latest l ON p.project_id = l.project_id
+LEFT JOIN verd v ON l.run_id = v.run_id""")
+_reg("ledger_owned",
+     lambda s, sf: R.owned(relation(s, sf, "fx_datasets"), relation(s, sf, "fx_projects"), 7),
+     with_ctes("SELECT d.* FROM fx_datasets d JOIN fx_projects p ON d.project_id = p.project_id WHERE p.owner_id = 7",
+               "fx_projects", "fx_datasets"))
+_reg("ledger_run_tree", lambda s, sf: R.run_tree(_runs(s, sf)), with_ctes("""
+SELECT parent_run_id AS run_id, count(*) AS n_children,
+       array_to_string(list_sort(list(CAST(run_id AS VARCHAR))), ',') AS child_ids
+FROM fx_runs WHERE parent_run_id IS NOT NULL AND parent_run_id IN (SELECT run_id FROM fx_runs)
+GROUP BY parent_run_id""", "fx_runs"))
+_ORPHAN_NOW = _dt.datetime(2026, 1, 1, 0, 0, 0)
+_reg("ledger_orphans", lambda s, sf: R.fail_orphans(_runs(s, sf), _ORPHAN_NOW), with_ctes(f"""
+SELECT * EXCLUDE (status), CASE WHEN status IN ('running', 'pending') THEN 'failed' ELSE status END AS status,
+       CASE WHEN status IN ('running', 'pending') THEN '{R.ORPHAN_REASON}' END AS error,
+       CASE WHEN status IN ('running', 'pending') THEN TIMESTAMP '2026-01-01 00:00:00' END AS finished_at
+FROM fx_runs""", "fx_runs"))
+_reg("conversation_window",
+     lambda s, sf: R.history(relation(s, sf, "conversations"), "conv_id", "turn", 4), """
+SELECT conv_id, turn, role, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) t WHERE rn <= 4""")
+_reg("ledger_totals",
+     lambda s, sf: R.totals(R.project_summary(relation(s, sf, "fx_projects"), relation(s, sf, "fx_datasets"),
+                                              _runs(s, sf), _imps(s, sf))),
+     with_ctes("SELECT 1", "fx_projects", "fx_datasets", "fx_runs")[:-len("\nSELECT 1")] + f""",
+{_LATEST_SQL},
+summ AS (SELECT p.project_id, coalesce(rc.run_count, 0) AS run_count, d.row_count,
+                coalesce(l.leaked_count, 0) AS leaked_count, coalesce(l.derived_target, false) AS derived_target
+         FROM fx_projects p
+         LEFT JOIN (SELECT project_id, max(n_rows) AS row_count FROM fx_datasets GROUP BY 1) d ON p.project_id = d.project_id
+         LEFT JOIN (SELECT project_id, count(*) AS run_count FROM fx_runs WHERE agent_name = 'analysis' GROUP BY 1) rc ON p.project_id = rc.project_id
+         LEFT JOIN latest l ON p.project_id = l.project_id)
+SELECT count(*) AS projects, CAST(sum(run_count) AS BIGINT) AS runs, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS rows,
+       count_if(leaked_count > 0 OR derived_target) AS leakage_caught FROM summ""")
+_reg("ledger_cascade",
+     lambda s, sf: R.without_project({"runs": _runs(s, sf)},
+                                     relation(s, sf, "fx_projects").where("owner_id = 3"))["runs"],
+     with_ctes("SELECT * FROM fx_runs WHERE project_id NOT IN (SELECT project_id FROM fx_projects WHERE owner_id = 3)",
+               "fx_projects", "fx_runs"))
+_reg("ask_latest_analysis", lambda s, sf: R.latest_analysis(_runs(s, sf), _imps(s, sf)),
+     with_ctes("SELECT 1", "fx_runs", "fx_importances")[:-len("\nSELECT 1")] + f""",
+{_LATEST_SQL},
+rr AS (SELECT l.* EXCLUDE (rn), coalesce(m.missing_top, false) AS missing_top, coalesce(m.missing_names, '') AS missing_names
+       FROM latest l LEFT JOIN (SELECT run_id, max(CASE WHEN encoded LIKE 'missing:%' OR encoded LIKE '%(was missing)' THEN 1 ELSE 0 END) = 1 AS missing_top,
+              coalesce(string_agg(CASE WHEN encoded LIKE 'missing:%' OR encoded LIKE '%(was missing)' THEN encoded END, ', ' ORDER BY r), '') AS missing_names
+              FROM (SELECT run_id, encoded, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, encoded ASC) AS r
+              FROM fx_importances) t WHERE r <= 5 GROUP BY run_id) m ON l.run_id = m.run_id),
+{_CHECKS_SQL},
+{_VERDICT_SQL}
+SELECT l.project_id, l.run_id, l.task_type, v.verdict, v.gate_metric, v.gate_value, v.reasons AS failed_checks, t.top_features
+FROM latest l JOIN verd v ON l.run_id = v.run_id
+LEFT JOIN (SELECT run_id, string_agg(encoded, ',' ORDER BY r) AS top_features FROM (
+  SELECT run_id, encoded, row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, encoded ASC) AS r FROM fx_importances
+  WHERE run_id IN (SELECT run_id FROM latest)) x WHERE r <= 10 GROUP BY run_id) t ON l.run_id = t.run_id""")
+
+# ---------------------------------------------------------------- plan, guard, attempts
+_reg("plan_default",
+     lambda s, sf: R.plan(P.target_candidates(_dirty(s, sf)), _dirty(s, sf).columns, "no_such_column"),
+     f"SELECT column_name AS target_column, task_type, 'fallback' AS source FROM ({OP.fix_round(OP.target_candidates('fx_dirty_orders'))}) t WHERE rank = 1")
+_reg("plan_leak",
+     lambda s, sf: R.plan(P.target_candidates(relation(s, sf, "fx_leak")), relation(s, sf, "fx_leak").columns),
+     f"SELECT column_name AS target_column, task_type, 'candidate' AS source FROM ({OP.fix_round(OP.target_candidates('fx_leak'))}) t WHERE rank = 1")
+
+
+def _proposals(s, sf):
+    """Revision proposals derived from the importance ledger: exclude the
+    dead features, plus an unknown name on every fifth run and a new target
+    on every seventh."""
+    from pyspark.sql import functions as F
+    d = G.dead_features(_imps(s, sf))
+    per = d.groupBy("run_id").agg(
+        F.collect_set("encoded").alias("features"),
+        F.collect_set(F.when(F.col("dead"), F.col("encoded"))).alias("dead"))
+    return per.select(
+        "run_id", F.lit("retry").alias("action"),
+        F.when(F.col("run_id") % 5 == 0, F.array_union("dead", F.array(F.lit("ghost")))).otherwise(F.col("dead"))
+        .alias("exclude"),
+        "features", F.array().cast("array<string>").alias("already"),
+        F.when(F.col("run_id") % 7 == 0, F.lit("age")).when(F.col("run_id") % 11 == 0, F.lit("nope"))
+        .alias("new_target"),
+        F.col("features").alias("valid_columns"))
+
+
+_reg("revision_guard", lambda s, sf: R.validate_revision(_proposals(s, sf)), with_ctes("""
+SELECT run_id,
+       CASE WHEN covers_all THEN 'abandon' WHEN NOT changes THEN 'accept' ELSE 'retry' END AS action,
+       array_to_string(list_sort(known), ',') AS exclude,
+       CASE WHEN NOT covers_all AND target_ok THEN new_target END AS new_target,
+       concat_ws('; ',
+         CASE WHEN len(unknown) > 0 THEN 'ignored unknown columns: ' || array_to_string(list_sort(unknown), ', ') END,
+         CASE WHEN covers_all THEN 'refused to exclude every remaining feature' END,
+         CASE WHEN NOT covers_all AND new_target IS NOT NULL AND NOT target_ok THEN 'ignored unknown target ''' || new_target || '''' END,
+         CASE WHEN NOT covers_all AND NOT changes THEN 'retry proposed no actual change; treating as accept' END) AS notes
+FROM (
+  SELECT run_id, known, unknown, new_target, target_ok,
+         len(list_filter(features, lambda f: NOT list_contains(known, f))) = 0 AS covers_all,
+         len(known) > 0 OR target_ok AS changes
+  FROM (
+    SELECT run_id, features, new_target,
+           list_filter(excl, lambda e: list_contains(features, e)) AS known,
+           list_filter(excl, lambda e: NOT list_contains(features, e)) AS unknown,
+           coalesce(new_target IS NOT NULL AND list_contains(features, new_target), false) AS target_ok
+    FROM (
+      SELECT run_id, features,
+             CASE WHEN run_id % 5 = 0 THEN list_distinct(list_concat(dead, ['ghost'])) ELSE dead END AS excl,
+             CASE WHEN run_id % 7 = 0 THEN 'age' WHEN run_id % 11 = 0 THEN 'nope' END AS new_target
+      FROM (SELECT run_id, list_distinct(list(encoded)) AS features,
+                   coalesce(list_distinct(list(encoded) FILTER (WHERE dead)), []::VARCHAR[]) AS dead
+            FROM (SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total < 0.02 ELSE true END AS dead
+                  FROM (SELECT *, sum(abs(importance)) OVER (PARTITION BY run_id) AS total FROM fx_importances) t) d
+            GROUP BY run_id) g) p) q) r""", "fx_importances"))
+_reg("attempts", lambda s, sf: R.attempts(relation(s, sf, "fx_rounds")), with_ctes("""
+SELECT run_id, round, gate_value, previous_best, is_improvement, decision FROM (
+  SELECT *, coalesce(max(CASE WHEN decision <> 'retry' THEN 1 ELSE 0 END) OVER (
+           PARTITION BY run_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped_before
+  FROM (
+    SELECT *, CASE WHEN gate_value >= 0.65 THEN 'accept' WHEN round >= 2 THEN 'limit'
+                   WHEN previous_best IS NOT NULL AND NOT is_improvement THEN 'no_improvement' ELSE 'retry' END AS decision
+    FROM (SELECT run_id, round, gate_value, prev AS previous_best,
+                 CASE WHEN prev IS NULL THEN NULL ELSE gate_value >= prev + 0.02 END AS is_improvement
+          FROM (SELECT *, max(gate_value) OVER (PARTITION BY run_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+                FROM fx_rounds) a) b) c) d WHERE stopped_before = 0""", "fx_rounds"))
