@@ -752,3 +752,153 @@ SELECT run_id, round, gate_value, previous_best, is_improvement, decision FROM (
                  CASE WHEN prev IS NULL THEN NULL ELSE gate_value >= prev + 0.02 END AS is_improvement
           FROM (SELECT *, max(gate_value) OVER (PARTITION BY run_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
                 FROM fx_rounds) a) b) c) d WHERE stopped_before = 0""", "fx_rounds"))
+
+
+# ---------------------------------------------------------------- models, explanations, loop
+from functools import lru_cache  # noqa: E402
+
+from tabvet.operators import explain as E  # noqa: E402
+from tabvet.operators import models as MD  # noqa: E402
+from tabvet.plans import loop as LP  # noqa: E402
+from tabvet.sources import scan as S  # noqa: E402
+from tabvet.sources import sinks as SK  # noqa: E402
+
+_TRAIN_SPECS = {
+    "fx_leak/survived": ("fx_leak", "survived", "classification", "row_id"),
+    "fx_leak/fare": ("fx_leak", "fare", "regression", "row_id"),
+    "fx_missing/label": ("fx_missing", "label", "classification", "row_id"),
+}
+
+
+@lru_cache(maxsize=8)
+def _outcome(spark, sf: str, spec: str, models: tuple[str, ...] | None = None):
+    rel, target, task, key = _TRAIN_SPECS[spec]
+    return MD.train(relation(spark, sf, rel), target, task, key=key,
+                    model_names=list(models) if models else None)
+
+
+@lru_cache(maxsize=4)
+def _analysis(spark, sf: str, rel: str):
+    return LP.analyse(relation(spark, sf, rel))
+
+
+def _board(spark, sf, spec, models=None):
+    o = _outcome(spark, sf, spec, models)
+    return o.leaderboard(spark).select("model_name", "primary_metric", "primary_metric_value",
+                                       "feature_count", "is_selected", "metrics")
+
+
+_reg("train_logistic", lambda s, sf: _board(s, sf, "fx_leak/survived", ("logistic_regression",)), None)
+_reg("train_ridge", lambda s, sf: _board(s, sf, "fx_leak/fare", ("ridge",)), None)
+_reg("train_forest_classifier", lambda s, sf: _board(s, sf, "fx_missing/label", ("random_forest",)), None)
+_reg("train_forest_regressor", lambda s, sf: _board(s, sf, "fx_leak/fare", ("random_forest",)), None)
+_reg("leaderboard", lambda s, sf: _board(s, sf, "fx_missing/label"), None)
+
+
+def _roundtrip(spark, sf):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.sql import functions as F
+    o = _outcome(spark, sf, "fx_leak/survived", ("logistic_regression",))
+    model = o.models["logistic_regression"]
+    path = SK.save_model(model, __import__("tabvet.session", fromlist=["scratch_path"]).scratch_path(spark, "model"))
+    loaded = SK.load_model(path, LogisticRegressionModel)
+    a = model.transform(o.test).select("row_id", F.col("prediction").alias("p1"))
+    b = loaded.transform(o.test).select("row_id", F.col("prediction").alias("p2"))
+    return a.join(b, "row_id").agg(F.lit("logistic_regression").alias("model_name"),
+                                   F.count(F.lit(1)).alias("n_rows"),
+                                   F.count_if(F.col("p1") == F.col("p2")).alias("n_equal"))
+
+
+_reg("model_roundtrip", _roundtrip, None)
+_reg("best_per_run",
+     lambda s, sf: SK.experiments_from_runs(_runs(s, sf)).where("is_selected")
+     .select("run_id", "model_name", "primary_metric_value"),
+     with_ctes("""
+SELECT run_id, model_name, value AS primary_metric_value FROM (
+  SELECT run_id, model_name, value, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, ord ASC) AS rn FROM (
+    SELECT run_id, 0 AS ord, CASE WHEN task_type = 'classification' THEN 'logistic_regression' ELSE 'ridge' END AS model_name,
+           primary_value AS value FROM fx_runs WHERE agent_name = 'analysis'
+    UNION ALL SELECT run_id, 1, 'random_forest', primary_value * 0.9 + 0.05 FROM fx_runs WHERE agent_name = 'analysis') e) r
+WHERE rn = 1""", "fx_runs"))
+_reg("ledger_experiments", lambda s, sf: SK.experiments_from_runs(_runs(s, sf)), with_ctes("""
+SELECT run_id, model_name, primary_metric, value AS primary_metric_value, rn = 1 AS is_selected FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, ord ASC) AS rn FROM (
+    SELECT run_id, 0 AS ord, CASE WHEN task_type = 'classification' THEN 'logistic_regression' ELSE 'ridge' END AS model_name,
+           CASE WHEN task_type = 'classification' THEN 'f1' ELSE 'r2' END AS primary_metric, primary_value AS value
+    FROM fx_runs WHERE agent_name = 'analysis'
+    UNION ALL SELECT run_id, 1, 'random_forest', CASE WHEN task_type = 'classification' THEN 'f1' ELSE 'r2' END,
+           primary_value * 0.9 + 0.05 FROM fx_runs WHERE agent_name = 'analysis') e) r""", "fx_runs"))
+
+
+def _tree_shap(spark, sf):
+    o = _outcome(spark, sf, "fx_missing/label", ("random_forest",))
+    model = o.models["random_forest"]
+    enc = [e for e, _ in o.prep.encoded()]
+    scores, _, _ = E.tree_shap(model, o.test, enc, True, 1, E.shap_rows(int(model.totalNumNodes)), "row_id")
+    return scores
+
+
+def _permutation(spark, sf):
+    o = _outcome(spark, sf, "fx_leak/survived", ("logistic_regression",))
+    return E.permutation_importance(o.models["logistic_regression"], o.prep, o.test, "row_id", True)
+
+
+def _explain_best(spark, sf):
+    from pyspark.sql import functions as F
+    o = _outcome(spark, sf, "fx_missing/label")
+    method, n, feats, _ = E.explain(o, "random_forest", "row_id")
+    return feats.withColumn("method", F.lit(method)).withColumn("rows_explained", F.lit(n))
+
+
+_reg("explain_tree_shap", _tree_shap, None)
+_reg("explain_permutation", _permutation, None)
+_reg("explain_best", _explain_best, None)
+_NUM_E4, _CAT_E4 = ["age", "noise"], ["region", "plan", "plan_type"]
+_reg("encoded_to_source",
+     lambda s, sf: _imps(s, sf).select("run_id", "encoded", E.source_column(
+         __import__("pyspark.sql.functions", fromlist=["col"]).col("encoded"), _NUM_E4, _CAT_E4).alias("source")),
+     with_ctes("""
+SELECT run_id, encoded, CASE WHEN encoded LIKE 'missingindicator\\_%' ESCAPE '\\' THEN substr(encoded, 18) || ' (was missing)'
+  WHEN encoded LIKE 'missing:%' THEN substr(encoded, 9) || ' (was missing)'
+  WHEN encoded IN ('age', 'noise', 'region', 'plan', 'plan_type') THEN encoded
+  WHEN starts_with(encoded, 'plan_type_') OR starts_with(encoded, 'plan_type=') THEN 'plan_type'
+  WHEN starts_with(encoded, 'region_') OR starts_with(encoded, 'region=') THEN 'region'
+  WHEN starts_with(encoded, 'plan_') OR starts_with(encoded, 'plan=') THEN 'plan'
+  ELSE encoded END AS source FROM fx_importances""", "fx_importances"))
+
+
+def _fold(spark, sf):
+    from pyspark.sql import functions as F
+    imps = _imps(spark, sf)
+    mapped = imps.withColumn("source", E.source_column(F.col("encoded"), _NUM_E4, _CAT_E4))
+    return E.fold_importance(mapped, group=["run_id"])
+
+
+_reg("fold_importance", _fold, with_ctes("""
+SELECT run_id, feature, importance, CAST(rank AS INTEGER) AS rank, CAST(encoded_parts AS INTEGER) AS encoded_parts FROM (
+  SELECT run_id, feature, importance, encoded_parts,
+         row_number() OVER (PARTITION BY run_id ORDER BY importance DESC, feature ASC) AS rank FROM (
+    SELECT run_id, source AS feature, sum(importance) AS importance, count(*) AS encoded_parts FROM (
+      SELECT run_id, importance, CASE WHEN encoded LIKE 'missing:%' THEN substr(encoded, 9) || ' (was missing)'
+        WHEN encoded IN ('age', 'noise', 'region', 'plan', 'plan_type') THEN encoded
+        WHEN starts_with(encoded, 'plan_type_') THEN 'plan_type'
+        WHEN starts_with(encoded, 'region_') THEN 'region'
+        WHEN starts_with(encoded, 'plan_') THEN 'plan' ELSE encoded END AS source FROM fx_importances) m
+    GROUP BY run_id, source) f) r WHERE rank <= 15""", "fx_importances"))
+
+
+def _budget(spark, sf):
+    from pyspark.sql import functions as F
+    runs = _runs(spark, sf).select("run_id", (F.col("n_train") * F.lit(4001)).alias("nodes"))
+    rows, method = E.shap_budget(F.col("nodes"))
+    return runs.select("run_id", "nodes", rows.alias("rows"), method.alias("method"))
+
+
+_reg("shap_budget", _budget, with_ctes("""
+SELECT run_id, nodes, CAST(CASE WHEN nodes <= 0 THEN 500 ELSE least(greatest(floor(60000000 / nodes), 60), 500) END AS BIGINT) AS rows,
+       CASE WHEN nodes > 2500000 THEN 'permutation' ELSE 'shap' END AS method
+FROM (SELECT run_id, n_train * 4001 AS nodes FROM fx_runs) t""", "fx_runs"))
+_reg("analyse_rounds", lambda s, sf: LP.attempts_df(s, _analysis(s, sf, "fx_leak")), None)
+_reg("analyse_steps", lambda s, sf: LP.steps_df(s, _analysis(s, sf, "fx_leak")), None)
+_reg("report_rows", lambda s, sf: LP.report_rows(s, _analysis(s, sf, "fx_leak")), None)
+_reg("summary_facts", lambda s, sf: LP.summary_facts_df(s, _analysis(s, sf, "fx_leak")), None)
