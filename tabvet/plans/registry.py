@@ -902,3 +902,123 @@ _reg("analyse_rounds", lambda s, sf: LP.attempts_df(s, _analysis(s, sf, "fx_leak
 _reg("analyse_steps", lambda s, sf: LP.steps_df(s, _analysis(s, sf, "fx_leak")), None)
 _reg("report_rows", lambda s, sf: LP.report_rows(s, _analysis(s, sf, "fx_leak")), None)
 _reg("summary_facts", lambda s, sf: LP.summary_facts_df(s, _analysis(s, sf, "fx_leak")), None)
+
+
+# ---------------------------------------------------------------- sources and sinks
+from tabvet.session import scratch_path  # noqa: E402
+
+
+@lru_cache(maxsize=8)
+def _written_csv(spark, sf: str, rel: str) -> str:
+    """Write a relation as a comma CSV (S12) into the shared scratch folder."""
+    path = scratch_path(spark, f"csv-{rel}")
+    SK.write_clean(relation(spark, sf, rel).coalesce(1), path)
+    return path
+
+
+def _scan_roundtrip(spark, sf):
+    df, _ = S.scan(spark, _written_csv(spark, sf, "lineitem"))
+    return df
+
+
+_reg("scan_csv_roundtrip", _scan_roundtrip, """
+SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice,
+       l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000') AS l_shipdate
+FROM lineitem""")
+_reg("scan_null_tokens", lambda s, sf: S.null_tokens(_dirty(s, sf)),
+     _fx(f"SELECT {', '.join((f'CASE WHEN {c} IN ({chr(44).join(OP.lit(t) for t in K.READER_NA_TOKENS)}) THEN NULL ELSE {c} END AS {c}') if c in _DIRTY_TEXT else c for c in _DIRTY_COLS)} FROM fx_dirty_orders"))
+
+
+def _as_text(spark, sf):
+    from pyspark.sql import functions as F
+    d = S.null_tokens(_dirty(spark, sf))
+    return d.select(*[F.col(c).cast("string").alias(c) for c in d.columns])
+
+
+_TEXT_SQL = f"SELECT {', '.join((f'CAST(CASE WHEN {c} IN ({chr(44).join(OP.lit(t) for t in K.READER_NA_TOKENS)}) THEN NULL ELSE {c} END AS VARCHAR) AS {c}') if c in _DIRTY_TEXT else f'CAST({c} AS VARCHAR) AS {c}' for c in _DIRTY_COLS)} FROM fx_dirty_orders"
+_reg("infer_types", lambda s, sf: S.infer_types(_as_text(s, sf)), _fx(" UNION ALL ".join(f"""
+SELECT {i} AS position, '{c}' AS column_name, CASE
+  WHEN count({c}) = 0 THEN 'double'
+  WHEN count_if({c} IS NOT NULL AND NOT regexp_matches({c}, '{S.INT_RX}')) = 0 AND count({c}) = count(*) THEN 'bigint'
+  WHEN count_if({c} IS NOT NULL AND NOT regexp_matches({c}, '{S.FLOAT_RX}') AND lower({c}) NOT IN ('nan', '-nan')) = 0 THEN 'double'
+  WHEN count_if({c} IS NOT NULL AND {c} NOT IN ('True', 'False', 'true', 'false', 'TRUE', 'FALSE')) = 0 AND count({c}) = count(*) THEN 'boolean'
+  ELSE 'string' END AS inferred FROM ({_TEXT_SQL}) t""" for i, c in enumerate(_DIRTY_COLS))))
+
+
+@lru_cache(maxsize=4)
+def _dialect_dir(spark, sf: str) -> str:
+    """Write customer in four dialects and two encodings (one file each)."""
+    from pyspark.sql import functions as F
+    base = scratch_path(spark, "dialects")
+    cust = relation(spark, sf, "customer")
+    for name, sep in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", "|")):
+        (cust.coalesce(1).write.option("header", True).option("sep", sep).csv(f"{base}/{name}"))
+    # latin-1 text with accents, from the French documents' first lines
+    docs = (relation(spark, sf, "documents").where(F.col("lang") == "fr")
+            .select("doc_id", F.substring_index("text", "\n", 1).alias("line")))
+    docs.coalesce(1).write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1") \
+        .csv(f"{base}/latin1")
+    return base
+
+
+_reg("sniff_encoding", lambda s, sf: S.sniff(s, _dialect_dir(s, sf) + "/*", "*.csv").select(
+    "encoding", "delimiter").groupBy("encoding", "delimiter").count(), None)
+_reg("sniff_delimiter", lambda s, sf: S.sniff(s, _dialect_dir(s, sf) + "/*", "*.csv").select(
+    __import__("pyspark.sql.functions", fromlist=["regexp_extract"]).regexp_extract("path", r"/([a-z0-9]+)/part-", 1)
+    .alias("dialect"), "delimiter", "encoding"), None)
+
+
+def _repair(spark, sf):
+    from pyspark.sql import functions as F
+    base = scratch_path(spark, "headers")
+    ords = relation(spark, sf, "orders")
+    lines = ords.select(F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                    "o_orderpriority").alias("value"))
+    header = spark.createDataFrame([(" o_orderkey ,, o_custkey,O_CUSTKEY,o_custkey",)], "value string")
+    header.union(lines).coalesce(1).write.text(base)
+    df, _ = S.scan(spark, base, delimiter=",", encoding="utf-8")
+    return spark.createDataFrame(list(enumerate(df.columns)), "position int, column_name string").crossJoin(
+        df.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+_reg("repair_headers", _repair, None)
+_reg("cap_rows", lambda s, sf: (lambda capped: capped[0].agg(
+    __import__("pyspark.sql.functions", fromlist=["count"]).count("*").alias("rows_read")).withColumn(
+    "sampled", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(capped[1])))(
+    S.cap_rows(relation(s, sf, "lineitem"), K.MAX_PROFILE_ROWS)),
+     f"SELECT least(count(*), {K.MAX_PROFILE_ROWS}) AS rows_read, count(*) > {K.MAX_PROFILE_ROWS} AS sampled FROM lineitem")
+_reg("list_inputs", lambda s, sf: S.list_inputs(s, _dialect_dir(s, sf) + "/*").unionByName(
+    S.list_inputs(s, sf)), None)
+_NONFINITE = ("CASE WHEN l_linenumber = 1 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 2 THEN CAST('Infinity' AS DOUBLE) "
+              "WHEN l_linenumber = 3 THEN CAST('-Infinity' AS DOUBLE) ELSE l_tax END")
+_reg("finite_values",
+     lambda s, sf: S.finite(relation(s, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber",
+                                                                    f"{_NONFINITE} AS v")),
+     f"SELECT l_orderkey, l_linenumber, CASE WHEN isnan(v) OR isinf(v) THEN NULL ELSE v END AS v FROM (SELECT l_orderkey, l_linenumber, {_NONFINITE} AS v FROM lineitem) t")
+
+
+def _dedupe(spark, sf):
+    from pyspark.sql import functions as F
+    new, dups = S.ingest(relation(spark, sf, "documents"), None, "source", "text", "doc_id")
+    return (new.select("doc_id", "source", "content_hash", F.lit(False).alias("is_duplicate"),
+                       F.col("doc_id").alias("existing_doc_id"))
+            .unionByName(dups.select("doc_id", "source", "content_hash", F.lit(True).alias("is_duplicate"),
+                                     "existing_doc_id")))
+
+
+_reg("dedupe_by_content_hash", _dedupe, """
+SELECT doc_id, source, content_hash, doc_id <> first_id AS is_duplicate, first_id AS existing_doc_id FROM (
+  SELECT doc_id, source, sha256(text) AS content_hash,
+         min(doc_id) OVER (PARTITION BY source, sha256(text)) AS first_id FROM documents) t""")
+
+
+def _clean_sink(spark, sf):
+    from pyspark.sql import functions as F
+    path = scratch_path(spark, "clean-sink")
+    SK.write_clean(C.clean(_dirty(spark, sf)).table, path)
+    back, info = S.scan(spark, path)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(back.columns)).alias("n_columns"),
+                    F.lit(info["delimiter"]).alias("delimiter"), F.lit(info["encoding"]).alias("encoding"))
+
+
+_reg("clean_sink", _clean_sink, None)
