@@ -89,6 +89,8 @@ SEMANTIC_TYPES = (
     "high_cardinality_categorical", "unsupported",
 )
 
+# Every format below starts like this; anything else is not tried at all.
+DATE_SHAPE = r"^([0-9]{2}|[A-Z][a-z]{2} [0-9])"
 # Date formats a text column is tried against (first match wins): a shape
 # regex that gates the parse, the Spark pattern and the equivalent strptime
 # pattern. The gate keeps failing parses cheap and makes both engines agree.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvet.functions.constants import (
+    DATE_SHAPE,
     DATETIME_FORMATS,
     MIN_SUBSTRING_KEYWORD,
     MISSING_MARKERS,
@@ -56,8 +57,9 @@ def finite(c: Column) -> Column:
 
 def parse_datetime(c: Column) -> Column:
     """First successful parse among the fixed formats, else null."""
-    return F.coalesce(*[F.when(c.rlike(rx), F.try_to_timestamp(c, F.lit(fmt)))
-                        for rx, fmt, _ in DATETIME_FORMATS])
+    parsed = F.coalesce(*[F.when(c.rlike(rx), F.try_to_timestamp(c, F.lit(fmt)))
+                          for rx, fmt, _ in DATETIME_FORMATS])
+    return F.when(c.rlike(DATE_SHAPE), parsed)
 
 
 def name_suggests_target(c: Column) -> Column:

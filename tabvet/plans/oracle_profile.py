@@ -254,7 +254,7 @@ def numeric_stats(rel: str) -> str:
     return wrap(rel, profiled_sql(rel), f"""
 SELECT column_name, non_null AS n, min, max, mean, median,
        CASE WHEN non_null > 1 THEN std END AS std, q1, q3, q3 - q1 AS iqr,
-       CASE WHEN non_null >= 3 THEN skew_adj END AS skew, zero_count, negative_count
+       CASE WHEN non_null >= 3 THEN round(skew_adj, 10) END AS skew, zero_count, negative_count
 FROM prof WHERE semantic_type IN {NUMERIC_TYPES} AND type_class IN ('integral', 'fractional') AND non_null > 0""")
 
 
@@ -403,7 +403,7 @@ FROM nr WHERE n_rows < {K.FEW_ROWS}""")
 
 
 def _numeric_stats_select() -> str:
-    return (f"SELECT column_name, CASE WHEN non_null >= 3 THEN skew_adj END AS skew FROM prof "
+    return (f"SELECT column_name, CASE WHEN non_null >= 3 THEN round(skew_adj, 10) END AS skew FROM prof "
             f"WHERE semantic_type IN {NUMERIC_TYPES} AND type_class IN ('integral', 'fractional') AND non_null > 0")
 
 
