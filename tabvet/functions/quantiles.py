@@ -15,22 +15,31 @@ from pyspark.sql import functions as F
 
 
 MAX_ROWS_PER_TASK = 20_000_000
+MAX_MAP_ENTRIES = 2_000_000
 
 
 def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name", value: str = "num",
-                    count: str = "cnt", max_rows_per_task: int = MAX_ROWS_PER_TASK) -> DataFrame:
+                    count: str = "cnt", max_rows_per_task: int = MAX_ROWS_PER_TASK,
+                    max_map_entries: int = MAX_MAP_ENTRIES) -> DataFrame:
     """``(key, q)`` with ``q`` an array aligned with ``probs`` (null when the
     key has no values).
 
-    The distinct values per key are counted first (one row per key). When
-    every key fits in one task (``max_rows_per_task``) the running count is
-    a window per key; otherwise keys are cut into range buckets from
-    ``percentile_approx`` split points, sized so no bucket exceeds the bound
-    on average.
+    The distinct values per key are counted first (one row per key); that
+    checked bound picks the plan:
+
+    * at most ``max_map_entries`` distinct values per key: Spark's exact
+      ``percentile`` with the count as frequency (its value map never holds
+      more than the bound);
+    * at most ``max_rows_per_task``: a running count in a window per key;
+    * beyond: keys are cut into range buckets from ``percentile_approx``
+      split points, sized so no bucket exceeds the bound on average.
     """
     f = freq.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.col(count).alias("_c"))
     sizes = f.groupBy(key).agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"))
     largest = sizes.agg(F.max("_d")).first()[0] or 0
+    if largest <= max_map_entries:
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c"))
+        return f.groupBy(key).agg(q.alias("q"))
     buckets = 1 if largest <= max_rows_per_task else int(2 * -(-largest // max_rows_per_task))
     if buckets == 1:
         splits = sizes.select(key, "_n")
@@ -40,13 +49,16 @@ def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name
         splits = f.groupBy(key).agg(
             F.array_distinct(F.percentile_approx("_v", split_probs, 10 * buckets)).alias("_splits"),
             F.sum("_c").alias("_n"))
-        tagged = (f.join(F.broadcast(splits.select(key, "_splits")), key)
+        sp = splits.select(F.col(key).alias("_k2"), "_splits")
+        tagged = (f.join(F.broadcast(sp), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2")
                   .withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col("_v")))).drop("_splits"))
     totals = tagged.groupBy(key, "_b").agg(F.sum("_c").alias("_t"))
     wo = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_b", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
     wi = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (tagged.join(F.broadcast(offsets), [key, "_b"])
+    offs = offsets.select(F.col(key).alias("_k2"), F.col("_b").alias("_b2"), "_off")
+    ranked = (tagged.join(F.broadcast(offs), F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+              .drop("_k2", "_b2")
               .withColumn("_cb", F.col("_off") + F.coalesce(F.sum("_c").over(wi), F.lit(0))))
     targets = splits.select(key, F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"),
                             "_n")
@@ -54,7 +66,8 @@ def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name
                .withColumn("_lo", F.floor("_pos")).withColumn("_hi", F.ceil("_pos")))
     hit_lo = (F.col("_lo") >= F.col("_cb")) & (F.col("_lo") < F.col("_cb") + F.col("_c"))
     hit_hi = (F.col("_hi") >= F.col("_cb")) & (F.col("_hi") < F.col("_cb") + F.col("_c"))
-    picked = (ranked.join(F.broadcast(targets.drop("_n")), key).where(hit_lo | hit_hi)
+    tg = targets.drop("_n").withColumnRenamed(key, "_k2")
+    picked = (ranked.join(F.broadcast(tg), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2").where(hit_lo | hit_hi)
               .groupBy(key, "_i", "_pos", "_lo")
               .agg(F.max(F.when(hit_lo, F.col("_v"))).alias("_xlo"), F.max(F.when(hit_hi, F.col("_v"))).alias("_xhi")))
     q = picked.select(key, "_i", (F.col("_xlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo")))
@@ -76,3 +89,17 @@ def long_values(df: DataFrame, cols: list[str]) -> DataFrame:
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """Exact quantiles of several numeric columns ``(column_name, q)``."""
     return exact_quantiles(long_values(df, cols), probs)
+
+
+def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float | None]:
+    """Exact medians (one row per column comes back to the driver)."""
+    got = {r["column_name"]: r["q"][0] for r in column_quantiles(df, cols, [0.5]).collect()}
+    return {c: got.get(c) for c in cols}
+
+
+def grouped_quantile(df: DataFrame, group: str, value: str, prob: float) -> DataFrame:
+    """Exact quantile of ``value`` per ``group`` (null group kept) ``(group, q)``."""
+    v = F.col(value).cast("double")
+    freq = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(F.col(group).alias("_g"), (v + F.lit(0.0)).alias("num"))
+            .agg(F.count(F.lit(1)).alias("cnt")))
+    return exact_quantiles(freq, [prob], key="_g").select(F.col("_g").alias(group), F.col("q")[0].alias("q"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabvet.functions import constants as K
 from tabvet.functions.exprs import column_classes, rnd
+from tabvet.functions.quantiles import column_medians, exact_quantiles, long_values
 
 HASH_BUCKETS = 65536  # first 4 hex digits of the md5 order key
 
@@ -193,13 +194,13 @@ def split_auto(df: DataFrame, key: str, label: str, task: str, seed: int = K.RAN
 # -------------------------------------------------------------------- F6
 def quantile_edges(df: DataFrame, cols: list[str], bins: int = K.LEAK_BINS) -> DataFrame:
     """Edges for ``bins`` quantile bins (duplicate edges dropped) and the
-    distinct count, per column ``(column_name, n_distinct, edges)``."""
-    probs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    structs = [F.struct(F.lit(c).alias("column_name"),
-                        F.count_distinct(_num(c)).alias("n_distinct"),
-                        F.array_sort(F.array_distinct(F.percentile(_num(c), probs))).alias("edges"))
-               for c in cols]
-    return df.agg(F.array(*structs).alias("e")).select(F.inline("e"))
+    distinct count, per column ``(column_name, n_distinct, edges)``; one
+    frequency table serves both."""
+    freq = long_values(df, cols)
+    distinct = freq.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    q = exact_quantiles(freq, [i / bins for i in range(bins + 1)])
+    return (distinct.join(q, "column_name")
+            .select("column_name", "n_distinct", F.array_sort(F.array_distinct("q")).alias("edges")))
 
 
 def _num(c: str) -> Column:
@@ -258,10 +259,12 @@ def numeric_prep_params(train: DataFrame, cols: list[str]) -> DataFrame:
     """F9 fitted on the training part: median for imputation, whether a
     missing indicator is needed, and mean / population std of the imputed
     column ``(column_name, median, has_nulls, mean, scale)``."""
+    medians = column_medians(train, cols)
     structs = []
     for c in cols:
         x = _num(c)
-        structs.append(F.struct(F.lit(c).alias("column_name"), F.median(x).alias("median"),
+        structs.append(F.struct(F.lit(c).alias("column_name"),
+                                F.lit(medians[c]).cast("double").alias("median"),
                                 (F.count_if(x.isNull()) > 0).alias("has_nulls"),
                                 F.count(F.lit(1)).alias("n")))
     med = train.agg(F.array(*structs).alias("m")).select(F.inline("m"))
