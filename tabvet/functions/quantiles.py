@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 
 MAX_ROWS_PER_TASK = 20_000_000
 MAX_MAP_ENTRIES = 2_000_000
+MAX_BROADCAST_KEYS = 100_000
+
+
+def _small(df: DataFrame, ok: bool) -> DataFrame:
+    """Broadcast hint only behind the checked key count."""
+    return F.broadcast(df) if ok else df
 
 
 def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name", value: str = "num",
@@ -36,7 +42,8 @@ def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name
     """
     f = freq.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.col(count).alias("_c"))
     sizes = f.groupBy(key).agg(F.count(F.lit(1)).alias("_d"), F.sum("_c").alias("_n"))
-    largest = sizes.agg(F.max("_d")).first()[0] or 0
+    stats = sizes.agg(F.max("_d").alias("largest"), F.count(F.lit(1)).alias("keys")).first()
+    largest, small = stats["largest"] or 0, (stats["keys"] or 0) <= MAX_BROADCAST_KEYS
     if largest <= max_map_entries:
         q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_c"))
         return f.groupBy(key).agg(q.alias("q"))
@@ -50,14 +57,14 @@ def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name
             F.array_distinct(F.percentile_approx("_v", split_probs, 10 * buckets)).alias("_splits"),
             F.sum("_c").alias("_n"))
         sp = splits.select(F.col(key).alias("_k2"), "_splits")
-        tagged = (f.join(F.broadcast(sp), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2")
+        tagged = (f.join(_small(sp, small), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2")
                   .withColumn("_b", F.size(F.filter("_splits", lambda s: s < F.col("_v")))).drop("_splits"))
     totals = tagged.groupBy(key, "_b").agg(F.sum("_c").alias("_t"))
     wo = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_b", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
     wi = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     offs = offsets.select(F.col(key).alias("_k2"), F.col("_b").alias("_b2"), "_off")
-    ranked = (tagged.join(F.broadcast(offs), F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+    ranked = (tagged.join(_small(offs, small), F.col(key).eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")))
               .drop("_k2", "_b2")
               .withColumn("_cb", F.col("_off") + F.coalesce(F.sum("_c").over(wi), F.lit(0))))
     targets = splits.select(key, F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"),
@@ -67,7 +74,7 @@ def exact_quantiles(freq: DataFrame, probs: list[float], key: str = "column_name
     hit_lo = (F.col("_lo") >= F.col("_cb")) & (F.col("_lo") < F.col("_cb") + F.col("_c"))
     hit_hi = (F.col("_hi") >= F.col("_cb")) & (F.col("_hi") < F.col("_cb") + F.col("_c"))
     tg = targets.drop("_n").withColumnRenamed(key, "_k2")
-    picked = (ranked.join(F.broadcast(tg), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2").where(hit_lo | hit_hi)
+    picked = (ranked.join(_small(tg, small), F.col(key).eqNullSafe(F.col("_k2"))).drop("_k2").where(hit_lo | hit_hi)
               .groupBy(key, "_i", "_pos", "_lo")
               .agg(F.max(F.when(hit_lo, F.col("_v"))).alias("_xlo"), F.max(F.when(hit_hi, F.col("_v"))).alias("_xhi")))
     q = picked.select(key, "_i", (F.col("_xlo") + (F.col("_pos") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo")))

@@ -150,11 +150,11 @@ def split(df: DataFrame, key: str, label: str | None = None, test_size: float =
     wc = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = (hist.withColumn("cum", F.sum("cnt").over(wc))
            .withColumn("before", F.col("cum") - F.col("cnt"))
-           .join(F.broadcast(quotas), "_c")
+           .join(quotas, "_c")
            .where((F.col("before") < F.col("quota")) & (F.col("cum") >= F.col("quota")))
            .select("_c", F.col("_b").alias("edge_b"), (F.col("quota") - F.col("before")).alias("need")))
     # Classes whose quota is 0 have no boundary bucket: everything is train.
-    tagged = work.join(F.broadcast(cum), "_c", "left")
+    tagged = work.join(cum, "_c", "left")
     inner = tagged.where(F.col("_b") == F.col("edge_b"))
     wr = Window.partitionBy("_c").orderBy("_h", key)
     inner = inner.withColumn("is_test", F.row_number().over(wr) <= F.col("need"))
@@ -165,7 +165,7 @@ def split(df: DataFrame, key: str, label: str | None = None, test_size: float =
 
 def _quotas(class_counts: DataFrame, totals: DataFrame, test_size: float, stratified: bool) -> DataFrame:
     """Per-class test quotas (tiny table)."""
-    t = class_counts.crossJoin(F.broadcast(totals))
+    t = class_counts.crossJoin(F.broadcast(totals))  # one row
     n_test = F.ceil(F.lit(float(test_size)) * F.col("n").cast("double"))
     use_strata = F.lit(stratified) & (F.col("min_c") >= 2)
     base = F.floor(n_test * F.col("n_c") / F.col("n"))

@@ -637,10 +637,8 @@ _reg("ledger_owned",
      with_ctes("SELECT d.* FROM fx_datasets d JOIN fx_projects p ON d.project_id = p.project_id WHERE p.owner_id = 7",
                "fx_projects", "fx_datasets"))
 _reg("ledger_run_tree", lambda s, sf: R.run_tree(_runs(s, sf)), with_ctes("""
-SELECT parent_run_id AS run_id, count(*) AS n_children,
-       array_to_string(list_sort(list(CAST(run_id AS VARCHAR))), ',') AS child_ids
-FROM fx_runs WHERE parent_run_id IS NOT NULL AND parent_run_id IN (SELECT run_id FROM fx_runs)
-GROUP BY parent_run_id""", "fx_runs"))
+SELECT parent_run_id AS run_id, run_id AS child_id, count(*) OVER (PARTITION BY parent_run_id) AS n_children
+FROM fx_runs WHERE parent_run_id IS NOT NULL AND parent_run_id IN (SELECT run_id FROM fx_runs)""", "fx_runs"))
 _ORPHAN_NOW = _dt.datetime(2026, 1, 1, 0, 0, 0)
 _reg("ledger_orphans", lambda s, sf: R.fail_orphans(_runs(s, sf), _ORPHAN_NOW), with_ctes(f"""
 SELECT * EXCLUDE (status), CASE WHEN status IN ('running', 'pending') THEN 'failed' ELSE status END AS status,

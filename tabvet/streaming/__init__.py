@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is synchronous end to end: one uploaded table, one analysis
+run, no streams, watermarks or stateful operators (SURVEY section 2.11). No
+streaming operator is built, so none is claimed; the ledger operators in
+``tabvet.operators.ledger`` work on appended parquet tables instead.
+"""
