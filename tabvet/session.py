@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -52,3 +54,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabvet`` importable on executors (Python workers run the
+    ``mapInPandas`` helpers of TreeSHAP and file sniffing). The package is
+    zipped once per SparkContext into the shared checkpoint folder and added
+    with ``addPyFile``."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "tabvet-py") + ".zip"
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:
+        # Remote shared storage: build locally, then let Spark distribute it.
+        local = os.path.join(tempfile.mkdtemp(prefix="tabvet-zip-"), "tabvet.zip")
+        target = local
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
