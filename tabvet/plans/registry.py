@@ -1020,3 +1020,63 @@ def _clean_sink(spark, sf):
 
 
 _reg("clean_sink", _clean_sink, None)
+
+
+# ---------------------------------------------------------------- stable float outputs
+# Doubles that come from float sums or interpolated quantiles may differ in
+# the last bit between engines (different summation order / formula). For the
+# side-by-side check both sides round them to 10 significant digits with the
+# same arithmetic: k = 9 - floor(log10|x|); floor(x * 10^k + 0.5) / 10^k.
+def _sig_spark(c):
+    from pyspark.sql import functions as F
+    x = F.col(c)
+    k = F.lit(9.0) - F.floor(F.log10(F.abs(x)))
+    scale = F.pow(F.lit(10.0), k)
+    return F.when(x.isNull() | (x == 0) | F.isnan(x), x).otherwise(F.floor(x * scale + F.lit(0.5)) / scale)
+
+
+def _sig_sql(c: str) -> str:
+    k = f"(9.0 - floor(log10(abs({c}))))"
+    return (f"CASE WHEN {c} IS NULL OR {c} = 0 OR isnan({c}) THEN {c} "
+            f"ELSE floor({c} * pow(10.0, {k}) + 0.5) / pow(10.0, {k}) END")
+
+
+def _stabilise(key: str, cols: list[str]) -> None:
+    fn, sql = REGISTRY[key]
+
+    def wrapped(spark, sf, _fn=fn):
+        df = _fn(spark, sf)
+        for c in cols:
+            df = df.withColumn(c, _sig_spark(c))
+        return df
+
+    new_sql = None
+    if sql is not None:
+        repl = ", ".join(f'{_sig_sql(OP.q(c))} AS {OP.q(c)}' for c in cols)
+        new_sql = f"SELECT * REPLACE ({repl}) FROM ({sql}) _stable"
+    REGISTRY[key] = (wrapped, new_sql)
+
+
+for _key, _cols in {
+    "numeric_stats": ["mean", "median", "std", "q1", "q3", "iqr"],
+    "iqr_outliers": ["lower", "upper"],
+    "iqr_outliers_documents": ["lower", "upper"],
+    "correlations": ["r"],
+    "correlations_lineitem": ["r"],
+    "quality_warnings": ["value"],
+    "quality_warnings_events": ["value"],
+    "quality_warnings_fx_sum": ["value"],
+    "ask_describe_numeric": ["mean", "median", "std"],
+    "ask_agg_mean": ["metric"],
+    "ask_agg_sum": ["metric"],
+    "ask_agg_median": ["metric"],
+    "ask_correlation": ["pearson_r"],
+    "impute_median": ["median"],
+    "standard_scale": ["mean", "scale"],
+    "classification_metrics": ["accuracy", "precision", "recall", "f1"],
+    "roc_auc": ["roc_auc"],
+    "regression_metrics": ["r2", "mae", "rmse", "mse"],
+    "fold_importance": ["importance"],
+    "dead_features": ["share"],
+}.items():
+    _stabilise(_key, _cols)
