@@ -41,18 +41,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster's setting wins; a scratch folder is chosen only when it is
     unset (local tests).
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        # Only when nothing is configured (local tests): a scratch folder.
         configured = tempfile.mkdtemp(prefix="tabvet-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        try:
+            spark.conf.set("spark.checkpoint.dir", configured)
+        except Exception:  # noqa: BLE001 - static conf on some deployments
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    _DIRS[sc.applicationId] = configured
     return configured
 
 
+_DIRS: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
+    base = _DIRS.get(spark.sparkContext.applicationId) or ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.getpid()}-{os.urandom(4).hex()}")
 
 
