@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,21 +46,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 # ------------------------------------------------------------------ hashing
-class WordHashes(dict):
-    """64-bit hash of a word, remembered while the vocabulary is small."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -71,6 +55,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACE)] = True
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(length: int) -> list[np.ndarray]:
+    """_BASE and its inverse modulo 2**64, to the powers 0 ... length - 1 or more."""
+    if not _POWERS or len(_POWERS[0]) < length:
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * length, x)])) for x in (_BASE, inverse)]
+    return _POWERS
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all ``texts``, and the bounds of each text's words.
+
+    Words are runs of anything but ASCII white space. All words are hashed at
+    once, as differences of a running polynomial over the joined bytes.
+    """
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    power, inverse = _powers(len(raw))
+    gap = np.concatenate([[True], _IS_SPACE[raw], [True]])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[::2], edge[1::2]
+    run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * power[:len(raw)])])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return mix((run[end] - run[start]) * inverse[start]), np.concatenate([[0], np.searchsorted(start, ends)])
+
+
 # ------------------------------------------------------------- Bloom filters
 BLOCK = 1 << 16  # bytes of a filter that travel in one row
 PROBES = 4

@@ -11,17 +11,17 @@ pairs that the first left in different components.
 """
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from tabvet.llm.common import (WordHashes, as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, saved)
+from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, saved, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Entries of the table of frequent shingles that sets the order: a bound on
@@ -29,27 +29,42 @@ WORDS, PERCENT = 5, 80
 #: order gives the same links.
 FREQUENT = 1 << 18
 CELLS = 256  # of the suffix filter's histogram
+MARKS = 1 << 22  # places of the table that tells at once that a shingle isn't frequent
 LOW_BITS, HIGH_BITS = 18, 28
-CHUNK = 512  # documents whose sets are held at once
+CHUNK = 128  # documents whose sets are held at once
 
 
-def shingle_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; a shorter text is one shingle."""
-    if not len(words):
+def shingle_sets(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams; a shorter text is one shingle."""
+    words, bounds = word_hashes([t.lower() for t in texts])
+    grams = _grams(words, n)
+    out = []
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        own = grams[lo:hi - n + 1] if hi - lo >= n else _grams(words[lo:hi], hi - lo)
+        own = np.sort(own)
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
+    return out
+
+
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words at each place, the number of words among it."""
+    if n == 0 or len(words) < n:
         return np.empty(0, np.uint64)
-    k = min(n, len(words))
-    total = np.full(len(words) - k + 1, np.uint64(k), np.uint64)
-    for i in range(k):
-        total += mix(words[i:len(words) - k + 1 + i] + np.uint64(2 * i + 1)) * np.uint64(2 * i + 3)
-    return np.unique(mix(total))
+    total = np.full(len(words) - n + 1, np.uint64(n), np.uint64)
+    for i in range(n):
+        total += words[i:len(words) - n + 1 + i] * _FACTORS[i]
+    return mix(total)
+
 
+_FACTORS = mix(np.arange(101, 101 + 64, dtype=np.uint64)) | np.uint64(1)
 
-def _sets(texts: pa.Array, hashes: WordHashes, n: int) -> list[np.ndarray]:
-    return [shingle_set(hashes.of(t.lower().split()), n) for t in as_bytes(texts)]
+
+def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    return shingle_sets(as_bytes(texts), n)
 
 
 def _class_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def _histogram(s: np.ndarray) -> bytes:
@@ -92,11 +107,10 @@ class JaccardJoin:
         n_words = self.words
 
         def scan(batches):
-            hashes = WordHashes()
             for batch in batches:
                 out, seen = [], []
                 for part in _chunks([batch], CHUNK):
-                    sets = _sets(part.column(1), hashes, n_words)
+                    sets = _sets(part.column(1), n_words)
                     out += zip(part.column(0).to_pylist(), (len(s) for s in sets), (_class_of(s) for s in sets),
                                (_histogram(s) for s in sets), strict=True)
                     values, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -121,20 +135,28 @@ class JaccardJoin:
         n_words, percent, order = self.words, self.percent, self._order
 
         def prefixes(batches):
-            hashes, known, counts = WordHashes(), *order.value
+            known, counts = order.value
+            low = np.uint64(MARKS - 1)
+            marked = np.zeros(MARKS, bool)
+            marked[(known & low).astype(np.int64)] = True
             for part in _chunks(batches, CHUNK):
                 done, ks, cs, ns, ps = set(), [], [], [], []
-                for s in _sets(part.column(1), hashes, n_words):
+                for s in _sets(part.column(1), n_words):
                     c = _class_of(s)
                     if not len(s) or c in done:
                         continue
                     done.add(c)
-                    rank = np.zeros(len(s), np.int32)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        rank = np.where(known[at] == s, counts[at], 0)
                     size = len(s) - -(-percent * len(s) // 100) + 1
-                    ks.append(s[np.argsort(rank, kind="stable")[:size]])
+                    maybe = np.flatnonzero(marked[(s & low).astype(np.int64)])
+                    at = np.searchsorted(known, s[maybe])
+                    at[at == len(known)] = 0
+                    count = np.where(known[at] == s[maybe], counts[at], 0) if len(known) else at
+                    rank = np.zeros(len(s), np.int32)
+                    rank[maybe] = count
+                    first = np.flatnonzero(rank == 0)[:size]
+                    if len(first) < size:
+                        first = np.argsort(rank, kind="stable")[:size]
+                    ks.append(s[first])
                     cs.append(np.full(size, c, np.int64))
                     ns.append(np.full(size, len(s), np.int32))
                     ps.append(np.arange(size, dtype=np.int32))
@@ -172,9 +194,9 @@ class JaccardJoin:
         shared = self.spark.sparkContext.broadcast(once)
 
         def fetch(batches):
-            hashes, bits, done = WordHashes(), np.frombuffer(shared.value, np.uint8), set()
+            bits, done = np.frombuffer(shared.value, np.uint8), set()
             for part in _chunks(batches, CHUNK):
-                sets = _sets(part.column(1), hashes, n_words)
+                sets = _sets(part.column(1), n_words)
                 cs = np.array([_class_of(s) for s in sets], np.int64)
                 out = []
                 for i in np.flatnonzero(bloom_has(bits, cs.view(np.uint64), bits_log2)):
@@ -190,8 +212,9 @@ class JaccardJoin:
         found = self.docs.mapInArrow(fetch, "c bigint, shingles array<bigint>")
         return saved(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
 
-    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def _verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked): exact intersection of both sets."""
+        sets = self._fetch(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("c")).distinct())
         one = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", _linked(F.col("sa"), F.col("sb"), F.lit(self.percent)).alias("linked"))
@@ -210,8 +233,7 @@ class JaccardJoin:
         near = (shared.withColumn("x", F.lag(me).over(order)).withColumn("y", F.first(me).over(order))
                 .select("c", "n", "i", F.explode(F.array_distinct(F.array("x", "y"))).alias("o")).where("o IS NOT NULL AND o.c <> c"))
         first = saved(self._suffixes(self._pass(_pair(near))), "join-pairs")
-        sets = self._fetch(shared.select("c").distinct())
-        checked = saved(self._verify(first, sets), "join-checked")
+        checked = saved(self._verify(first), "join-checked")
         found = checked.where("linked").select("a", "b")
         label = saved(components(found, "join"), "join-labels")
 
@@ -224,7 +246,7 @@ class JaccardJoin:
         cross = (apart.join(other, "k").where((F.col("label") < F.col("label2"))
                                               & (F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * self.percent)))
         second = saved(self._suffixes(self._pass(_pair(cross)).join(checked.select("a", "b"), ["a", "b"], "left_anti")), "join-pairs")
-        more = saved(self._verify(second, sets).where("linked").select("a", "b"), "join-links")
+        more = saved(self._verify(second).where("linked").select("a", "b"), "join-links")
         every = found.unionByName(more)
         return every, components(every, "join")
 
