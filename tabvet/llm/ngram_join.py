@@ -5,9 +5,9 @@ shares a shingle among the first few of both sets, so only those prefixes are
 joined; length, positional and suffix filters remove pairs before any set is
 fetched, and each pair left is verified once by exact intersection. Documents
 with equal sets are one class and never form pairs. Prefix keys are worked in
-two rounds: the first pairs every class with its neighbour and with the first
-class of its key, which is linear in the key's size; the second takes all
-pairs that the first left in different components.
+rounds: the first ones pair every class with its neighbours in orders that put
+similar sets side by side, which is linear in the key's size; the last takes
+all pairs that they left in different components.
 """
 from __future__ import annotations
 
@@ -27,10 +27,12 @@ WORDS, PERCENT = 5, 80
 #: Entries of the table of frequent shingles that sets the order: a bound on
 #: what is broadcast (12 bytes each). Shingles outside it count as rare; any
 #: order gives the same links.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 CELLS = 256  # of the suffix filter's histogram
+BITS = 512   # of its bitmap
 MARKS = 1 << 22  # places of the table that tells at once that a shingle isn't frequent
 LOW_BITS, HIGH_BITS = 18, 28
+RECENT = 1 << 21  # shingles that a task remembers to notice repeats
 CHUNK = 128  # documents whose sets are held at once
 
 
@@ -71,6 +73,13 @@ def _histogram(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """BITS bits: whether an odd number of the set's hashes falls on each. Two
+    sets differ in at least as many elements as their bitmaps in bits."""
+    odd = np.bincount((s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):
@@ -98,30 +107,38 @@ class JaccardJoin:
         scanned = saved(self._scan(), "join-scan")
         #: doc_id, n, c: one row per document; c names its class of equal sets.
         self.members = scanned.where("kind = 0").select("doc_id", "n", "c")
-        self._suffix = scanned.where("kind = 0 AND n > 0").groupBy("c").agg(F.any_value("cells").alias("cells"))
+        classes = scanned.where("kind = 0 AND n > 0").groupBy("c")
+        self._suffix = classes.agg(F.any_value("cells").alias("cells"))
+        self._orders = classes.agg(F.any_value("o1").alias("o1"), F.any_value("o2").alias("o2"), F.any_value("b").alias("b"))
         self._order = self._frequent(scanned.where("kind = 1").select("c", "n"))
 
     # ---------------------------------------------------------------- scanning
     def _scan(self) -> DataFrame:
-        """A row per document (kind 0), and counts of shingles that several documents of a batch share (kind 1)."""
+        """A row per document (kind 0), and repeats of shingles that tasks have noticed (kind 1)."""
         n_words = self.words
 
         def scan(batches):
+            recent, low = np.zeros(RECENT, np.uint64), np.uint64(RECENT - 1)
             for batch in batches:
-                out, seen = [], []
+                out, again, times = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
                 for part in _chunks([batch], CHUNK):
                     sets = _sets(part.column(1), n_words)
                     out += zip(part.column(0).to_pylist(), (len(s) for s in sets), (_class_of(s) for s in sets),
-                               (_histogram(s) for s in sets), strict=True)
+                               (_histogram(s) for s in sets), (_bitmap(s) for s in sets), *zip(*(_orders(s) for s in sets), strict=True), strict=True)
                     values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                    seen.append((values[counts > 1], counts[counts > 1]))
+                    place = (values & low).astype(np.int64)
+                    counts += (recent[place] == values) - 1
+                    recent[place] = values
+                    again.append(values[counts > 0])
+                    times.append(counts[counts > 0])
                 yield _scan_batch(0, *zip(*out, strict=True))
-                values, at = np.unique(np.concatenate([v for v, _ in seen]), return_inverse=True)
+                values, at = np.unique(np.concatenate(again), return_inverse=True)
                 if len(values):
-                    counts = np.bincount(at, weights=np.concatenate([c for _, c in seen])).astype(np.int64)
-                    yield _scan_batch(1, [None] * len(values), counts, values.view(np.int64), [None] * len(values))
+                    counts = np.bincount(at, weights=np.concatenate(times)).astype(np.int64)
+                    none = [None] * len(values)
+                    yield _scan_batch(1, none, counts, values.view(np.int64), none, none, none, none)
 
-        return self.docs.mapInArrow(scan, "kind int, doc_id bigint, n bigint, c bigint, cells binary")
+        return self.docs.mapInArrow(scan, "kind int, doc_id bigint, n bigint, c bigint, cells binary, b array<bigint>, o1 bigint, o2 bigint")
 
     def _frequent(self, counts: DataFrame):
         """Broadcast (hashes, counts) of the most frequent shingles, sorted by hash."""
@@ -167,15 +184,23 @@ class JaccardJoin:
         return self.docs.mapInArrow(prefixes, "k bigint, c bigint, n int, i int")
 
     # ---------------------------------------------------------------- filters
-    def _pass(self, pairs: DataFrame) -> DataFrame:
-        """Length and positional filters over (a, b, na, nb, ia, ib); one row per pair stays."""
-        need = _need(F.col("na"), F.col("nb"), self.percent)
-        rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) + F.least("ia", "ib")
-        swap = F.col("a") > F.col("b")
-        return (pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (rest >= need))
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                        F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
-                        F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct())
+    def _may(self, one, two):
+        """Length, positional and suffix (bitmap) filters of two rows (c, n, i, b) of one key."""
+        (na, ia, ba), (nb, ib, bb) = ((x["n"], x["i"], x["b"]) for x in (one, two))
+        need = _need(na, nb, self.percent)
+        differ = sum((F.bit_count(F.get(ba, j).bitwiseXOR(F.get(bb, j))) for j in range(BITS // 64)), F.lit(0))
+        return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
+                & (F.least(na - ia, nb - ib) + F.least(ia, ib) >= need) & (differ <= na + nb - 2 * need))
+
+    def _candidates(self, pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
+        """Pairs (a, b, na, nb) of rows (x, y), each once, without those checked before and those that the histograms clear."""
+        low = F.when(F.col("x.c") < F.col("y.c"), F.struct("x.c", "x.n")).otherwise(F.struct("y.c", "y.n"))
+        high = F.when(F.col("x.c") < F.col("y.c"), F.struct("y.c", "y.n")).otherwise(F.struct("x.c", "x.n"))
+        out = (pairs.select(low.alias("x"), high.alias("y"))
+               .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+        if checked is not None:
+            out = out.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        return saved(self._suffixes(out), "join-pairs")
 
     def _suffixes(self, pairs: DataFrame) -> DataFrame:
         """Suffix filter: sets split by hash ranges cannot share more than the smaller part of each."""
@@ -223,31 +248,30 @@ class JaccardJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) between classes that hold the components together, and (node, label) of each linked class.
 
-        A link between classes of one component that the first round has
-        already joined isn't looked for; every other pair is verified.
+        A link between classes that an earlier round has already put in one
+        component isn't looked for; every other pair is verified.
         """
-        by_key, order = Window.partitionBy("k"), Window.partitionBy("k").orderBy("n", "c")
+        by_key = Window.partitionBy("k")
         rows = self._prefixes().repartition("k").groupBy("k", "c", "n").agg(F.min("i").alias("i"))
         shared = saved(rows.withColumn("here", F.count(F.lit(1)).over(by_key)).where("here > 1").drop("here"), "join-prefixes")
-        me = F.struct("c", "n", "i")
-        near = (shared.withColumn("x", F.lag(me).over(order)).withColumn("y", F.first(me).over(order))
-                .select("c", "n", "i", F.explode(F.array_distinct(F.array("x", "y"))).alias("o")).where("o IS NOT NULL AND o.c <> c"))
-        first = saved(self._suffixes(self._pass(_pair(near))), "join-pairs")
-        checked = saved(self._verify(first), "join-checked")
-        found = checked.where("linked").select("a", "b")
-        label = saved(components(found, "join"), "join-labels")
-
-        named = (shared.join(label.select(F.col("node").alias("c"), "label"), "c", "left")
-                 .withColumn("label", F.coalesce("label", "c")))
-        apart = (named.withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key))
-                 .where("lo <> hi").drop("lo", "hi"))
-        apart = saved(apart, "join-apart")
-        other = apart.select("k", F.struct("c", "n", "i").alias("o"), F.col("label").alias("label2"))
-        cross = (apart.join(other, "k").where((F.col("label") < F.col("label2"))
-                                              & (F.least("n", "o.n") * 100 >= F.greatest("n", "o.n") * self.percent)))
-        second = saved(self._suffixes(self._pass(_pair(cross)).join(checked.select("a", "b"), ["a", "b"], "left_anti")), "join-pairs")
-        more = saved(self._verify(second).where("linked").select("a", "b"), "join-links")
-        every = found.unionByName(more)
+        apart = shared.join(self._orders, "c").withColumn("label", F.col("c"))
+        found = checked = None
+        # MinHash orders give the likeliest neighbours, orders by chance other ones for every key.
+        by_chance = [(F.xxhash64(F.lit(seed), "k", "c"),) for seed in range(4)]
+        for orders in ((("o1", "o2"), *by_chance[:2]), (("o2", "o1"), *by_chance[2:])):
+            got = saved(self._verify(self._candidates(_neighbours(apart, orders).where(self._may(F.col("x"), F.col("y"))), checked)), "join-checked")
+            checked = got if checked is None else checked.unionByName(got)
+            found = checked.where("linked").select("a", "b")
+            label = components(found, "join")
+            named = (shared.join(self._orders, "c").join(label.select(F.col("node").alias("c"), "label"), "c", "left")
+                     .withColumn("label", F.coalesce("label", "c")))
+            apart = saved(named.withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key))
+                          .where("lo <> hi").drop("lo", "hi"), "join-apart")
+
+        left, right = (apart.select("k", F.col("label").alias(f"label{x}"), F.struct(*ROW).alias(x)) for x in "xy")
+        cross = left.join(right, "k").where((F.col("labelx") < F.col("labely")) & self._may(F.col("x"), F.col("y")))
+        last = self._candidates(cross, checked)
+        every = saved(found.unionByName(self._verify(last).where("linked").select("a", "b")), "join-links")
         return every, components(every, "join")
 
     def result(self) -> DataFrame:
@@ -261,15 +285,30 @@ class JaccardJoin:
                 .unionByName(self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
 
 
-def _scan_batch(kind: int, doc_id, n, c, cells) -> pa.RecordBatch:
+def _orders(s: np.ndarray) -> tuple[int, int]:
+    """Two orders in which similar sets tend to be neighbours: bits of the
+    smallest and largest hashes, each a MinHash of the set."""
+    if not len(s):
+        return 0, 0
+    a, b, c, d = (int(s[i]) >> 8 & 0xFFFF for i in (0, -1, min(1, len(s) - 1), max(-2, -len(s))))
+    return (a << 48 | b << 32 | c << 16 | d) - (1 << 63), (d << 48 | c << 32 | b << 16 | a) - (1 << 63)
+
+
+def _scan_batch(kind: int, doc_id, n, c, cells, b, o1, o2) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([kind] * len(n), pa.int32()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64()),
-         pa.array(cells, pa.binary())], ["kind", "doc_id", "n", "c", "cells"])
+         pa.array(cells, pa.binary()), pa.array(b, pa.list_(pa.int64())), pa.array(o1, pa.int64()), pa.array(o2, pa.int64())],
+        ["kind", "doc_id", "n", "c", "cells", "b", "o1", "o2"])
+
+
+ROW = ("c", "n", "i", "b")
 
 
-def _pair(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("c").alias("a"), F.col("o.c").alias("b"), F.col("n").alias("na"), F.col("o.n").alias("nb"),
-                       F.col("i").alias("ia"), F.col("o.i").alias("ib"))
+def _neighbours(rows: DataFrame, orders: tuple) -> DataFrame:
+    """Rows (x, y) that are neighbours in their key, in one of the orders, and in different components."""
+    before = [F.lag(F.struct(*ROW, "label")).over(Window.partitionBy("k").orderBy(*order, "c")) for order in orders]
+    near = rows.select("label", F.struct(*ROW).alias("x"), F.array(*before).alias("ys")).withColumn("y", F.explode("ys"))
+    return near.where("y.label <> label").select("x", "y")
 
 
 @arrow_udf(BooleanType())
