@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  .groupBy("__d").agg(F.collect_list("__k").alias("__gone")), "lines-gone")
     clean = marked.where(F.size("__keys") == 0).withColumn("__gone", F.lit(None).cast("array<binary>"))
     dirty = marked.where(F.size("__keys") > 0)
-    dirty = dirty.join(gone, dirty[doc_id].eqNullSafe(gone["__d"]), "left").drop("__d")
+    dirty = dirty.join(gone, dirty[doc_id].eqNullSafe(gone["__d"]), "left").drop(gone["__d"])
     return clean.unionByName(dirty).withColumn("__lines", drop(F.col(text), F.col("__gone"))).drop("__keys", "__gone")
 
 

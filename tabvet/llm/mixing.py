@@ -123,4 +123,4 @@ def digest_columns(docs: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the mix takes, with ``copies``, how often it takes each."""
     plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__d")).agg(F.max("copies").cast("bigint").alias("copies"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__d"])).drop("__d")
+    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__d"])).drop(plan["__d"])
