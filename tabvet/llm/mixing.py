@@ -19,7 +19,7 @@ from tabvet.llm.common import as_bytes, prepare, saved
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
 #: Rows that one task orders when running sums are made.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 
 
 @arrow_udf(LongType())
