@@ -717,10 +717,10 @@ SELECT run_id,
        array_to_string(list_sort(known), ',') AS exclude,
        CASE WHEN NOT covers_all AND target_ok THEN new_target END AS new_target,
        concat_ws('; ',
-         CASE WHEN len(unknown) > 0 THEN 'ignored unknown columns: ' || array_to_string(list_sort(unknown), ', ') END,
-         CASE WHEN covers_all THEN 'refused to exclude every remaining feature' END,
-         CASE WHEN NOT covers_all AND new_target IS NOT NULL AND NOT target_ok THEN 'ignored unknown target ''' || new_target || '''' END,
-         CASE WHEN NOT covers_all AND NOT changes THEN 'retry proposed no actual change; treating as accept' END) AS notes
+         CASE WHEN len(unknown) > 0 THEN 'not among the features: ' || array_to_string(list_sort(unknown), ', ') END,
+         CASE WHEN covers_all THEN 'nothing would be left to train on' END,
+         CASE WHEN NOT covers_all AND new_target IS NOT NULL AND NOT target_ok THEN 'no such target column ''' || new_target || '''' END,
+         CASE WHEN NOT covers_all AND NOT changes THEN 'the retry changes nothing, so the result stands' END) AS notes
 FROM (
   SELECT run_id, known, unknown, new_target, target_ok,
          len(list_filter(features, lambda f: NOT list_contains(known, f))) = 0 AS covers_all,
@@ -753,8 +753,6 @@ SELECT run_id, round, gate_value, previous_best, is_improvement, decision FROM (
 
 
 # ---------------------------------------------------------------- models, explanations, loop
-from functools import lru_cache  # noqa: E402
-
 from tabvet.operators import explain as E  # noqa: E402
 from tabvet.operators import models as MD  # noqa: E402
 from tabvet.plans import loop as LP  # noqa: E402
@@ -768,14 +766,12 @@ _TRAIN_SPECS = {
 }
 
 
-@lru_cache(maxsize=8)
 def _outcome(spark, sf: str, spec: str, models: tuple[str, ...] | None = None):
     rel, target, task, key = _TRAIN_SPECS[spec]
     return MD.train(relation(spark, sf, rel), target, task, key=key,
                     model_names=list(models) if models else None)
 
 
-@lru_cache(maxsize=4)
 def _analysis(spark, sf: str, rel: str):
     return LP.analyse(relation(spark, sf, rel))
 
@@ -832,7 +828,7 @@ def _tree_shap(spark, sf):
     o = _outcome(spark, sf, "fx_missing/label", ("random_forest",))
     model = o.models["random_forest"]
     enc = [e for e, _ in o.prep.encoded()]
-    scores, _, _ = E.tree_shap(model, o.test, enc, True, 1, E.shap_rows(int(model.totalNumNodes)), "row_id")
+    scores, _, _ = E.tree_shap(model, o.test, enc, True, 1, key="row_id")
     return scores
 
 
@@ -906,11 +902,10 @@ _reg("summary_facts", lambda s, sf: LP.summary_facts_df(s, _analysis(s, sf, "fx_
 from tabvet.session import scratch_path  # noqa: E402
 
 
-@lru_cache(maxsize=8)
 def _written_csv(spark, sf: str, rel: str) -> str:
     """Write a relation as a comma CSV (S12) into the shared scratch folder."""
     path = scratch_path(spark, f"csv-{rel}")
-    SK.write_clean(relation(spark, sf, rel).coalesce(1), path)
+    SK.write_clean(relation(spark, sf, rel), path)
     return path
 
 
@@ -923,6 +918,8 @@ _reg("scan_csv_roundtrip", _scan_roundtrip, """
 SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_extendedprice,
        l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000') AS l_shipdate
 FROM lineitem""")
+_reg("scan_csv_documents", lambda s, sf: S.scan(s, _written_csv(s, sf, "documents"), delimiter=",", encoding="utf-8")[0],
+     "SELECT doc_id, text, lang, source, n_chars FROM documents")
 _reg("scan_null_tokens", lambda s, sf: S.null_tokens(_dirty(s, sf)),
      _fx(f"SELECT {', '.join((f'CASE WHEN {c} IN ({chr(44).join(OP.lit(t) for t in K.READER_NA_TOKENS)}) THEN NULL ELSE {c} END AS {c}') if c in _DIRTY_TEXT else c for c in _DIRTY_COLS)} FROM fx_dirty_orders"))
 
@@ -943,7 +940,6 @@ SELECT {i} AS position, '{c}' AS column_name, CASE
   ELSE 'string' END AS inferred FROM ({_TEXT_SQL}) t""" for i, c in enumerate(_DIRTY_COLS))))
 
 
-@lru_cache(maxsize=4)
 def _dialect_dir(spark, sf: str) -> str:
     """Write customer in four dialects and two encodings (one file each)."""
     from pyspark.sql import functions as F

@@ -44,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        # Only when nothing is configured (local tests): a scratch folder.
+        # Only when nothing is configured and all tasks run in this process.
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabvet-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", configured)

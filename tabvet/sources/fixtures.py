@@ -53,11 +53,11 @@ SELECT {_ROW_ID} AS row_id, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS la
        l_extendedprice AS y, l_quantity * 2000 + l_tax * 1000 AS y_hat FROM lineitem
 """,
     "fx_projects": """
-SELECT c_custkey AS project_id, c_nationkey AS owner_id, c_name AS name FROM customer WHERE c_custkey <= 200
+SELECT c_custkey AS project_id, c_nationkey AS owner_id, c_name AS name FROM customer
 """,
     "fx_datasets": """
 SELECT o_orderkey AS dataset_id, o_custkey AS project_id, CAST(FLOOR(o_totalprice) AS BIGINT) AS n_rows,
-       md5(CAST(o_orderkey % 500 AS STRING)) AS content_hash, o_orderdate AS created_at FROM orders WHERE o_orderkey % 3 = 0
+       md5(CAST(o_orderkey % 500 AS STRING)) AS content_hash, o_orderdate AS created_at FROM orders
 """,
     "fx_runs": """
 SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 = 3 THEN o_orderkey - 1 ELSE NULL END AS parent_run_id,
@@ -78,7 +78,7 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber
 """,
     "fx_rounds": """
 SELECT l_orderkey AS run_id, l_linenumber - 1 AS round, MAX(l_quantity) / 50 AS gate_value
-FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber
+FROM lineitem GROUP BY l_orderkey, l_linenumber
 """,
 }
 

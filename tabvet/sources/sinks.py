@@ -14,7 +14,7 @@ def write_clean(df: DataFrame, path: str, fmt: str = "csv") -> str:
     source): comma-separated UTF-8 with a header, or parquet."""
     w = df.write.mode("errorifexists")
     if fmt == "csv":
-        w.option("header", True).option("sep", ",").option("encoding", "UTF-8").csv(path)
+        w.option("header", True).option("sep", ",").option("encoding", "UTF-8").option("quote", '"').option("escape", '"').csv(path)
     else:
         w.parquet(path)
     return path
