@@ -6,8 +6,9 @@
   evaluated for many leaves and rows at once with numpy inside
   ``mapInPandas``. Each task emits partial sums; one small aggregate
   finishes the mean |SHAP|.
-* E3 permutation importance on source columns: every (feature, repeat)
-  replica is one branch of a single union, scored by one grouped aggregate.
+* E3 permutation importance on source columns: rows are repeated for every
+  (feature, repeat), ranked in two hash orders and scored by one grouped
+  aggregate.
 * E4/E5 map encoded names to source columns and fold scores.
 * E6 picks the method and degrades without raising.
 """
@@ -237,23 +238,42 @@ def shap_local_accuracy(model, x: np.ndarray, classification: bool, positive_ind
 
 
 # -------------------------------------------------------------------- E3
-def permute_column(df: DataFrame, col: str, key: str, salt: str, rows_per_bucket: int = 200_000,
-                   n_rows: int | None = None) -> DataFrame:
-    """A seeded permutation of one column. Rows are dealt into random
-    buckets (one bucket, i.e. a uniform permutation, for test sets up to
-    ``rows_per_bucket``); inside a bucket, the value of the i-th row in key
-    order goes to the i-th row in hash order. The column keeps its exact
-    multiset of values and no task sees more than one bucket."""
-    n = n_rows if n_rows is not None else df.count()
-    buckets = max(1, -(-n // rows_per_bucket))
-    b = (F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit("|b|" + salt))), 1, 8), 16, 10)
-         .cast("long") % buckets)
-    tagged = df.withColumn("_bkt", b)
-    w1 = Window.partitionBy("_bkt").orderBy(F.col(key))
-    w2 = Window.partitionBy("_bkt").orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit("|" + salt))), F.col(key))
-    src = tagged.select("_bkt", F.row_number().over(w1).alias("_i"), F.col(f"`{col}`").alias("_v"))
-    dst = tagged.withColumn("_i", F.row_number().over(w2)).drop(col)
-    return dst.join(src, ["_bkt", "_i"]).withColumnRenamed("_v", col).drop("_bkt", "_i")
+def permuted(df: DataFrame, numeric: list[str], categorical: list[str], key: str, repeats: int, seed: int,
+             n_rows: int, rows_per_task: int = 200_000) -> DataFrame:
+    """Every row once per (``_feature``, ``_repeat``), with that feature's
+    column permuted over all rows: the value of the row that is i-th in one
+    hash order of the key goes to the row that is i-th in another. Hash
+    ranges cut the ranking into tasks; their number doesn't change the
+    result. ``key`` should be distinct. Numeric columns become doubles."""
+    sources = numeric + categorical
+    ranges = -(-n_rows // rows_per_task) or 1
+    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_repeat"))
+                               for f in sources for r in range(repeats)])).alias("_g")
+    group = ["_feature", "_repeat"]
+
+    def ranked(rows: DataFrame, way: str) -> DataFrame:
+        h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"{way}{seed}"), *group))
+        at = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * ranges / float(1 << 32)).cast("int")
+        rows = rows.withColumn("_h", h).withColumn("_r", at)
+        inside = F.row_number().over(Window.partitionBy(*group, "_r").orderBy("_h", key))
+        if ranges == 1:
+            return rows.withColumn("_i", inside).drop("_h", "_r")
+        before = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        starts = (rows.groupBy(*group, "_r").agg(F.count(F.lit(1)).alias("_n"))
+                  .select(*group, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")))
+        return rows.withColumn("_i", inside).join(starts, [*group, "_r"]).withColumn("_i", F.col("_i") + F.col("_s")).drop("_h", "_r", "_s")
+
+    rows = df.select("*", grid).select("*", "_g.*").drop("_g")
+
+    def own(cols: list[str], kind: str) -> Column:
+        return F.coalesce(F.lit(None).cast(kind), *[F.when(F.col("_feature") == c, F.col(f"`{c}`").cast(kind)) for c in cols])
+
+    values = ranked(rows.select(key, *group, own(numeric, "double").alias("_num"), own(categorical, "string").alias("_text")),
+                    "from").drop(key)
+    dealt = ranked(rows, "to").join(values, [*group, "_i"])
+    swapped = [F.when(F.col("_feature") == c, F.col("_num")).otherwise(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric]
+    swapped += [F.when(F.col("_feature") == c, F.col("_text")).otherwise(F.col(f"`{c}`").cast("string")).alias(c) for c in categorical]
+    return dealt.select(*[F.col(f"`{c}`") for c in df.columns if c not in sources], *swapped, *group)
 
 
 def permutation_importance(model, prep, test_vec: DataFrame, key: str, classification: bool,
@@ -262,19 +282,9 @@ def permutation_importance(model, prep, test_vec: DataFrame, key: str, classific
     column is shuffled, clipped at 0 ``(feature, importance)``."""
     sources = prep.numeric + prep.categorical
     base = test_vec.select(key, "label", *[F.col(f"`{c}`") for c in sources])
-    n = base.count()
-    replicas = []
-    for f in sources:
-        for r in range(repeats):
-            perm = permute_column(base, f, key, f"{seed}|{f}|{r}", n_rows=n)
-            replicas.append(prep.transform(perm, [key, "label"])
-                            .withColumn("_feature", F.lit(f)).withColumn("_repeat", F.lit(r)))
-    replicas.append(prep.transform(base, [key, "label"]).withColumn("_feature", F.lit(None).cast("string"))
-                    .withColumn("_repeat", F.lit(-1)))
-    allr = replicas[0]
-    for p in replicas[1:]:
-        allr = allr.unionByName(p)
-    pred = model.transform(allr)
+    as_is = base.withColumn("_feature", F.lit(None).cast("string")).withColumn("_repeat", F.lit(-1))
+    replicas = permuted(base, prep.numeric, prep.categorical, key, repeats, seed, base.count()).unionByName(as_is)
+    pred = model.transform(prep.transform(replicas, [key, "label", "_feature", "_repeat"]))
     if classification:
         scores = pred.groupBy("_feature", "_repeat").agg(
             F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("score"))
@@ -310,9 +320,9 @@ def source_column(encoded: Column, numeric: list[str], categorical: list[str]) -
 
 # -------------------------------------------------------------------- E5
 def fold_importance(scores: DataFrame, mapping: DataFrame | None = None, group: list[str] | None = None,
-                    top: int = K.TOP_FEATURES_REPORTED) -> DataFrame:
+                    top: int | None = K.TOP_FEATURES_REPORTED) -> DataFrame:
     """E5: sum encoded scores into their source column, count the parts,
-    rank (ties by name) and keep the top ``top``. ``scores`` has
+    rank (ties by name) and keep the top ``top`` (None: all). ``scores`` has
     ``encoded, importance`` (+ ``source`` or a ``mapping`` to join)."""
     group = group or []
     s = scores if mapping is None else scores.join(F.broadcast(mapping), "encoded")
@@ -320,8 +330,10 @@ def fold_importance(scores: DataFrame, mapping: DataFrame | None = None, group:
         F.sum("importance").alias("importance"), F.count(F.lit(1)).alias("encoded_parts"))
     w = Window.partitionBy(*group).orderBy(F.col("importance").desc(), F.col("feature").asc()) if group \
         else Window.orderBy(F.col("importance").desc(), F.col("feature").asc())
-    return (folded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-            .select(*group, "feature", "importance", F.col("rank").cast("int").alias("rank"),
+    ranked = folded.withColumn("rank", F.row_number().over(w))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
+    return (ranked.select(*group, "feature", "importance", F.col("rank").cast("int").alias("rank"),
                     F.col("encoded_parts").cast("int").alias("encoded_parts")))
 
 
@@ -331,7 +343,7 @@ def explain(outcome, model_name: str | None = None, key: str | None = None,
     """SHAP for forests, permutation for other models or when ``method``
     says so, else ``unavailable``. All held-out rows are explained unless
     ``use_budget`` asks for the row budget. Returns ``(method, rows, features, encoded)`` where
-    ``features`` is ``(feature, importance, rank, encoded_parts)``."""
+    ``features`` is ``(feature, importance, rank, encoded_parts)``, every feature ranked."""
     spark = outcome.test.sparkSession
     name = model_name or outcome.best_model
     model = outcome.models[name]
@@ -344,17 +356,16 @@ def explain(outcome, model_name: str | None = None, key: str | None = None,
             enc = [e for e, _ in outcome.prep.encoded()]
             scores, n, _ = tree_shap(model, outcome.test, enc, classification, 1, rows, key)
             scores = scores.persist()
-            feats = fold_importance(scores, mapping)
+            feats = fold_importance(scores, mapping, top=None)
             w = Window.orderBy(F.col("importance").desc(), F.col("encoded").asc())
-            encoded = (scores.withColumn("rank", F.row_number().over(w))
-                       .where(F.col("rank") <= K.TOP_FEATURES_REPORTED))
+            encoded = scores.withColumn("rank", F.row_number().over(w))
             return "shap", n, feats, encoded
         except Exception:  # noqa: BLE001 - fall back to permutation, on the record
             LOG.exception("SHAP failed; permutation importance instead")
     try:
         imp = permutation_importance(model, outcome.prep, outcome.test, key, classification)
         w = Window.orderBy(F.col("importance").desc(), F.col("feature").asc())
-        feats = (imp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K.TOP_FEATURES_REPORTED)
+        feats = (imp.withColumn("rank", F.row_number().over(w))
                  .select("feature", "importance", F.col("rank").cast("int").alias("rank"),
                          F.lit(1).alias("encoded_parts")))
         return "permutation", outcome.n_test, feats, None

@@ -126,6 +126,10 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = K.RANDOM_STATE) ->
 
 
 # -------------------------------------------------------------------- F5
+#: Up to so many classes, the table of their quotas is broadcast, so that no row moves for its class.
+BROADCAST_CLASSES = 100_000
+
+
 def split(df: DataFrame, key: str, label: str | None = None, test_size: float = K.TEST_SIZE,
           seed: int = K.RANDOM_STATE, stratify: bool = True) -> DataFrame:
     """adds ``is_test`` (boolean). ``n_test = ceil(test_size * n)``.
@@ -137,9 +141,11 @@ def split(df: DataFrame, key: str, label: str | None = None, test_size: float =
     the hash, cumulative counts pick the boundary bucket per class, and only
     rows in that bucket are ranked (a 65,536th of the class on average).
     """
+    few = True
     if label and stratify:
-        least = df.groupBy(_col(label)).count().agg(F.min("count")).first()[0]
-        stratify = bool(least and least >= 2)
+        classes = df.groupBy(_col(label)).count().agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("n")).first()
+        stratify = bool(classes["least"] and classes["least"] >= 2)
+        few = not stratify or classes["n"] <= BROADCAST_CLASSES
     h = order_key(key, seed)
     work = (df.withColumn("_h", h)
             .withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")))
@@ -157,7 +163,7 @@ def split(df: DataFrame, key: str, label: str | None = None, test_size: float =
            .where((F.col("before") < F.col("quota")) & (F.col("cum") >= F.col("quota")))
            .select("_c", F.col("_b").alias("edge_b"), (F.col("quota") - F.col("before")).alias("need")))
     # Classes whose quota is 0 have no boundary bucket: everything is train.
-    tagged = work.join(cum, "_c", "left")
+    tagged = work.join(F.broadcast(cum) if few else cum, "_c", "left")
     inner = tagged.where(F.col("_b") == F.col("edge_b"))
     wr = Window.partitionBy("_c").orderBy("_h", key)
     inner = inner.withColumn("is_test", F.row_number().over(wr) <= F.col("need"))
