@@ -758,6 +758,7 @@ from tabvet.operators import models as MD  # noqa: E402
 from tabvet.plans import loop as LP  # noqa: E402
 from tabvet.sources import scan as S  # noqa: E402
 from tabvet.sources import sinks as SK  # noqa: E402
+from tabvet.sources.fixtures import experiments_from_runs  # noqa: E402
 
 _TRAIN_SPECS = {
     "fx_leak/survived": ("fx_leak", "survived", "classification", "row_id"),
@@ -805,7 +806,7 @@ def _roundtrip(spark, sf):
 
 _reg("model_roundtrip", _roundtrip, None)
 _reg("best_per_run",
-     lambda s, sf: SK.experiments_from_runs(_runs(s, sf)).where("is_selected")
+     lambda s, sf: experiments_from_runs(_runs(s, sf)).where("is_selected")
      .select("run_id", "model_name", "primary_metric_value"),
      with_ctes("""
 SELECT run_id, model_name, value AS primary_metric_value FROM (
@@ -814,7 +815,7 @@ SELECT run_id, model_name, value AS primary_metric_value FROM (
            primary_value AS value FROM fx_runs WHERE agent_name = 'analysis'
     UNION ALL SELECT run_id, 1, 'random_forest', primary_value * 0.9 + 0.05 FROM fx_runs WHERE agent_name = 'analysis') e) r
 WHERE rn = 1""", "fx_runs"))
-_reg("ledger_experiments", lambda s, sf: SK.experiments_from_runs(_runs(s, sf)), with_ctes("""
+_reg("ledger_experiments", lambda s, sf: experiments_from_runs(_runs(s, sf)), with_ctes("""
 SELECT run_id, model_name, primary_metric, value AS primary_metric_value, rn = 1 AS is_selected FROM (
   SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, ord ASC) AS rn FROM (
     SELECT run_id, 0 AS ord, CASE WHEN task_type = 'classification' THEN 'logistic_regression' ELSE 'ridge' END AS model_name,

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabvet.sources.tables import TABLES, table
 
@@ -113,3 +114,21 @@ def with_ctes(sql: str, *names: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in names)
     return f"WITH {ctes}\n{sql}"
+
+
+def experiments_from_runs(runs: DataFrame) -> DataFrame:
+    """Test relation: two experiment rows per run of a ledger, the forest's
+    score made up from the run's primary value, with ``is_selected`` on the
+    best; ties go to the first."""
+    cls = F.col("task_type") == "classification"
+    models = F.array(
+        F.struct(F.lit(0).alias("ord"), F.when(cls, "logistic_regression").otherwise("ridge").alias("model_name"),
+                 F.col("primary_value").alias("value")),
+        F.struct(F.lit(1).alias("ord"), F.lit("random_forest").alias("model_name"),
+                 (F.col("primary_value") * F.lit(0.9) + F.lit(0.05)).alias("value")))
+    e = runs.where(F.col("agent_name") == "analysis").select(
+        "run_id", F.when(cls, "f1").otherwise("r2").alias("primary_metric"), F.inline(models))
+    best = e.groupBy("run_id").agg(F.max_by(F.col("ord"), F.struct(F.col("value"), -F.col("ord"))).alias("best_ord"))
+    return (e.join(best, "run_id")
+            .select("run_id", "model_name", "primary_metric", F.col("value").alias("primary_metric_value"),
+                    (F.col("ord") == F.col("best_ord")).alias("is_selected")))

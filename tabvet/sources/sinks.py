@@ -6,7 +6,6 @@ import datetime as dt
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import MLReadable
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "csv") -> str:
@@ -61,21 +60,3 @@ def run_rows(spark: SparkSession, run_id: int, project_id: int, outcome, quality
 def append(df: DataFrame, path: str) -> None:
     """Append rows to a ledger table (parquet, shared storage)."""
     df.write.mode("append").parquet(path)
-
-
-def experiments_from_runs(runs: DataFrame) -> DataFrame:
-    """S14 over an existing ledger: one experiment row per candidate model
-    (two per run; the forest's score is derived from the run's primary value)
-    with ``is_selected`` on the best; ties go to the first candidate."""
-    cls = F.col("task_type") == "classification"
-    models = F.array(
-        F.struct(F.lit(0).alias("ord"), F.when(cls, "logistic_regression").otherwise("ridge").alias("model_name"),
-                 F.col("primary_value").alias("value")),
-        F.struct(F.lit(1).alias("ord"), F.lit("random_forest").alias("model_name"),
-                 (F.col("primary_value") * F.lit(0.9) + F.lit(0.05)).alias("value")))
-    e = runs.where(F.col("agent_name") == "analysis").select(
-        "run_id", F.when(cls, "f1").otherwise("r2").alias("primary_metric"), F.inline(models))
-    best = e.groupBy("run_id").agg(F.max_by(F.col("ord"), F.struct(F.col("value"), -F.col("ord"))).alias("best_ord"))
-    return (e.join(best, "run_id")
-            .select("run_id", "model_name", "primary_metric", F.col("value").alias("primary_metric_value"),
-                    (F.col("ord") == F.col("best_ord")).alias("is_selected")))
