@@ -5,9 +5,9 @@ shares a shingle among the first few of both sets, so only those prefixes are
 joined; length, positional and suffix filters remove pairs before any set is
 fetched, and each pair left is verified once by exact intersection. Documents
 with equal sets are one class and never form pairs. Prefix keys are worked in
-rounds: the first ones pair every class with its neighbours in orders that put
-similar sets side by side, which is linear in the key's size; the last takes
-all pairs that they left in different components.
+two rounds: the first pairs every class with its neighbours in orders that put
+similar sets side by side, which is linear in the key's size; the second takes
+all pairs that the first left in different components.
 """
 from __future__ import annotations
 
@@ -192,7 +192,7 @@ class JaccardJoin:
         return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
                 & (F.least(na - ia, nb - ib) + F.least(ia, ib) >= need) & (differ <= na + nb - 2 * need))
 
-    def _candidates(self, pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
+    def _candidates(self, pairs: DataFrame, checked: DataFrame | None = None) -> DataFrame:
         """Pairs (a, b, na, nb) of rows (x, y), each once, without those checked before and those that the histograms clear."""
         low = F.when(F.col("x.c") < F.col("y.c"), F.struct("x.c", "x.n")).otherwise(F.struct("y.c", "y.n"))
         high = F.when(F.col("x.c") < F.col("y.c"), F.struct("y.c", "y.n")).otherwise(F.struct("x.c", "x.n"))
@@ -254,22 +254,17 @@ class JaccardJoin:
         by_key = Window.partitionBy("k")
         rows = self._prefixes().repartition("k").groupBy("k", "c", "n").agg(F.min("i").alias("i"))
         shared = saved(rows.withColumn("here", F.count(F.lit(1)).over(by_key)).where("here > 1").drop("here"), "join-prefixes")
-        apart = shared.join(self._orders, "c").withColumn("label", F.col("c"))
-        found = checked = None
-        # MinHash orders give the likeliest neighbours, orders by chance other ones for every key.
-        by_chance = [(F.xxhash64(F.lit(seed), "k", "c"),) for seed in range(4)]
-        for orders in ((("o1", "o2"), *by_chance[:2]), (("o2", "o1"), *by_chance[2:])):
-            got = saved(self._verify(self._candidates(_neighbours(apart, orders).where(self._may(F.col("x"), F.col("y"))), checked)), "join-checked")
-            checked = got if checked is None else checked.unionByName(got)
-            found = checked.where("linked").select("a", "b")
-            label = components(found, "join")
-            named = (shared.join(self._orders, "c").join(label.select(F.col("node").alias("c"), "label"), "c", "left")
-                     .withColumn("label", F.coalesce("label", "c")))
-            apart = saved(named.withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key))
-                          .where("lo <> hi").drop("lo", "hi"), "join-apart")
-
-        left, right = (apart.select("k", F.col("label").alias(f"label{x}"), F.struct(*ROW).alias(x)) for x in "xy")
-        cross = left.join(right, "k").where((F.col("labelx") < F.col("labely")) & self._may(F.col("x"), F.col("y")))
+        # MinHash orders give the likeliest neighbours, an order by chance other ones for every key.
+        near = _neighbours(shared.join(self._orders, "c"), [(("o1", "o2"), 1), (("o2", "o1"), 1), ((F.xxhash64("k", "c"),), 2)])
+        checked = saved(self._verify(self._candidates(near.where(self._may(F.col("x"), F.col("y"))))), "join-checked")
+        found = checked.where("linked").select("a", "b")
+        label = components(found, "join").select(F.col("node").alias("c"), "label")
+        apart = (shared.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+                 .withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key)).where("lo <> hi"))
+        rows = saved(apart.drop("lo", "hi").join(self._orders, "c").select("k", "label", F.struct(*ROW).alias("v")), "join-apart")
+        x, y = rows.alias("x"), rows.alias("y")
+        cross = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") < F.col("y.label")) & self._may(F.col("x.v"), F.col("y.v")))
+                 .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
         last = self._candidates(cross, checked)
         every = saved(found.unionByName(self._verify(last).where("linked").select("a", "b")), "join-links")
         return every, components(every, "join")
@@ -304,11 +299,12 @@ def _scan_batch(kind: int, doc_id, n, c, cells, b, o1, o2) -> pa.RecordBatch:
 ROW = ("c", "n", "i", "b")
 
 
-def _neighbours(rows: DataFrame, orders: tuple) -> DataFrame:
-    """Rows (x, y) that are neighbours in their key, in one of the orders, and in different components."""
-    before = [F.lag(F.struct(*ROW, "label")).over(Window.partitionBy("k").orderBy(*order, "c")) for order in orders]
-    near = rows.select("label", F.struct(*ROW).alias("x"), F.array(*before).alias("ys")).withColumn("y", F.explode("ys"))
-    return near.where("y.label <> label").select("x", "y")
+def _neighbours(rows: DataFrame, orders: list) -> DataFrame:
+    """Rows (x, y) whose places in their key differ by at most ``reach``, for each (order, reach)."""
+    before = [F.lag(F.struct(*ROW), step).over(Window.partitionBy("k").orderBy(*order, "c"))
+              for order, reach in orders for step in range(1, reach + 1)]
+    near = rows.select(F.struct(*ROW).alias("x"), F.array(*before).alias("ys"))
+    return near.select("x", F.explode("ys").alias("y")).where("y IS NOT NULL")
 
 
 @arrow_udf(BooleanType())
