@@ -378,27 +378,27 @@ ol AS ({iqr_select}),
 {corr_ctes},
 cr AS (SELECT a, b, r FROM corr_ranked)""", f"""
 SELECT 'duplicate_rows' AS code, 'warning' AS severity, CAST(NULL AS VARCHAR) AS column_name, CAST(d AS DOUBLE) AS value,
-       printf('%d fully duplicated rows (%.1f%%).', d, round(CAST(d AS DOUBLE) / n_rows * 100, 1)) AS message
+       printf('%d repeated rows (%.1f%%).', d, round(CAST(d AS DOUBLE) / n_rows * 100, 1)) AS message
 FROM dup, nr WHERE d > 0
-UNION ALL SELECT 'all_null', 'error', column_name, null_pct, 'Column is entirely null and carries no information.'
+UNION ALL SELECT 'all_null', 'error', column_name, null_pct, 'Holds nulls only.'
 FROM prof WHERE semantic_type = 'empty'
-UNION ALL SELECT 'high_null', 'warning', column_name, null_pct, printf('%.1f%% missing -- imputation may be unreliable.', round(null_pct, 1))
+UNION ALL SELECT 'high_null', 'warning', column_name, null_pct, printf('%.1f%% null, much for imputation.', round(null_pct, 1))
 FROM prof WHERE semantic_type <> 'empty' AND null_pct >= {K.HIGH_NULL_PCT}
-UNION ALL SELECT 'has_nulls', 'info', column_name, null_pct, printf('%.1f%% missing.', round(null_pct, 1))
+UNION ALL SELECT 'has_nulls', 'info', column_name, null_pct, printf('%.1f%% null.', round(null_pct, 1))
 FROM prof WHERE semantic_type <> 'empty' AND null_pct < {K.HIGH_NULL_PCT} AND null_pct > 0
-UNION ALL SELECT 'constant', 'warning', column_name, CAST(unique_count AS DOUBLE), 'Single distinct value; no predictive value.'
+UNION ALL SELECT 'constant', 'warning', column_name, CAST(unique_count AS DOUBLE), 'Holds one value only.'
 FROM prof WHERE semantic_type = 'constant'
-UNION ALL SELECT 'identifier', 'info', column_name, CAST(unique_count AS DOUBLE), 'Every value distinct -- looks like an ID. Exclude from features.'
+UNION ALL SELECT 'identifier', 'info', column_name, CAST(unique_count AS DOUBLE), 'Unique in every row, as an identifier is.'
 FROM prof WHERE semantic_type = 'identifier'
-UNION ALL SELECT 'high_cardinality', 'warning', column_name, CAST(unique_count AS DOUBLE), printf('%d distinct categories; one-hot encoding will explode.', unique_count)
+UNION ALL SELECT 'high_cardinality', 'warning', column_name, CAST(unique_count AS DOUBLE), printf('%d categories, many for one-hot encoding.', unique_count)
 FROM prof WHERE semantic_type = 'high_cardinality_categorical'
-UNION ALL SELECT 'outliers', 'info', column_name, outlier_pct, printf('%d IQR outliers (%.1f%%).', outlier_count, round(outlier_pct, 1))
+UNION ALL SELECT 'outliers', 'info', column_name, outlier_pct, printf('%d values outside the IQR fences (%.1f%%).', outlier_count, round(outlier_pct, 1))
 FROM ol WHERE outlier_pct >= {K.OUTLIER_WARN_PCT}
-UNION ALL SELECT 'skewed', 'info', column_name, skew, printf('Skew %.2f; a log or power transform may help.', round(skew, 2))
+UNION ALL SELECT 'skewed', 'info', column_name, skew, printf('Skewness %.2f.', round(skew, 2))
 FROM ns WHERE abs(round(skew, 4)) > {K.SKEW_WARN_ABS}
-UNION ALL SELECT 'collinear', 'warning', a, r, printf('Near-perfect correlation with ''%s''. Likely redundant.', b)
+UNION ALL SELECT 'collinear', 'warning', a, r, printf('Almost collinear with ''%s''.', b)
 FROM cr WHERE abs(round(r, 4)) >= {K.COLLINEAR_ABS}
-UNION ALL SELECT 'few_rows', 'warning', NULL, CAST(n_rows AS DOUBLE), printf('Only %d rows; model results will not be trustworthy.', n_rows)
+UNION ALL SELECT 'few_rows', 'warning', NULL, CAST(n_rows AS DOUBLE), printf('%d rows, few for a model.', n_rows)
 FROM nr WHERE n_rows < {K.FEW_ROWS}""")
 
 

@@ -354,25 +354,7 @@ def _nmi_sql(rel: str, target: str, target_numeric: bool, features: list[tuple[s
 
     long = " UNION ALL ".join(f"SELECT '{f}' AS feature, {b(f, num)} AS x, {b(target, target_numeric)} AS y FROM base, e"
                               for f, num in features)
-    return with_ctes(f""",
-base AS (SELECT * FROM {rel} WHERE {target} IS NOT NULL),
-e AS (SELECT {edges} FROM base),
-ct AS (SELECT feature, x, y, count(*) AS n FROM ({long}) l GROUP BY feature, x, y),
-ct2 AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS bigN, sum(n) OVER (PARTITION BY feature, x) AS nx,
-               sum(n) OVER (PARTITION BY feature, y) AS ny FROM ct),
-mi AS (SELECT feature, sum(CAST(n AS DOUBLE) / bigN * ln(CAST(n AS DOUBLE) * bigN / (CAST(nx AS DOUBLE) * ny))) AS mi,
-              count(DISTINCT x) AS kx, count(DISTINCT y) AS ky, sum(CASE WHEN x <> 'nan' THEN n ELSE 0 END) AS non_null
-       FROM ct2 GROUP BY feature),
-hx AS (SELECT feature, sum(-CAST(c AS DOUBLE) / bigN * ln(CAST(c AS DOUBLE) / bigN)) AS hx FROM (
-         SELECT feature, x, first(nx) AS c, first(bigN) AS bigN FROM ct2 GROUP BY feature, x) t GROUP BY feature),
-hy AS (SELECT feature, sum(-CAST(c AS DOUBLE) / bigN * ln(CAST(c AS DOUBLE) / bigN)) AS hy FROM (
-         SELECT feature, y, first(ny) AS c, first(bigN) AS bigN FROM ct2 GROUP BY feature, y) t GROUP BY feature),
-sc AS (SELECT mi.feature AS column_name, round(CASE WHEN kx = 1 AND ky = 1 THEN 1.0
-                 WHEN greatest(mi, 0.0) = 0 THEN 0.0
-                 ELSE greatest(mi, 0.0) / greatest((hx + hy) / 2, 2.220446049250313e-16) END, 4) AS score
-       FROM mi JOIN hx ON mi.feature = hx.feature JOIN hy ON mi.feature = hy.feature WHERE non_null > 0)
-SELECT column_name, score, score >= {K.LEAKAGE_NMI_THRESHOLD} AS leaked FROM sc""".replace("WITH ,", "WITH ", 1)
-                     if False else f"""
+    return with_ctes(f"""
 SELECT column_name, score, score >= {K.LEAKAGE_NMI_THRESHOLD} AS leaked FROM sc""", rel) \
         .replace("\nSELECT column_name, score, score >=",
                  f""",
@@ -453,17 +435,6 @@ _reg("classification_metrics",
          relation(s, sf, "fx_scores").selectExpr("label", "CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS pred"),
          "label", "pred"),
      with_ctes("""
-WITH c AS (SELECT label AS y, CASE WHEN proba >= 0.5 THEN 1 ELSE 0 END AS p, count(*) AS n FROM fx_scores GROUP BY 1, 2),
-cls AS (SELECT y FROM c UNION SELECT p FROM c),
-per AS (SELECT cls.y, coalesce((SELECT sum(n) FROM c WHERE c.y = cls.y), 0) AS support,
-               coalesce((SELECT sum(n) FROM c WHERE c.p = cls.y), 0) AS predicted,
-               coalesce((SELECT sum(n) FROM c WHERE c.y = cls.y AND c.p = cls.y), 0) AS tp FROM cls),
-m AS (SELECT support, tp, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
-             CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM per)
-SELECT sum(tp) / sum(support) AS accuracy, sum(prec * support) / sum(support) AS precision,
-       sum(rec * support) / sum(support) AS recall,
-       sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support) AS f1
-FROM m""".replace("WITH c AS", "c AS", 1).join(["", ""]) if False else """
 SELECT sum(tp) / sum(support) AS accuracy, sum(prec * support) / sum(support) AS precision,
        sum(rec * support) / sum(support) AS recall,
        sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support) AS f1
@@ -514,34 +485,34 @@ rr AS (SELECT f.*, coalesce(m.missing_top, false) AS missing_top, coalesce(m.mis
 
 _CHECKS_SQL = """checks AS (
 SELECT run_id, 1 AS ord, 'class_separation' AS name, roc_auc >= 0.65 AS passed, true AS gating,
-       CASE WHEN roc_auc < 0.65 THEN printf('ROC-AUC %.4f is below 0.65; barely separates classes.', roc_auc)
-            ELSE printf('ROC-AUC %.4f meets the 0.65 threshold.', roc_auc) END AS detail
+       CASE WHEN roc_auc < 0.65 THEN printf('ROC-AUC %.4f, under the gate of 0.65.', roc_auc)
+            ELSE printf('ROC-AUC %.4f, gate 0.65 met.', roc_auc) END AS detail
 FROM rr WHERE task_type = 'classification' AND roc_auc IS NOT NULL
 UNION ALL SELECT run_id, 2, 'f1_threshold', primary_value >= 0.6, true,
-       CASE WHEN primary_value < 0.6 THEN printf('F1 %.4f is below 0.6.', primary_value)
-            ELSE printf('F1 %.4f meets the 0.6 threshold.', primary_value) END
+       CASE WHEN primary_value < 0.6 THEN printf('F1 %.4f, under the gate of 0.6.', primary_value)
+            ELSE printf('F1 %.4f, gate 0.6 met.', primary_value) END
 FROM rr WHERE task_type = 'classification'
 UNION ALL SELECT run_id, 3, 'variance_explained', primary_value >= 0.3, true,
-       CASE WHEN primary_value < 0.3 THEN printf('R2 %.4f is below 0.3; the model explains little variance.', primary_value)
-            ELSE printf('R2 %.4f meets the 0.3 threshold.', primary_value) END
+       CASE WHEN primary_value < 0.3 THEN printf('R2 %.4f, under the gate of 0.3.', primary_value)
+            ELSE printf('R2 %.4f, gate 0.3 met.', primary_value) END
 FROM rr WHERE task_type = 'regression'
 UNION ALL SELECT run_id, 4, 'target_leakage', leaked_count = 0, false,
-       CASE WHEN leaked_count = 0 THEN 'No feature restates the target.'
-            ELSE printf('%d column(s) removed before training because they restate the target.', leaked_count) END
+       CASE WHEN leaked_count = 0 THEN 'Leak scan clean.'
+            ELSE printf('%d leaking column(s) taken out.', leaked_count) END
 FROM rr
 UNION ALL SELECT run_id, 5, 'plausibility', false, false,
-       printf('%s of %.4f is essentially perfect. On real data this usually means leakage or a duplicated target, not skill.',
+       printf('%s reached %.4f, which real data rarely allow: look for a leak.',
               CASE WHEN task_type = 'classification' THEN 'f1' ELSE 'r2' END, primary_value)
 FROM rr WHERE primary_value >= 0.98
 UNION ALL SELECT run_id, 6, 'target_is_derived', NOT derived_target, true,
-       CASE WHEN derived_target THEN 'The target is a combination of its own features.'
-            ELSE 'The target is not a combination of its own features.' END FROM rr
+       CASE WHEN derived_target THEN 'A linear mix of the features gives the target.'
+            ELSE 'No linear mix of the features gives the target.' END FROM rr
 UNION ALL SELECT run_id, 7, 'informative_missingness', false, false,
-       printf('Predictions are driven by whether a value was recorded, not by the value itself: %s.', missing_names)
+       printf('Among the top features, absence itself: %s. New data must lack values in the same way.', missing_names)
 FROM rr WHERE missing_top
 UNION ALL SELECT run_id, 8, 'sample_size', n_train >= 200, true,
-       CASE WHEN n_train < 200 THEN printf('Only %d training rows; results are unstable.', n_train)
-            ELSE printf('%d training rows is sufficient; sample size is NOT a problem.', n_train) END FROM rr)"""
+       CASE WHEN n_train < 200 THEN printf('%d training rows, fewer than 200.', n_train)
+            ELSE printf('%d training rows, enough.', n_train) END FROM rr)"""
 
 _VERDICT_SQL = """verd AS (
 SELECT r.run_id,
@@ -575,26 +546,26 @@ SELECT run_id, round, gate_value, prev AS previous_best, CASE WHEN prev IS NULL
 FROM (SELECT *, max(gate_value) OVER (PARTITION BY run_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
       FROM fx_rounds) t""", "fx_rounds"))
 _reg("quality_suggestions", lambda s, sf: G.suggestions(_runs(s, sf), _imps(s, sf)), _q("""
-SELECT run_id, 1 AS ord, printf('%d leaked feature(s) were excluded. Scores below are from the model trained WITHOUT them.', leaked_count) AS suggestion FROM rr WHERE leaked_count > 0
-UNION ALL SELECT run_id, 2, 'Verify no remaining column encodes the answer.' FROM rr WHERE primary_value >= 0.98
-UNION ALL SELECT run_id, 3, 'Check why those columns are missing. If missingness reflects how the data was collected rather than the subject, the model will not transfer.' FROM rr WHERE missing_top
-UNION ALL SELECT d.run_id, 4, printf('%d feature(s) contribute almost nothing: %s. Removing them reduces noise without losing signal.', d.n_dead, d.names)
+SELECT run_id, 1 AS ord, printf('Read the scores as those without %d leaking column(s).', leaked_count) AS suggestion FROM rr WHERE leaked_count > 0
+UNION ALL SELECT run_id, 2, 'Search the columns left for one that gives the target away.' FROM rr WHERE primary_value >= 0.98
+UNION ALL SELECT run_id, 3, 'Find out why those values are absent before using the model elsewhere.' FROM rr WHERE missing_top
+UNION ALL SELECT d.run_id, 4, printf('Try without %d feature(s) of negligible importance, such as %s.', d.n_dead, d.names)
   FROM rr JOIN dd d ON rr.run_id = d.run_id
-UNION ALL SELECT run_id, 5, 'More data would help more than any model change.' FROM rr WHERE n_train < 200""", """,
+UNION ALL SELECT run_id, 5, 'Collect more rows before trying other models.' FROM rr WHERE n_train < 200""", """,
 dd AS (SELECT run_id, count(*) AS n_dead, array_to_string(list_slice(list_sort(list(encoded)), 1, 5), ', ') AS names FROM (
   SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total < 0.02 ELSE true END AS dead
   FROM (SELECT *, sum(abs(importance)) OVER (PARTITION BY run_id) AS total FROM fx_importances) t) x WHERE dead GROUP BY run_id)"""))
 _reg("findings", lambda s, sf: G.findings(_runs(s, sf), _imps(s, sf)), _q("""
 SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY critical DESC, pos ASC) AS INTEGER) AS ord, name, critical, text FROM (
   SELECT run_id, 0 AS pos, 'additive_leakage' AS name, true AS critical,
-         'CRITICAL: the target is a combination of its own features. The scores are arithmetic, not prediction.' AS text
+         'CRITICAL: a linear mix of the features gives the target, so the scores say nothing about prediction.' AS text
   FROM rr WHERE coalesce(derived_target, false)
   UNION ALL SELECT run_id, 1, 'leaked_features', true,
-         printf('%d column(s) removed before training for restating the target. Every score comes from a model trained without them.', leaked_count)
+         printf('%d leaking column(s) taken out; no score includes them.', leaked_count)
   FROM rr WHERE coalesce(leaked_count, 0) > 0
-  UNION ALL SELECT rr.run_id, 3, 'dead_features', false, printf('Measured as contributing almost nothing: %s.', d.names)
+  UNION ALL SELECT rr.run_id, 3, 'dead_features', false, printf('Negligible importance: %s.', d.names)
   FROM rr JOIN dd d ON rr.run_id = d.run_id WHERE length(d.names) > 0
-  UNION ALL SELECT run_id, 4, 'failed_checks', false, printf('Quality checks that failed: %s', reasons) FROM verd WHERE length(reasons) > 0) f""", """,
+  UNION ALL SELECT run_id, 4, 'failed_checks', false, printf('Gates not met: %s', reasons) FROM verd WHERE length(reasons) > 0) f""", """,
 dd AS (SELECT run_id, array_to_string(list_sort(list(encoded)), ', ') AS names FROM (
   SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total < 0.02 ELSE true END AS dead
   FROM (SELECT *, sum(abs(importance)) OVER (PARTITION BY run_id) AS total FROM fx_importances) t) x WHERE dead GROUP BY run_id)"""))

@@ -3,6 +3,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import functions as F
 
 from tabvet.operators import explain as E
 from tabvet.operators import models as MD
@@ -33,15 +34,15 @@ def test_tree_shap_driver_outranks_noise(spark):
     assert n == 200 and s["a"] > s["b"] > s["c"]
 
 
-def test_shap_budget():
-    assert E.shap_rows(653_372) == 91
-    assert E.shap_rows(10) == 500
-    assert E.shap_rows(3_000_000) == 60
+def test_shap_budget(spark):
+    nodes = spark.createDataFrame([(653_372,), (10,), (3_000_000,), (0,)], "n long")
+    rows, method = E.shap_budget(F.col("n"))
+    assert [tuple(r) for r in nodes.select(rows.cast("int"), method).collect()] == [
+        (91, "shap"), (500, "shap"), (60, "permutation"), (500, "shap")]
 
 
 def test_source_mapping_longest_prefix(spark):
     names = spark.createDataFrame([("plan_type_A",), ("plan_B",), ("missing:age",), ("age",)], "encoded string")
-    from pyspark.sql import functions as F
     out = {r["encoded"]: r["s"] for r in names.select(
         "encoded", E.source_column(F.col("encoded"), ["age"], ["plan", "plan_type"]).alias("s")).collect()}
     assert out == {"plan_type_A": "plan_type", "plan_B": "plan", "missing:age": "age (was missing)", "age": "age"}
