@@ -61,6 +61,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
 
 
+PIECE = 1 << 17
 _POWERS: list[np.ndarray] = []
 
 
@@ -75,17 +76,36 @@ def _powers(length: int) -> list[np.ndarray]:
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all ``texts``, and the bounds of each text's words.
 
-    Words are runs of anything but ASCII white space. All words are hashed at
-    once, as differences of a running polynomial over the joined bytes.
+    Words are runs of anything but ASCII white space. They are hashed in pieces
+    of about PIECE bytes, cut at white space, so that memory doesn't follow the
+    length of the texts.
     """
     raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(raw):
+        size = PIECE
+        while at + size < len(raw):
+            gaps = np.flatnonzero(_IS_SPACE[raw[at:at + size]])
+            if len(gaps):
+                size = int(gaps[-1]) + 1
+                break
+            size *= 2
+        start, h = _piece_hashes(raw[at:at + size])
+        starts.append(start + at)
+        hashes.append(h)
+        at += size
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return np.concatenate(hashes), np.concatenate([[0], np.searchsorted(np.concatenate(starts), ends)])
+
+
+def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of ``raw``, as differences of a running polynomial over its bytes."""
     power, inverse = _powers(len(raw))
     gap = np.concatenate([[True], _IS_SPACE[raw], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
     run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * power[:len(raw)])])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix((run[end] - run[start]) * inverse[start]), np.concatenate([[0], np.searchsorted(start, ends)])
+    return start, mix((run[end] - run[start]) * inverse[start])
 
 
 # ------------------------------------------------------------- Bloom filters
