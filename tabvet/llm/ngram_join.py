@@ -4,8 +4,9 @@ Shingles are put in a rare-first order. A pair that reaches the threshold
 shares a shingle among the first few of both sets, so only those prefixes are
 joined; length, positional and suffix filters remove pairs before any set is
 fetched, and each pair left is verified once by exact intersection. Documents
-with equal sets are one class and never form pairs. Prefix keys are worked in
-two rounds: the first pairs every class with its neighbours in orders that put
+with equal sets are one class and never form pairs. ``links`` takes all pairs
+of every prefix key. Component ids need fewer: there prefix keys are worked in
+two rounds, the first pairs every class with its neighbours in orders that put
 similar sets side by side, which is linear in the key's size; the second takes
 all pairs that the first left in different components.
 """
@@ -110,6 +111,7 @@ class JaccardJoin:
         classes = scanned.where("kind = 0 AND n > 0").groupBy("c")
         self._suffix = classes.agg(F.any_value("cells").alias("cells"))
         self._orders = classes.agg(F.any_value("o1").alias("o1"), F.any_value("o2").alias("o2"), F.any_value("b").alias("b"))
+        self._shared = self._links = None
         self._order = self._frequent(scanned.where("kind = 1").select("c", "n"))
 
     # ---------------------------------------------------------------- scanning
@@ -245,15 +247,48 @@ class JaccardJoin:
         return pairs.join(one, "a").join(two, "b").select("a", "b", _linked(F.col("sa"), F.col("sb"), F.lit(self.percent)).alias("linked"))
 
     # ---------------------------------------------------------------- the join
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links (a, b) between classes that hold the components together, and (node, label) of each linked class.
-
-        A link between classes that an earlier round has already put in one
-        component isn't looked for; every other pair is verified.
-        """
+    def _keys(self) -> DataFrame:
+        """(k, c, n, i) of the prefix keys that two classes or more share."""
+        if self._shared is None:
+            rows = self._prefixes().repartition("k").groupBy("k", "c", "n").agg(F.min("i").alias("i"))
+            self._shared = saved(rows.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("here > 1").drop("here"), "join-prefixes")
+        return self._shared
+
+    def links(self) -> DataFrame:
+        """Every link (a, b), a < b, between classes: all pairs of a prefix key
+        that pass the filters, each verified once. Classes stand for their
+        documents, whose sets are equal; ``link_counts`` counts by document."""
+        if self._links is None:
+            rows = saved(self._keys().join(self._orders, "c").select("k", F.struct(*ROW).alias("v")), "join-rows")
+            x, y = rows.alias("x"), rows.alias("y")
+            every = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v.c") < F.col("y.v.c")) & self._may(F.col("x.v"), F.col("y.v")))
+                     .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
+            self._links = saved(self._verify(self._candidates(every)).where("linked").select("a", "b"), "join-all-links")
+        return self._links
+
+    def link_counts(self) -> DataFrame:
+        """(c, n_docs, n_links, n_doc_links) of every class: its documents, the
+        classes it links with, and the other documents each of its own links with."""
+        size = self.members.where("n > 0").groupBy("c").agg(F.count(F.lit(1)).alias("n_docs"))
+        links = self.links()
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        around = (ends.join(size.withColumnRenamed("c", "b"), "b").groupBy(F.col("a").alias("c"))
+                  .agg(F.count(F.lit(1)).alias("n_links"), F.sum("n_docs").alias("near")))
+        return size.join(around, "c", "left").select(
+            "c", "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("n_docs") - 1 + F.coalesce("near", F.lit(0))).alias("n_doc_links"))
+
+    def document_links(self) -> DataFrame:
+        """doc_id, n_shingles, n_links (other rows that it links with) of every document."""
+        counts = self.members.where("n > 0").join(self.link_counts().select("c", "n_doc_links"), "c")
+        return (counts.select("doc_id", F.col("n").alias("n_shingles"), F.col("n_doc_links").alias("n_links"))
+                .unionByName(self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.lit(0).cast("bigint").alias("n_links"))))
+
+    def class_components(self) -> DataFrame:
+        """(node, label) of each linked class, for component ids only: pairs
+        that an earlier round has already put in one component aren't looked
+        for, as they can't change it. ``links`` gives all links."""
         by_key = Window.partitionBy("k")
-        rows = self._prefixes().repartition("k").groupBy("k", "c", "n").agg(F.min("i").alias("i"))
-        shared = saved(rows.withColumn("here", F.count(F.lit(1)).over(by_key)).where("here > 1").drop("here"), "join-prefixes")
+        shared = self._keys()
         # MinHash orders give the likeliest neighbours, an order by chance other ones for every key.
         near = _neighbours(shared.join(self._orders, "c"), [(("o1", "o2"), 1), (("o2", "o1"), 1), ((F.xxhash64("k", "c"),), 2)])
         checked = saved(self._verify(self._candidates(near.where(self._may(F.col("x"), F.col("y"))))), "join-checked")
@@ -266,12 +301,12 @@ class JaccardJoin:
         cross = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") < F.col("y.label")) & self._may(F.col("x.v"), F.col("y.v")))
                  .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
         last = self._candidates(cross, checked)
-        every = saved(found.unionByName(self._verify(last).where("linked").select("a", "b")), "join-links")
-        return every, components(every, "join")
+        enough = saved(found.unionByName(self._verify(last).where("linked").select("a", "b")), "join-links")
+        return components(enough, "join")
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
-        _, label = self.links()
+        label = self.class_components()
         least = (self.members.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("d"))
                  .join(label.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c")))
         heads = least.groupBy("label").agg(F.min("d").alias("component_id"))
@@ -331,6 +366,10 @@ def digest_columns(docs: DataFrame) -> DataFrame:
     return JaccardJoin(docs).result()
 
 
+def link_columns(docs: DataFrame) -> DataFrame:
+    return JaccardJoin(docs).document_links()
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near duplicates the smallest doc_id stays."""
     stay = JaccardJoin(docs).result().where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
@@ -349,3 +388,7 @@ links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id =
 reach AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.doc_id)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)"""
+
+LINKS_ORACLE = ORACLE.replace("WITH RECURSIVE", "WITH").split(",\nreach AS")[0] + """
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.n_links, 0) AS n_links
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) l USING (doc_id)"""

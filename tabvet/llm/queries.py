@@ -18,6 +18,7 @@ REGISTRY = {
     "op5_license_scan": (_documents(license_scan.digest_columns), None),
     "op6_quality_classifier": (lambda spark, sf_dir: quality.digest_columns(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), None),
     "op7_ngram_jaccard_join": (_documents(ngram_join.digest_columns), ngram_join.ORACLE),
+    "op7_ngram_jaccard_links": (_documents(ngram_join.link_columns), ngram_join.LINKS_ORACLE),
     "op8_chat_format": (lambda spark, sf_dir: chat_format.digest_columns(table(spark, sf_dir, "conversations")), None),
     "op9_decontamination": (lambda spark, sf_dir: decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
                             decontaminate.ORACLE.format(docs="documents")),

@@ -240,6 +240,26 @@ def test_ngram_join_on_groups_of_copies(spark):
     assert Counter(map(tuple, ngram_join.digest_columns(some).collect())) == jaccard_by_hand(pairs)
 
 
+def test_ngram_join_gives_every_link(spark):
+    r, base = random.Random(21), words(150, 13).split()
+    table = [(i, " ".join([*base[:2 * i], f"new{i}", *base[2 * i + 1:]])) for i in range(40)]  # near copies of one text, all different
+    table += [(40, table[3][1].upper()), (41, None), (42, "tiny text"), (43, words(60, 14))]
+    r.shuffle(table)
+    sets = {d: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for d, t in table}
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    join = ngram_join.JaccardJoin(spark.createDataFrame(table, "doc_id bigint, text string").repartition(3))
+    name = {}
+    for x in join.members.where("n > 0").orderBy("doc_id").collect():
+        name.setdefault(x["c"], x["doc_id"])
+    ids = sorted(name.values())
+    found = [tuple(sorted((name[x["a"]], name[x["b"]]))) for x in join.links().collect()]
+    want = {(a, b) for a in ids for b in ids if a < b and alike(sets[a], sets[b])}
+    assert len(want) == 780 and len(found) == len(want) and set(found) == want
+    assert {tuple(x) for x in join.document_links().collect()} == {
+        (d, len(s), sum(alike(s, sets[e]) for e in sets if e != d)) for d, s in sets.items()}
+    assert ngram_join.link_columns(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 def test_chat_format(spark):
     r, table = random.Random(9), []
     for c in range(12):
