@@ -3,9 +3,9 @@
 Three patterns give the base findings. Beside them, candidate strings are
 scanned with a sliding window whose Shannon entropy is kept up by incremental
 counts: a step changes two counts and the sum of c*log2(c) by their
-differences. Windows at or above the threshold of the candidate's character
-class are merged into spans; an allow-list suppresses candidates known to be
-harmless.
+differences. Windows at or above the threshold of their own character class
+are merged into spans; an allow-list suppresses windows and stretches of a
+candidate known to be harmless, not what stands beside them.
 """
 from __future__ import annotations
 
@@ -20,11 +20,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
-#: Character class of a candidate, tried in this order, and its least entropy in bits.
+#: Character class of a window, tried in this order, and its least entropy in bits.
 CLASSES = ((r"^[0-9A-Fa-f]+$", 3.02), (r"^([0-9a-z]+|[0-9A-Z]+)$", 3.52), (r"", 4.02))
-#: Candidates that match any of these are no secrets: words without a digit,
-#: numbers, UUIDs, placeholders and counting sequences.
-ALLOWED = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
+#: What is no secret. Patterns that begin with ^ judge a window: words without
+#: a digit, numbers. Others are stretches that no window may touch: UUIDs,
+#: placeholders and counting sequences.
+ALLOWED = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])",
            r"(?i)example|sample|placeholder|changeme|dummy|xxxx", r"(?i)0123456789|abcdefghij")
 
 
@@ -46,8 +47,17 @@ def _cost(count: Column) -> Column:
     return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_windows(word: Column, least: Column, window: int = WINDOW) -> Column:
-    """Merged (start, end) of the windows of ``word`` whose entropy is ``least`` or more."""
+def pieces(word: Column, pattern: str) -> Column:
+    """Array of (start, text) of what the pattern's matches leave of ``word``."""
+    between = F.split(word, pattern, -1)
+    starts = F.concat(F.array(F.lit(0)), F.transform(located(word, pattern), lambda x: x["end"]))
+    return F.arrays_zip(starts.alias("start"), between.alias("text"))
+
+
+def hot_windows(word: Column, allowed: tuple[str, ...] = (), window: int = WINDOW) -> Column:
+    """Merged (start, end) of the windows of ``word`` whose entropy reaches that
+    of their class and that match none of ``allowed``."""
+    lowest = min(bits for _, bits in CLASSES)
     symbol = lambda i: F.instr(F.lit(ALPHABET), F.substring(word, i, F.lit(1)))
 
     def step(acc: Column, i: Column) -> Column:
@@ -63,9 +73,11 @@ def hot_windows(word: Column, least: Column, window: int = WINDOW) -> Column:
             F.when(x["come"] == x["go"], acc["sum"]).otherwise(
                 acc["sum"] + _cost(x["n_come"] + 1) - _cost(x["n_come"])
                 + F.when(x["go"] > 0, _cost(x["n_go"] - 1) - _cost(x["n_go"])).otherwise(F.lit(0.0))).alias("sum")))
-        last = F.element_at(acc["out"], -1)
+        own = F.substring(word, i - window + 1, F.lit(window))
+        bits = lambda x: F.log2(F.lit(float(window))) - x["sum"] / window
         joined = lambda x: F.when(
-            (i < window) | (F.log2(F.lit(float(window))) - x["sum"] / window < least), acc["out"]).when(
+            (i < window) | (bits(x) < lowest), acc["out"]).when(
+            (bits(x) < _least(own)) | F.greatest(*[own.rlike(a) for a in allowed], F.lit(False), F.lit(False)), acc["out"]).when(
             (F.size(acc["out"]) > 0) & (F.get(acc["out"], F.size(acc["out"]) - 1)["end"] >= i - window),
             F.concat(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1),
                      F.array(F.struct(F.get(acc["out"], F.size(acc["out"]) - 1)["start"].alias("start"), i.alias("end"))))).otherwise(
@@ -93,7 +105,7 @@ def scan(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     by start, then kind as listed; code points, end exclusive.
 
     Base findings are the three patterns' matches that are long enough; the
-    allow-list, patterns that clear a candidate, concerns entropy spans only.
+    allow-list (see ``ALLOWED``) concerns entropy spans only.
     A null or empty text has none. Every row is scanned whole and by itself,
     repeated rows too; all other columns pass; an empty table gives no rows.
     """
@@ -102,9 +114,12 @@ def scan(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     assign = F.filter(located(body, ASSIGN), lambda x, i: F.length(F.get(value, i)) >= 6)
     assign = F.when(body.rlike(ASSIGN), assign).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
     base = F.concat(_spans(assign, "assign"), _spans(located(body, ACCESS), "access"), _spans(located(body, HEX), "hex"))
-    unlisted = lambda x: ~F.greatest(*[x["match"].rlike(a) for a in allowed], F.lit(False))
-    hot = F.flatten(F.transform(F.filter(F.col("__c"), unlisted), lambda x: F.transform(
-        hot_windows(x["match"], _least(x["match"])),
+    harmless = "|".join(f"(?:{a})" for a in allowed if not a.startswith("^")) or "(?!)"
+    judged = tuple(a for a in allowed if a.startswith("^"))
+    parts = F.flatten(F.transform(F.col("__c"), lambda x: F.transform(
+        pieces(x["match"], harmless), lambda y: F.struct((x["start"] + y["start"]).alias("start"), y["text"].alias("text")))))
+    hot = F.flatten(F.transform(F.filter(parts, lambda x: F.length(x["text"]) >= WINDOW), lambda x: F.transform(
+        hot_windows(x["text"], judged),
         lambda w: F.struct((x["start"] + w["start"]).alias("start"), F.lit(3).alias("rank"), (x["start"] + w["end"]).alias("end")))))
     name = F.array(*[F.lit(k) for k in KINDS])
     labelled = lambda c: F.transform(F.array_sort(c), lambda x: F.struct(

@@ -93,6 +93,27 @@ def test_secrets(spark, docs, empty):
     assert set(docs.columns) <= set(secrets.scan(docs).columns)
 
 
+def found_share(spark, make, n=200):
+    """Share of the (name, secret) made for which an entropy span reaches 15 characters or more into the secret."""
+    made = [make() for _ in range(n)]
+    table = spark.createDataFrame([(i, a + b) for i, (a, b) in enumerate(made)], "doc_id bigint, text string").repartition(4)
+    got = {x["doc_id"]: x["__all"] for x in secrets.scan(table).select("doc_id", "__all").collect()}
+    return np.mean([any(x["kind"] == "entropy" and x["end"] >= len(a) + 15 for x in got[i]) for i, (a, _) in enumerate(made)])
+
+
+def test_secrets_glued_to_names(spark):
+    r = random.Random(31)
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for name, alphabet, n in (("key=", "0123456789ABCDEF", 32), ("v1/", "0123456789ABCDEF", 32), ("id_", "0123456789abcdef", 40),
+                              ("key=", "0123456789abcdefghijklmnopqrstuvwxyz", 24), ("sample/", base62, 40)):
+        assert found_share(spark, lambda: (name, some(alphabet, n))) >= 0.9, name  # noqa: B023
+    harmless = ["id=9f8a7c6e-5d4b-3a2f-1e0d-9c8b7a6f5e4d", "v2/internationalization/misunderstandings", "key=exampleexample12345678",
+                "n=12345678901234567890123", "key=0123456789abcdef0123456789abcdef", "x" * 40]
+    table = spark.createDataFrame(list(enumerate(harmless)), "doc_id bigint, text string")
+    assert not [x for row in secrets.scan(table).collect() for x in row["__all"] if x["kind"] == "entropy"]
+
+
 def lines_by_hand(rows):
     key = lambda x: (k if len(k := x.strip(" \t\n\x0b\x0c\r").translate(A_Z)) >= 20 else None)
     low = lambda d: -math.inf if d is None else d
