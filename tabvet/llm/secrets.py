@@ -21,7 +21,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
 #: Character class of a window, tried in this order, and its least entropy in bits.
-CLASSES = ((r"^[0-9A-Fa-f]+$", 3.02), (r"^([0-9a-z]+|[0-9A-Z]+)$", 3.52), (r"", 4.02))
+#: The first three find 95% or more of random strings of WINDOW characters; the
+#: last is for one case and signs, as in paths of words.
+CLASSES = ((r"^[0-9A-Fa-f]+$", 3.02), (r"^([0-9a-z]+|[0-9A-Z]+)$", 3.52), (r"^(?=.*[A-Z])(?=.*[a-z])", 3.68), (r"", 4.02))
 #: What is no secret. Patterns that begin with ^ judge a window: words without
 #: a digit, numbers. Others are stretches that no window may touch: UUIDs,
 #: placeholders and counting sequences.

@@ -114,6 +114,13 @@ def test_secrets_glued_to_names(spark):
     assert not [x for row in secrets.scan(table).collect() for x in row["__all"] if x["kind"] == "entropy"]
 
 
+def test_short_secrets_of_both_cases(spark):
+    r = random.Random(32)
+    base62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for n in (20, 24, 28):
+        assert found_share(spark, lambda: ("", "".join(r.choice(base62) for _ in range(n))), 600) >= 0.93, n  # noqa: B023
+
+
 def lines_by_hand(rows):
     key = lambda x: (k if len(k := x.strip(" \t\n\x0b\x0c\r").translate(A_Z)) >= 20 else None)
     low = lambda d: -math.inf if d is None else d
