@@ -31,6 +31,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` with a bigint ``name`` that is each row's own, written so that all reads see the same."""
+    return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

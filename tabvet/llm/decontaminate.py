@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import prepare, saved
+from tabvet.llm.common import prepare, row_keys, saved
 
 WORDS, PERCENT = 5, 80
 #: Sketch entries in one broadcast (about 40 bytes each).
@@ -113,10 +113,12 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item are dropped."""
+    """Pipeline stage: rows whose text holds a benchmark item are dropped; rows
+    that share an id, or have none, are decided one by one."""
     from tabvet.llm.common import table
-    bad = contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]), "left_anti")
+    rows = row_keys(docs)
+    bad = contained(rows, table(spark, sf_dir, "benchmark"), "__row").select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 ORACLE = """

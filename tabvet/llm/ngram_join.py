@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, saved, word_hashes
+from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, row_keys, saved, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Entries of the table of frequent shingles that sets the order: a bound on
@@ -371,9 +371,14 @@ def link_columns(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near duplicates the smallest doc_id stays."""
-    stay = JaccardJoin(docs).result().where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__d"]), "left_semi")
+    """Pipeline stage: one row of each component of near duplicates stays, that
+    of the smallest doc_id. Rows are members by themselves, also where they
+    share an id; a null id counts as the largest. Empty texts all stay."""
+    rows = row_keys(docs)
+    parts = JaccardJoin(rows, "__row").result().select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    stay = parts.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
+    return rows.join(stay.select("__row"), "__row", "left_semi").select(*docs.columns)
 
 
 ORACLE = """

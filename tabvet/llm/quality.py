@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tabvet.llm.common import as_bytes, prepare, table
 
@@ -147,20 +148,26 @@ def score(docs: DataFrame, trees: Trees | None, doc_id: str = "doc_id", text: st
     Without trees (no labels) every score is 1, so nothing is rejected. Extra
     columns are not read; an empty table gives no rows.
     """
+    some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_scores(some, trees, "text", "score").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def with_scores(docs: DataFrame, trees: Trees | None, text: str, name: str) -> DataFrame:
+    """``docs`` row by row with the score of its text as a last column ``name``."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(trees)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t) for t in as_bytes(batch.column(1))]
+            rows = [statistics(t) for t in as_bytes(batch.column(at))]
             got = shared.value.score(np.array(rows)) if shared.value and rows else np.ones(len(rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                         F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def digest_columns(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -168,7 +175,7 @@ def digest_columns(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: rows whose text the classifier rejects go; rows that
+    share an id, or have none, are decided one by one."""
     trees = train(docs, table(spark, sf_dir, "labels"))
-    bad = score(docs, trees).where("predicted = 0").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]), "left_anti")
+    return with_scores(docs, trees, "text", "__score").where(F.col("__score") >= THRESHOLD).drop("__score")

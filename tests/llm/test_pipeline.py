@@ -2,7 +2,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from tabvet.llm import quality
+from tabvet.llm import decontaminate, ngram_join, quality
 from tabvet.llm.common import saved, table
 
 
@@ -51,6 +51,31 @@ def test_stages(spark, sf):
     assert set(after) <= set(before) and all(1 <= r["copies"] <= 3 for r in after.values())
 
 
+def test_stages_decide_by_row(spark, sf, tmp_path):
+    """Null and repeated ids: what one row holds doesn't move the others."""
+    docs = table(spark, sf, "documents")
+    kept = quality.stage(spark, docs, sf)
+    good = [r["text"] for r in kept.orderBy("doc_id").limit(4).collect()]
+    bad = docs.join(kept, "doc_id", "left_anti").orderBy("doc_id").first()["text"]
+    rows = lambda pairs: spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(3)
+    texts = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in df.collect())
+
+    some = rows([*docs.select("doc_id", "text").collect(), (None, good[0]), (None, bad), (-7, good[1]), (-7, bad)])
+    left = [x for x in texts(quality.stage(spark, some, sf)) if x[0] < 0]
+    assert left == [(-7, good[1]), (-1, good[0])]
+
+    near = good[0] + " one"
+    some = rows([(1, good[0]), (1, good[0]), (1, near), (1, good[1]), (None, near), (None, good[2]), (2, good[1]), (None, good[2]), (None, None), (3, ""), (3, "")])
+    left = texts(ngram_join.stage(spark, some, sf))
+    assert len(left) == 6 and (1, good[1]) in left and sum(x in ((1, good[0]), (1, near)) for x in left) == 1 and left.count((3, "")) == 2
+
+    passage = [f"p{i}" for i in range(14)]  # 10 shingles; each half holds 5 of them
+    spark.createDataFrame([(0, " ".join(passage))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    one, two, whole = " ".join(passage[:9]), " ".join(passage[5:]), "x " + " ".join(passage)
+    some = rows([(None, one), (None, two), (None, whole), (4, one), (4, two), (5, whole), (5, "clean")])
+    assert texts(decontaminate.stage(spark, some, str(tmp_path))) == [(-1, one), (-1, two), (4, one), (4, two), (5, "clean")]
+
+
 def test_run_and_empty_tables(spark, sf):
     assert "copies" in corpus_pipeline.run(spark, sf).columns
     docs = table(spark, sf, "documents").limit(0)
