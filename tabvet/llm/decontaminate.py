@@ -69,7 +69,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     length = (F.col("longest") - F.ceil(F.col("longest") * percent / F.lit(100.0) - F.lit(1e-9)) + 1)
     known = sizes.join(longest, "part").select("item", "size", "part", length.alias("length"))
     by_hash = Window.partitionBy("item").orderBy("h", "gram")
-    sketch = saved(grams.join(known, "item").withColumn("rank", F.row_number().over(by_hash)).where("rank <= length")
+    sized = grams.join(known.withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item"))).drop("__item")
+    sketch = saved(sized.withColumn("rank", F.row_number().over(by_hash)).where("rank <= length")
                    .select("item", "width", "h", "part", "size"), "sketches")
     widths = [r["width"] for r in sketch.select("width").distinct().collect()]  # words at most
     blocks = -(-sketch.count() // BLOCK_ROWS)

@@ -341,6 +341,12 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained(empty, bench).count() == 0 and decontaminate.contained(docs, bench.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_with_null_item_id(spark, docs):
+    bench = spark.createDataFrame([(None, words(30, 2)), (1, words(40, 77))], "item_id bigint, text string")
+    got = {tuple(r)[:4] for r in decontaminate.contained(docs, bench).collect()}
+    assert got == {(6, None, 26, 26), (10, None, 26, 26)}
+
+
 def test_token_counts(docs, empty, rows):
     encoding, _ = token_counts.encoder(token_counts.VOCABULARY)
     for rule in token_counts.RULES:
