@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators: key -> (callable, oracle SQL or None)."""
 from __future__ import annotations
 
-from tabvet.llm import (chat_format, decontaminate, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, periodic_runs,
+from tabvet.llm import (chat_format, decontaminate, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, ngram_join, packing, periodic_runs,
                         quality, secrets, token_counts)
 from tabvet.llm.common import table
 
@@ -24,5 +24,6 @@ REGISTRY = {
                             decontaminate.ORACLE.format(docs="documents")),
     "op10_token_counts": (_documents(token_counts.count_tokens), None),
     "op11_periodic_runs": (_documents(periodic_runs.digest_columns), None),
+    "op12_hard_negatives": (lambda spark, sf_dir: hard_negatives.query(table(spark, sf_dir, "embeddings")), hard_negatives.ORACLE),
     "op13_best_fit_packing": (_documents(packing.pack), None),
 }
