@@ -10,6 +10,8 @@ ranks are counted and looked up in Spark tasks again.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -31,63 +33,73 @@ END = 0  # the id after each document
 #: Documents of a pattern, at most, and ranges of lengths that patterns tell apart.
 DEPTH, RANGES = 3, 128
 #: Words whose ids a worker remembers, at most, and their length in bytes.
-REMEMBERED, WORD_BYTES = 400_000, 64
+REMEMBERED, WORD_BYTES = 1_000_000, 64
+
+
+#: Signs that end a word after an ASCII letter or digit, and are tokens of their own there.
+_SIGNS = re.compile(rb"[.,;:!?](?<=[a-z0-9].)[.,;:!?]*(?!\S)")
+#: Special tokens and marks that join a capital keep their texts as they are.
+_AS_IT_IS = (b"<|", b"\xcc", b"\xcd")
 
 
 class Encoder:
     """Ids of whole texts, word by word.
 
     The tokenizer lower-cases, cuts at white space and never joins what stands
-    on both sides of it, so a text's ids are those of its words. Signs that
-    end a word are its own tokens after a letter or digit. Ids are
-    little-endian unsigned 32-bit, as bytes.
+    on both sides of it, so a text's ids are those of its words, which are
+    remembered. Ids are little-endian unsigned 32-bit, as bytes.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got, strict=True)}
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't known, through those of their stems."""
-        cut = {w: _stem(w) for w in words}
-        parts = {x for pair in cut.values() for x in pair if x and x not in self.known}
-        fresh = self._fresh(list(parts))
-        ids = lambda x: fresh[x] if x in fresh else self.known[x] if x else b""
-        out = {w: ids(stem) + ids(tail) for w, (stem, tail) in cut.items()}
-        for more in (fresh, out):
-            for w, x in more.items():
-                if len(self.known) < REMEMBERED and len(w) <= WORD_BYTES:
-                    self.known[w] = x
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't known. Words of letters alone are encoded as one text."""
+        plain, rest, out = [], [], {}
+        for w in words:
+            (plain if w.isalpha() or _letters(w) else rest).append(w)
+        if plain:
+            got = self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0]
+            ids = np.array(got.ids, "<u4")
+            bounds = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(bounds) == len(plain):
+                raw = ids.tobytes()
+                out = {w: raw[a:b] for w, a, b in zip(plain, [0, *bounds[:-1]], bounds, strict=True)}
+            else:
+                rest += plain
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.known) < REMEMBERED:
+            self.known.update((w, x) for w, x in out.items() if len(w) <= WORD_BYTES)
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        own = self._learn(new) if new else {}
-        known = self.known
-        if not own:
-            return [b"".join([known[w] for w in words]) for words in split]
-        return [b"".join([own[w] if w in own else known[w] for w in words]) for words in split]
-
-
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word in lower case without the signs at its end, and these signs.
-
-    Words that hold "<|" may hold a special token, whose case counts; they are
-    left whole, as are words where no ASCII letter or digit stands before the
-    signs.
-    """
-    if b"<|" in word:
-        return word, b""
-    stem = word.rstrip(b".,;:!?")
-    if stem and stem[-1:].isalnum():
-        return stem.lower(), word[len(stem):]
-    return word.lower(), b""
+        split = [(t if any(x in t for x in _AS_IT_IS) else _SIGNS.sub(rb" \g<0>", t.lower())).split() for t in texts]
+        got = [list(map(self.known.get, words)) for words in split]
+        holes, new = [], set()
+        for words, ids in zip(split, got, strict=True):
+            own, at = [], -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                own.append(at)
+            holes.append(own)
+            new.update([words[i] for i in own])
+        fresh = self._learn(list(new))
+        for words, ids, own in zip(split, got, holes, strict=True):
+            for i in own:
+                ids[i] = fresh[words[i]]
+        return [b"".join(ids) for ids in got]
+
+
+def _letters(word: bytes) -> bool:
+    """Letters only, which stay letters in the tokenizer's normal form."""
+    text = word.decode()
+    return text.isalpha() and unicodedata.is_normalized("NFC", text) and text.lower().isalpha()
 
 
 @lru_cache(maxsize=2)

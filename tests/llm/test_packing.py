@@ -22,8 +22,8 @@ def ids_of(tokenizer, text):
 def test_ids_are_those_of_the_whole_text(tokenizer):
     r = random.Random(2)
     texts = ["", "don't DON'T x'S 's. 't! s's", "a<|endoftext|>b. <|startoftext|> <|endoftext|>, <|ENDOFTEXT|>", "é é ́x Á. İI ﬁ ǅ ΑΣ.", "12 345. ½! Ⅷ ٣٤;",
-             "日本語。 テキスト!", "a\x00b. \x1c c\x1fd \x0b e!!??..", "x" * 30_000, "..., ?! a.b.c. a..", "😀. 👍🏽! x‍y."]
-    texts += ["".join(r.choice("aB1' <|>endoftextstar\t́é  Σ日😀.,-s!?;:S½‍\x1c\x85\n") for _ in range(r.randrange(40))) for _ in range(3000)]
+             "日本語。 テキスト!", "a\x00b. \x1c c\x1fd \x0b e!!??..", "x" * 30_000, "..., ?! a.b.c. a..", "😀. 👍🏽! x‍y.", "J\u030c. H\u0331 T\u0308, ǰ", "İstanbul ŉ ΐ ﬀ"]
+    texts += ["".join(r.choice("aBJT1' <|>endoftextstar\t\u0308\u030ćé  Σ日😀.,-s!?;:S½‍\x1c\x85\n") for _ in range(r.randrange(40))) for _ in range(3000)]
     own = packing.Encoder(packing.VOCABULARY)
     for _ in range(2):  # the second time words are remembered
         got = [np.frombuffer(x, "<u4").tolist() for x in own.encode([t.encode() for t in texts])]
