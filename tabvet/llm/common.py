@@ -14,10 +14,21 @@ from tabvet.session import ensure_checkpoint_dir, scratch_path, ship_package
 SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Bytes of rows that travel to Python at once: whole texts are long.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Shared folder and package for the executors; cheap when already done."""
+    """Shared folder and package for the executors, and a session limit on the
+    bytes of an Arrow batch; cheap when already done."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    if spark.conf.get(_BATCH, None) != str(BATCH_BYTES):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SCRATCH: list[str] = []
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -28,10 +39,39 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_keys(docs: DataFrame, name: str = "__row") -> DataFrame:
+def drop_scratch(spark: SparkSession, first: int, last: int | None = None) -> None:
+    """Delete the tables that ``saved`` wrote as its first-th to last-th, by ``scratch_mark``.
+
+    Only for callers that know that nothing reads them any more, as when a
+    result that was made of them has been written.
+    """
+    for path in _SCRATCH[first:last]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del _SCRATCH[first:last]
+
+
+def scratch_mark() -> int:
+    """Number of tables that ``saved`` has written and nobody has dropped."""
+    return len(_SCRATCH)
+
+
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Each wanted name, with underscores behind it as long as a column has it already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keys(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a bigint ``name`` that is each row's own, written so that all reads see the same."""
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 

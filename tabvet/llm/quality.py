@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
-from tabvet.llm.common import as_bytes, prepare, table
+from tabvet.llm.common import as_bytes, prepare, table, unused
 
 #: Labelled rows that the trees are fitted on, at most: those with the smallest hashes of their id.
 SAMPLE_ROWS = 20_000
@@ -108,14 +109,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     return trees
 
 
-def _features(docs: DataFrame, extra: str) -> DataFrame:
+def _features(docs: DataFrame) -> DataFrame:
+    """(x, y) of rows (text, y)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64())), *batch.columns[2:]],
-                                             ["doc_id", "x", *batch.schema.names[2:]])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, x array<double>{extra}")
+            rows = [statistics(t) for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+    return docs.mapInArrow(run, "x array<double>, y double")
 
 
 def held_out(doc_id):
@@ -128,13 +128,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Trees fitted on at most ``sample_rows`` labelled rows; None without any.
 
     Null labels and ids are passed over; of several labels of an id the
-    largest counts.
+    largest counts, of several texts the smallest by code points.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
              .groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).cast("double").alias("y"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = sorted(_features(body.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y"), ", y double").collect())
+    body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # One row for each id, so no more than sample_rows come to the driver.
+    one = body.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = sorted(_features(one.select("text", "y")).collect())
     if not rows:
         return None
     return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
@@ -155,19 +157,21 @@ def score(docs: DataFrame, trees: Trees | None, doc_id: str = "doc_id", text: st
 
 
 def with_scores(docs: DataFrame, trees: Trees | None, text: str, name: str) -> DataFrame:
-    """``docs`` row by row with the score of its text as a last column ``name``."""
+    """``docs`` row by row with the score of its text as a last column ``name``.
+    Texts alone go to Python, and scores alone come back."""
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(trees)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in as_bytes(batch.column(at))]
-            got = shared.value.score(np.array(rows)) if shared.value and rows else np.ones(len(rows))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
+    @arrow_udf(DoubleType())
+    def scores(texts: pa.Array) -> pa.Array:
+        out = [np.empty(0)]
+        for at in range(0, len(texts), 256):
+            rows = [statistics(t) for t in as_bytes(texts.slice(at, 256))]
+            out.append(shared.value.score(np.array(rows)) if shared.value else np.ones(len(rows)))
+        return pa.array(np.concatenate(out))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.withColumn(name, scores(F.col(text)))
 
 
 def digest_columns(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,4 +182,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows whose text the classifier rejects go; rows that
     share an id, or have none, are decided one by one."""
     trees = train(docs, table(spark, sf_dir, "labels"))
-    return with_scores(docs, trees, "text", "__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    name, = unused(docs.columns, "score")
+    return with_scores(docs, trees, "text", name).where(F.col(name) >= THRESHOLD).drop(name)
