@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabvet.llm.common import ascii_lower, prepare, saved
+from tabvet.llm.common import ascii_lower, prepare, row_keys, saved, unused
 
 #: Counters of a Misra-Gries summary: a digest with more than 1 in COUNTERS of
 #: all rows is found for certain. The broadcast table has as many rows at most.
@@ -62,8 +62,8 @@ def frequent(digests: DataFrame, counters: int = COUNTERS) -> list[bytes]:
     return [bytes(r["digest"]) for r in level.coalesce(1).mapInArrow(merged, schema).collect()]
 
 
-def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest.
+def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest, and the column ``row``, if given, as ``row``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty, so all null and empty texts are one group. The largest doc_id of a
@@ -74,25 +74,30 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters
     """
     spark = docs.sparkSession
     prepare(spark)
-    digests = saved(docs.select(F.col(doc_id).alias("doc_id"),
+    more = ["row"] if row else []
+    digests = saved(docs.select(F.col(doc_id).alias("doc_id"), *[F.col(row).alias("row") for _ in more],
                                 F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)).alias("digest")), "digests")
     candidates = spark.createDataFrame([(bytearray(d),) for d in frequent(digests, counters)], "digest binary")
     winners = saved(digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest")
                     .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
                     .where("group_size > 1"), "winners")
-    hot = digests.join(F.broadcast(winners), "digest").select("doc_id", "keep_id", "group_size", "digest")
+    hot = digests.join(F.broadcast(winners), "digest").select("doc_id", "keep_id", "group_size", "digest", *more)
     group = Window.partitionBy("digest")
     rest = (digests.join(F.broadcast(winners), "digest", "left_anti")
             .select("doc_id", F.max("doc_id").over(group).alias("keep_id"),
-                    F.count(F.lit(1)).over(group).alias("group_size"), "digest"))
+                    F.count(F.lit(1)).over(group).alias("group_size"), "digest", *more))
     return hot.unionByName(rest).select("doc_id", "keep_id", "group_size",
-                                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+                                        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", *more)
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    stay = decide(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay["__d"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns. Rows are decided
+    one by one: of rows that share an id, each stays or goes with its own text."""
+    prepare(docs.sparkSession)
+    row, = unused(docs.columns, "row")
+    rows = row_keys(docs, row)
+    stay = decide(rows, doc_id, text, row=row).where("kept").select(F.col("row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest_columns(docs: DataFrame) -> DataFrame:

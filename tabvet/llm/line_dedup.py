@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tabvet.llm.common import SPACE, as_bytes, bits_for, bloom_has, bloom_pair, prepare, saved
+from tabvet.llm.common import SPACE, as_bytes, bits_for, bloom_has, bloom_pair, prepare, row_keys, saved, unused
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -84,8 +84,9 @@ def _drop(min_chars: int):
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the column ``__lines`` (text, n_lines, n_dropped).
+                min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, name: str = "lines") -> DataFrame:
+    """``docs`` with a last column ``name`` (text, n_lines, n_dropped); if
+    ``docs`` has a column of that name, the new one gets underscores behind it.
 
     A key is a line without white space at its ends, A-Z in lower case. Keys
     of at least ``min_chars`` code points that ``min_docs`` documents hold
@@ -98,32 +99,38 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     prepare(spark)
+    keys, gone_keys, d, name = unused(docs.columns, "keys", "gone", "of", name)
     suspected = suspects(docs, text, min_chars)
     drop = _drop(min_chars)
-    marked = docs.withColumn("__keys", suspected(F.col(text)))
-    held = saved(marked.where(F.size("__keys") > 0)
-                 .select(F.col(doc_id).alias("__d"), F.explode("__keys").alias("__k")), "lines-suspected")
-    shared = (held.distinct().groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), F.max("__d").alias("__keep"))
-              .where(F.col("__n") >= min_docs).select("__k", "__keep"))
-    gone = saved(held.distinct().join(shared, "__k").where(~F.col("__d").eqNullSafe(F.col("__keep")))
-                 .groupBy("__d").agg(F.collect_list("__k").alias("__gone")), "lines-gone")
-    clean = marked.where(F.size("__keys") == 0).withColumn("__gone", F.lit(None).cast("array<binary>"))
-    dirty = marked.where(F.size("__keys") > 0)
-    dirty = dirty.join(gone, dirty[doc_id].eqNullSafe(gone["__d"]), "left").drop(gone["__d"])
-    return clean.unionByName(dirty).withColumn("__lines", drop(F.col(text), F.col("__gone"))).drop("__keys", "__gone")
+    marked = docs.withColumn(keys, suspected(F.col(text)))
+    held = saved(marked.where(F.size(keys) > 0).select(F.col(doc_id).alias("d"), F.explode(keys).alias("k")), "lines-suspected")
+    shared = (held.distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("keep"))
+              .where(F.col("n") >= min_docs).select("k", "keep"))
+    gone = saved(held.distinct().join(shared, "k").where(~F.col("d").eqNullSafe(F.col("keep")))
+                 .groupBy(F.col("d").alias(d)).agg(F.collect_list("k").alias(gone_keys)), "lines-gone")
+    clean = marked.where(F.size(keys) == 0).withColumn(gone_keys, F.lit(None).cast("array<binary>"))
+    dirty = marked.where(F.size(keys) > 0)
+    dirty = dirty.join(gone, dirty[doc_id].eqNullSafe(gone[d]), "left").drop(gone[d])
+    return clean.unionByName(dirty).withColumn(name, drop(F.col(text), F.col(gone_keys))).drop(keys, gone_keys)
 
 
 def digest_columns(docs: DataFrame) -> DataFrame:
     """The thin query's columns."""
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2(F.col("__lines.text"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.text"), 256).alias("kept_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays, with its repeated lines removed and ``n_chars`` counted anew."""
-    out = dedup_lines(docs)
-    return out.select(*[F.col("__lines.text").alias("text") if c == "text" else
-                        F.length("__lines.text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars"
+    """Pipeline stage: every document stays, with its repeated lines removed and
+    ``n_chars`` counted anew. Each row is a document by itself, also where rows
+    share an id or have none; a line stays in the row of the largest id, a null
+    one being the smallest, and of equal ids in one of their rows."""
+    prepare(spark)
+    row, own, lines = unused(docs.columns, "row", "own", "lines")
+    rows = row_keys(docs, row).withColumn(own, F.struct(F.col("doc_id").alias("id"), F.col(row).alias("row")))
+    out = dedup_lines(rows, own, name=lines)
+    return out.select(*[F.col(f"{lines}.text").alias("text") if c == "text" else
+                        F.length(f"{lines}.text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars"
                         else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from tabvet.llm.common import as_bytes, prepare, saved
+from tabvet.llm.common import as_bytes, prepare, row_keys, saved, unused
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_REPEATS = 3
@@ -29,46 +29,68 @@ def word_count(texts: pa.Array) -> pa.Array:
     return pa.array(counts, pa.int64())
 
 
-def targets(sizes: dict, weights: dict, repeats: int) -> dict:
-    """Share the sum of ``sizes`` by weight; no source above ``repeats`` times
-    its size, the excess shared anew by weight among the others."""
-    left, open_, out = float(sum(sizes.values())), {s for s in sizes if sizes[s] > 0}, {s: 0.0 for s in sizes}
-    while open_:
-        unit = left / sum(weights[s] for s in open_)
-        full = {s for s in open_ if weights[s] * unit > repeats * sizes[s]}
-        if not full:
-            return out | {s: weights[s] * unit for s in open_}
-        out |= {s: float(repeats * sizes[s]) for s in full}
-        left -= sum(repeats * sizes[s] for s in full)
-        open_ -= full
-    return out
+def ranked_sources(sized: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """source, n (its words), rows, rank (from 0, by code point, null last) and weight.
+
+    Sources may be many, as web hosts are: they are ranked by a range sort, of
+    which the driver sees the number of sources of each range only.
+    """
+    spark = sized.sparkSession
+    lanes = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    order = [F.col("source").isNull(), F.col("source")]
+    sums = saved(sized.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).repartitionByRange(lanes, *order)
+                 .withColumn("lane", F.spark_partition_id()), "mix-sources")
+    before, offsets = 0, []
+    for r in sums.groupBy("lane").agg(F.count(F.lit(1)).alias("k")).orderBy("lane").collect():  # a row for each task
+        offsets.append((r["lane"], before))
+        before += r["k"]
+    known = sums.join(F.broadcast(spark.createDataFrame(offsets, "lane int, offset bigint")), "lane")
+    rank = F.col("offset") + F.row_number().over(Window.partitionBy("lane").orderBy(*order)) - 1
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    return saved(known.withColumn("rank", rank).select(
+        "source", "n", "rows", "rank", F.get(cycle, F.pmod("rank", F.lit(len(weights))).cast("int")).alias("weight")), "mix-ranked")
+
+
+def water_level(sources: DataFrame, repeats: int) -> float:
+    """Words for a unit of weight, when no source gets more than ``repeats`` times its own.
+
+    Each round shares what the full sources leave by weight among the others;
+    the level only rises, so a source once full stays full.
+    """
+    level, full = 0.0, -1
+    while True:
+        over = F.col("weight") * F.lit(level) > F.col("n") * repeats
+        r = sources.where("n > 0").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("open"),
+                                       F.coalesce(F.sum(F.when(over, F.col("n"))), F.lit(0)).alias("held"), F.count(F.when(over, 1)).alias("full")).first()
+        if r["full"] == full or not r["open"]:
+            return level
+        level, full = (r["n"] - repeats * r["held"]) / r["open"], r["full"]
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 17) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies.
+        weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 17, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target,
+    copies, and the column ``row``, if given, as ``row``.
 
     ``weights`` are given to the sources in code-point order, null last, again
     and again. Sizes are words; null and empty texts have none, and take no
-    part. The list of sources, like their weights, is configuration: it alone
-    is held by the driver. Order within a source depends on the seed, doc_id
-    and size, so reruns agree; rows equal in both are interchangeable. An
-    empty table gives no rows.
+    part. Order within a source depends on the seed, doc_id and size (with
+    ``row``, a key of each row, on seed, doc_id and text), so reruns agree;
+    rows equal in all of these are interchangeable. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     prepare(spark)
-    sized = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                              word_count(F.col(text)).alias("size"))
-                  .withColumn("r", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
-    sums = {r["source"]: (r["n"], r["rows"]) for r in sized.groupBy("source").agg(
-        F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).toLocalIterator()}
-    order = sorted(sums, key=lambda s: (s is None, s or ""))
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    sizes = {s: sums[s][0] for s in order}
-    target = targets(sizes, weight, repeats)
-    plan = spark.createDataFrame([(s, i, sizes[s], weight[s], target[s], -(-sums[s][1] // ROWS_PER_BUCKET)) for i, s in enumerate(order)],
-                                 "source string, rank int, source_size bigint, weight double, target double, buckets int")
-    known = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    more = ["row"] if row else []
+    sized = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *[F.col(row).alias("row") for _ in more],
+                              word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text) if row else F.lit("")).alias("r"))
+                  .withColumn("r", F.col("r") if row else F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
+    sources = ranked_sources(sized, weights)
+    level, budget = water_level(sources, repeats), sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cap = (F.col("n") * repeats).cast("double")
+    plan = sources.select(F.col("source").alias("own"), "rank", F.col("n").alias("source_size"), "weight",
+                          F.least(F.col("weight") * F.lit(level), cap).alias("target"), F.ceil(F.col("rows") / ROWS_PER_BUCKET).cast("int").alias("buckets"))
+    known = sized.join(plan, sized["source"].eqNullSafe(plan["own"])).drop("own")
 
     # Exact running sums in shuffled order: hash ranges of a source are summed
     # apart and joined by the sums of the ranges before them.
@@ -84,11 +106,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     copies = (queued.where("size > 0")
               .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
               .withColumn("finish", _finish(F.col("turn"))))
-    keys = ["finish", "rank", "r", "doc_id", "turn"]
+    keys = ["finish", "rank", "turn"]
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = saved(copies.select(*keys, "size").repartitionByRange(lanes, *keys)
                    .withColumn("lane", F.spark_partition_id()), "mix-sorted")
-    budget, used, cut = sum(sizes.values()), 0, None
+    used, cut = 0, None
     for lane in ranged.groupBy("lane").agg(F.sum("size").alias("n")).orderBy("lane").collect():  # a row for each task
         if used + lane["n"] > budget:
             running = F.sum("size").over(Window.partitionBy("lane").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
@@ -98,22 +120,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         used += lane["n"]
     taken = F.lit(0)
     for turn in range(repeats):
-        taken = taken + F.when(_before(cut, turn, queued.schema["doc_id"].dataType), 1).otherwise(0)
+        taken = taken + F.when(_before(cut, turn), 1).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target",
-                         F.when(F.col("size") > 0, taken).otherwise(0).alias("copies"))
+                         F.when(F.col("size") > 0, taken).otherwise(0).alias("copies"), *more)
 
 
 def _finish(turn):
     return (turn * F.col("source_size") + F.col("cum")).cast("double") / F.col("weight")
 
 
-def _before(cut, turn: int, id_type):
-    """Whether the copy of that turn stands before the first copy beyond the budget."""
+def _before(cut, turn: int):
+    """Whether the copy of that turn stands before the first copy beyond the budget.
+
+    Finish times of a source's copies differ, so time, source and turn order all copies.
+    """
     if cut is None:
         return F.lit(True)
-    mine = F.struct(_finish(F.lit(turn)).alias("finish"), F.col("rank"), F.col("r"), F.col("doc_id"), F.lit(turn).alias("turn"))
-    edge = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["rank"]).cast("int").alias("rank"), F.lit(cut["r"]).cast("bigint").alias("r"),
-                    F.lit(cut["doc_id"]).cast(id_type).alias("doc_id"), F.lit(cut["turn"]).cast("int").alias("turn"))
+    mine = F.struct(_finish(F.lit(turn)).alias("finish"), F.col("rank"), F.lit(turn).alias("turn"))
+    edge = F.struct(F.lit(cut["finish"]).alias("finish"), F.lit(cut["rank"]).cast("bigint").alias("rank"), F.lit(cut["turn"]).cast("int").alias("turn"))
     return mine < edge
 
 
@@ -122,6 +146,12 @@ def digest_columns(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the mix takes, with ``copies``, how often it takes each."""
-    plan = mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__d")).agg(F.max("copies").cast("bigint").alias("copies"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["__d"])).drop(plan["__d"])
+    """Pipeline stage: rows that the mix takes, with a last column ``copies``, how
+    often it takes each (underscores behind it if ``docs`` has that name).
+    Rows are taken one by one, also where they share an id or have none, and
+    their words times copies stay within the budget."""
+    prepare(spark)
+    row, copies = unused(docs.columns, "row", "copies")
+    rows = row_keys(docs, row)
+    plan = mix(rows, row=row).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("bigint").alias(copies))
+    return rows.join(plan, row).select(*[f"`{c}`" for c in docs.columns], copies)

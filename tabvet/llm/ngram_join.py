@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, row_keys, saved, word_hashes
+from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, row_keys, saved, unused, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Entries of the table of frequent shingles that sets the order: a bound on
@@ -374,11 +374,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each component of near duplicates stays, that
     of the smallest doc_id. Rows are members by themselves, also where they
     share an id; a null id counts as the largest. Empty texts all stay."""
-    rows = row_keys(docs)
-    parts = JaccardJoin(rows, "__row").result().select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    stay = parts.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("__row"))
-    return rows.join(stay.select("__row"), "__row", "left_semi").select(*docs.columns)
+    prepare(spark)
+    row, = unused(docs.columns, "row")
+    rows = row_keys(docs, row)
+    parts = JaccardJoin(rows, row).result().select(F.col("doc_id").alias("own"), "component_id")
+    ids = rows.select(F.col(row).alias("row"), "doc_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "own")
+    stay = parts.join(ids, F.col("own") == F.col("row")).groupBy("component_id").agg(F.min(order)["own"].alias(row))
+    return rows.join(stay.select(row), row, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = """
