@@ -64,19 +64,24 @@ class Windows:
         self.turns: list[tuple[str, str]] = []  # rendered turn, role
         self.prefix = [0]  # tokens before each held turn, and all
         self.fresh = 0  # index of the first held turn that no window has had
-        self.seen = 0
+        self.seen = self.windows = 0
 
-    def _carried(self) -> tuple[int, int]:
-        """First held turn that the open window repeats, and the tokens it repeats."""
-        system = self.system[1] if self.system and self.fresh else 0
-        room = min(self.history, max(0, self.budget - system))
-        first = bisect_left(self.prefix, self.prefix[self.fresh] - room)
-        return min(first, self.fresh), system + self.prefix[self.fresh] - self.prefix[min(first, self.fresh)]
+    def _carried(self, first: int) -> tuple[int, int]:
+        """First held turn that the open window repeats, and the tokens it repeats,
+        when its first fresh turn has ``first`` tokens. History gives way to that turn."""
+        system = self.system[1] if self.system and self.windows else 0
+        room = min(self.history, max(0, self.budget - system - first))
+        at = min(bisect_left(self.prefix, self.prefix[self.fresh] - room), self.fresh)
+        return at, system + self.prefix[self.fresh] - self.prefix[at]
+
+    def _first(self) -> int:
+        """Tokens of the open window's first fresh turn."""
+        return self.prefix[self.fresh + 1] - self.prefix[self.fresh]
 
     def add(self, role: str, text: str, tokens: int) -> tuple | None:
         """Take a turn; the window it closes, if any."""
         done = None
-        if self.fresh < len(self.turns) and self._carried()[1] + self.prefix[-1] + tokens - self.prefix[self.fresh] > self.budget:
+        if self.fresh < len(self.turns) and self._carried(self._first())[1] + self.prefix[-1] + tokens - self.prefix[self.fresh] > self.budget:
             done = self.flush()
         rendered = render(role, text)
         if not self.seen and role == "system":
@@ -90,7 +95,7 @@ class Windows:
         """(text, repeated turns, loss spans) of the open window; its turns become history."""
         if self.fresh == len(self.turns):
             return None
-        first = self._carried()[0]
+        first = self._carried(self._first())[0]
         # With nothing seen before, or the first turn among the history, the system turn is there already.
         head = [self.system[0]] if self.system and self.seen > len(self.turns) - first else []
         parts = head + [x for x, _ in self.turns[first:]]
@@ -105,6 +110,7 @@ class Windows:
         base = self.prefix[keep] if keep < len(self.prefix) else self.prefix[-1]
         self.turns, self.prefix = self.turns[keep:], [p - base for p in self.prefix[keep:]] or [0]
         self.fresh = len(self.turns)
+        self.windows += 1
         return window
 
 
@@ -120,8 +126,9 @@ def format_windows(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     Turns go by ``turn``, ties by role and text, null first; a null turn, role
     or text is formatted as such or as empty; rows with a null conv_id are one
     conversation; repeated rows are turns of their own. Extra columns are not
-    read; an empty table gives no rows. A turn larger than the budget gets a
-    window by itself, beside the system turn. A conversation is never held
+    read; an empty table gives no rows. A window has more than ``budget`` tokens
+    only where its first fresh turn and the system turn alone have more; it
+    then repeats no history. A conversation is never held
     whole: its turns are streamed.
     """
     prepare(turns.sparkSession)
