@@ -3,20 +3,22 @@
 Test items are put in partitions by size. In each, an item's MinHash sketch
 holds its smallest shingle hashes, as many as the partition's largest item
 may miss and one more, so a document that holds the threshold's share of an
-item's shingles meets its sketch for certain. The sketches are broadcast in
-blocks of a fixed size, each document streams its shingles past them, and the
-candidates found are verified by the exact share of the item's shingles.
+item's shingles meets its sketch for certain. Every document streams its
+shingles of all widths past the sketches once, and the candidates found are
+verified by the exact share of the item's shingles.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tabvet.llm.common import prepare, row_keys, saved
+from tabvet.llm.common import prepare, row_keys, saved, table, unused
 
 WORDS, PERCENT = 5, 80
-#: Sketch entries in one broadcast (about 40 bytes each).
-BLOCK_ROWS = 200_000
+#: Sketch entries that are broadcast, at most (about 40 bytes each); more are joined by a shuffle, which Spark may
+#: spare most rows by a Bloom filter of its own.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -24,24 +26,24 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def shingles(words: Column, n: int) -> Column:
-    """Array of structs (0, 1, ...) of n consecutive words, one for each place."""
-    last = F.greatest(F.size(words) - F.lit(n - 1), F.lit(0))
-    return F.arrays_zip(*[F.slice(words, F.lit(i + 1), last).alias(f"w{i}") for i in range(n)])
+def shingles(words: Column, widths: list[int], grams: bool = True) -> Column:
+    """Array of (h, width, gram) for each place of every width: the hash of the words, their number and, if asked for, the words."""
+    def of(w: Column, n: int) -> Column:
+        places = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"), F.lit(n).alias("width"),
+                                                      *[F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("gram")] * grams))
+    return F.element_at(F.transform(F.array(words), lambda w: F.concat(*[of(w, n) for n in widths])), 1)
 
 
-def _exploded(rows: DataFrame, n: int, *keep: str) -> DataFrame:
-    """A row for each place: ``keep``, h (hash) and gram (the words)."""
-    at = rows.select(*keep, F.inline(shingles(F.col("words"), n)).alias(*[f"w{i}" for i in range(n)]))
-    cols = [f"w{i}" for i in range(n)]
-    return at.select(*keep, F.xxhash64(*cols).alias("h"), F.concat_ws(" ", *cols).alias("gram"))
+def _exploded(rows: DataFrame, widths: list[int], *keep: str, grams: bool = True) -> DataFrame:
+    """A row for each place: ``keep``, h, width and gram."""
+    return rows.select(*keep, F.inline(shingles(F.col("words"), widths, grams)))
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str, words: int) -> DataFrame:
     """(item, width, h, gram): distinct shingles; items of fewer words are one shingle of their width."""
     base = items.select(F.col(item_id).alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
-    parts = [_exploded(base.where(F.size("words") >= n if n == words else F.size("words") == n), n, "item").withColumn("width", F.lit(n))
-             for n in range(1, words + 1)]
+    parts = [_exploded(base.where(F.size("words") >= n if n == words else F.size("words") == n), [n], "item") for n in range(1, words + 1)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -72,32 +74,23 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     sized = grams.join(known.withColumnRenamed("item", "__item"), F.col("item").eqNullSafe(F.col("__item"))).drop("__item")
     sketch = saved(sized.withColumn("rank", F.row_number().over(by_hash)).where("rank <= length")
                    .select("item", "width", "h", "part", "size"), "sketches")
-    widths = [r["width"] for r in sketch.select("width").distinct().collect()]  # words at most
-    blocks = -(-sketch.count() // BLOCK_ROWS)
+    widths = sorted(r["width"] for r in sketch.select("width").distinct().collect())  # words at most
+    if not widths:
+        return spark.createDataFrame([], _result(docs, doc_id, items, item_id))
 
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    hits = spark.createDataFrame([], _pairs(docs, doc_id, items, item_id))
-    for width in widths:
-        places = _exploded(read.select("doc_id", words_of(F.col("text")).alias("words")), width, "doc_id").drop("gram")
-        for block in range(blocks):
-            some = sketch.where((F.col("width") == width) & (F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)).select("item", "h")
-            hits = hits.unionByName(places.join(F.broadcast(some), "h").select("doc_id", "item"))
-    candidates = saved(hits.distinct(), "candidates")
-
-    # Exact verification: candidates' documents only, on the words themselves.
+    met = sketch.select("item", "h", "width")
+    met = F.broadcast(met) if sketch.count() <= BROADCAST_ROWS else met
+    places = _exploded(read.select("doc_id", words_of(F.col("text")).alias("words")), widths, "doc_id", grams=False)
+    candidates = saved(places.join(met, ["h", "width"]).select("doc_id", "item").distinct(), "candidates")
+
+    # Exact verification: the shingles of candidate pairs' items against those of candidates' documents.
     wanted = candidates.select("doc_id").distinct()
     again = read.join(wanted, read["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    again = again.select("doc_id", words_of(F.col("text")).alias("words"))
-    found = None
-    for width in widths:
-        own = grams.where(F.col("width") == width).select("item", "h", "gram")
-        part = _exploded(again, width, "doc_id").join(own, ["h", "gram"]).select("doc_id", "item", "gram")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], _pairs(docs, doc_id, items, item_id)).withColumn("gram", F.lit(""))
-    shared = found.distinct().groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("shared"))
-    both = shared["doc_id"].eqNullSafe(candidates["doc_id"]) & shared["item"].eqNullSafe(candidates["item"])
-    shared = shared.join(candidates, both, "left_semi")
+    own = _exploded(again.select("doc_id", words_of(F.col("text")).alias("words")), widths, "doc_id").distinct()
+    asked = grams.withColumnRenamed("item", "its").join(candidates, F.col("its").eqNullSafe(F.col("item"))).drop("its").withColumnRenamed("doc_id", "d")
+    shared = (own.join(asked, (own["h"] == asked["h"]) & (own["width"] == asked["width"]) & (own["gram"] == asked["gram"]) & F.col("doc_id").eqNullSafe(F.col("d")))
+              .groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("shared")))
     return (shared.join(sizes.select(F.col("item").alias("item_id"), F.col("size").alias("item_shingles")),
                         F.col("item").eqNullSafe(F.col("item_id"))).drop("item")
             .where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
@@ -105,8 +98,9 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
                     (F.col("shared") / F.col("item_shingles")).alias("containment")))
 
 
-def _pairs(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str):
-    return docs.select(F.col(doc_id).alias("doc_id")).limit(0).crossJoin(items.select(F.col(item_id).alias("item")).limit(0)).schema
+def _result(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str):
+    return StructType([StructField("doc_id", docs.schema[doc_id].dataType), StructField("item_id", items.schema[item_id].dataType),
+                       StructField("item_shingles", LongType()), StructField("shared", LongType()), StructField("containment", DoubleType())])
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -116,10 +110,11 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rows whose text holds a benchmark item are dropped; rows
     that share an id, or have none, are decided one by one."""
-    from tabvet.llm.common import table
-    rows = row_keys(docs)
-    bad = contained(rows, table(spark, sf_dir, "benchmark"), "__row").select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    prepare(spark)
+    row, = unused(docs.columns, "row")
+    rows = row_keys(docs, row)
+    bad = contained(rows, table(spark, sf_dir, "benchmark"), row).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(bad, row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = """
