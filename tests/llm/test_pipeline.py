@@ -1,9 +1,10 @@
 """The corpus pipeline, each stage held against a brute-force version on its own input."""
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from tabvet.llm import decontaminate, ngram_join, quality
 from tabvet.llm.common import saved, table
+from test_operators import queue_by_hand
 
 
 def test_stages(spark, sf):
@@ -48,7 +49,15 @@ def test_stages(spark, sf):
     assert all(any(t.split()[5] in before[d]["text"] for t in items) for d in set(before) - set(after))
 
     before, after = seen["mixing sources to target weights"]
-    assert set(after) <= set(before) and all(1 <= r["copies"] <= 3 for r in after.values())
+    rows = [(r["source"], len(r["text"].split()), 0) for r in before.values()]
+    target, _ = queue_by_hand(rows)
+    taken = Counter()
+    for d, r in after.items():
+        assert {k: v for k, v in r.asDict().items() if k != "copies"} == before[d].asDict() and 1 <= r["copies"] <= 3
+        taken[r["source"]] += r["copies"] * len(r["text"].split())
+    assert sum(taken.values()) <= sum(n for _, n, _ in rows)
+    longest = max(n for _, n, _ in rows)
+    assert all(abs(taken[s] - target[s]) <= 2 * longest for s in target)
 
 
 def test_stages_decide_by_row(spark, sf, tmp_path):
