@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabvet.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from tabvet.llm.common import prepare, saved, table
+from tabvet.llm.common import drop_scratch, prepare, saved, scratch_mark, table
 
 STAGES = [
     ("quality classifier", quality.stage),
@@ -21,7 +21,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again."""
     prepare(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), scratch_mark()
     for name, stage in STAGES:
+        first = scratch_mark()
         docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        # The stage's result is written: what it was made of, the last stage's result too, isn't read again.
+        drop_scratch(spark, first if first == start else first - 1, scratch_mark() - 1)
     return docs
