@@ -72,7 +72,17 @@ def unused(columns: list[str], *wanted: str) -> list[str]:
 
 
 def row_keys(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a bigint ``name`` that is each row's own, written so that all reads see the same."""
+    """``docs`` with a bigint ``name`` that is each row's own, the same in all reads.
+
+    Rows of a Parquet table are known by their file and place in it, nothing
+    is written. Other frames are written with the key.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        path, number = unused(docs.columns, "file_path", "file_number")
+        files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # as many as the driver lists for any scan
+        numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), f"{number} bigint, {path} string")
+        placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+        return placed.join(F.broadcast(numbers), path).withColumn(name, F.shiftleft(number, 40) + F.col(name)).drop(path, number)
     return saved(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
