@@ -19,6 +19,8 @@ WORDS, PERCENT = 5, 80
 #: Sketch entries that are broadcast, at most (about 40 bytes each); more are joined by a shuffle, which Spark may
 #: spare most rows by a Bloom filter of its own.
 BROADCAST_ROWS = 200_000
+#: Places of a text that are taken at a time.
+CHUNK = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -26,18 +28,25 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def shingles(words: Column, widths: list[int], grams: bool = True) -> Column:
-    """Array of (h, width, gram) for each place of every width: the hash of the words, their number and, if asked for, the words."""
-    def of(w: Column, n: int) -> Column:
-        places = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(n)]).alias("h"), F.lit(n).alias("width"),
-                                                      *[F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("gram")] * grams))
-    return F.element_at(F.transform(F.array(words), lambda w: F.concat(*[of(w, n) for n in widths])), 1)
+def _exploded(rows: DataFrame, widths: list[int], *keep: str, grams: bool = True) -> DataFrame:
+    """A row for each place of every width: ``keep``, h (the words' hash), width and, if asked for, gram (the words).
+
+    Long texts are taken in chunks of CHUNK places, so that the shifted copies
+    of their words stay small.
+    """
+    most = max(widths)
+    chunk = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("words"), F.lit(1)) - 1) / CHUNK).cast("int")),
+                        lambda k: F.slice(F.col("words"), k * CHUNK + 1, F.lit(CHUNK + most - 1)))
+    chunks = rows.select(*keep, F.explode(chunk).alias("words"))
+    cols = [f"w{i}" for i in range(most)]
+    places = chunks.select(*keep, F.inline(F.arrays_zip(*[F.slice("words", i + 1, CHUNK).alias(c) for i, c in enumerate(cols)])).alias(*cols))
 
+    def of(n: int) -> list[Column]:
+        return [F.when(F.col(cols[n - 1]).isNotNull(), F.xxhash64(*cols[:n])).alias("h"), F.lit(n).alias("width"), *[F.concat_ws(" ", *cols[:n]).alias("gram")] * grams]
 
-def _exploded(rows: DataFrame, widths: list[int], *keep: str, grams: bool = True) -> DataFrame:
-    """A row for each place: ``keep``, h, width and gram."""
-    return rows.select(*keep, F.inline(shingles(F.col("words"), widths, grams)))
+    if len(widths) == 1:
+        return places.select(*keep, *of(most)).where("h IS NOT NULL")
+    return places.select(*keep, F.inline(F.array(*[F.struct(*of(n)) for n in widths]))).where("h IS NOT NULL")
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str, words: int) -> DataFrame:
@@ -87,7 +96,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     # Exact verification: the shingles of candidate pairs' items against those of candidates' documents.
     wanted = candidates.select("doc_id").distinct()
     again = read.join(wanted, read["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    own = _exploded(again.select("doc_id", words_of(F.col("text")).alias("words")), widths, "doc_id").distinct()
+    known = grams.select("h", "width", "gram").distinct()
+    own = _exploded(again.select("doc_id", words_of(F.col("text")).alias("words")), widths, "doc_id").join(known, ["h", "width", "gram"], "left_semi").distinct()
     asked = grams.withColumnRenamed("item", "its").join(candidates, F.col("its").eqNullSafe(F.col("item"))).drop("its").withColumnRenamed("doc_id", "d")
     shared = (own.join(asked, (own["h"] == asked["h"]) & (own["width"] == asked["width"]) & (own["gram"] == asked["gram"]) & F.col("doc_id").eqNullSafe(F.col("d")))
               .groupBy("doc_id", "item").agg(F.count(F.lit(1)).alias("shared")))
