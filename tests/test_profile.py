@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tabvet.functions.quantiles import exact_quantiles, long_values
+from tabvet.functions.quantiles import column_medians, grouped_quantile, select_ranks, sortable, unsorted
 from tabvet.operators import profile as P
 
 
@@ -51,16 +51,27 @@ def test_numeric_stats_match_pandas(spark):
     assert math.isclose(s["skew"], round(ser.skew(), 10), rel_tol=1e-8)
 
 
-def test_exact_quantiles_bucketed_path_matches_numpy(spark):
+def test_radix_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
-    vals = np.concatenate([rng.normal(0, 1, 3000), rng.integers(0, 20, 2000).astype(float)])
-    df = _df(spark, [(float(v),) for v in vals], "v double")
-    freq = long_values(df, ["v"])
+    one = np.concatenate([rng.normal(0, 1, 3000), rng.integers(0, 20, 2000).astype(float)])
+    two = np.concatenate([rng.normal(0, 1, 1000) * 10.0 ** rng.integers(-300, 300, 1000), [-0.0, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308] * 5, [7.0] * 3970])
+    df = _df(spark, [(float(a), float(b), None if i % 3 else i % 5, None, "g" if i % 4 else None) for i, (a, b) in enumerate(zip(one, two))],
+             "v double, w double, `k.x` int, none double, g string").repartition(7)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    ref = np.quantile(vals, probs)
-    for kw in ({}, {"max_map_entries": 10}, {"max_map_entries": 10, "max_rows_per_task": 100}):
-        got = exact_quantiles(freq, probs, **kw).first()["q"]
-        assert np.allclose(got, ref, rtol=1e-12), kw
+    few = np.array([i % 5 for i in range(5000) if i % 3 == 0], float)
+    q, distinct = select_ranks(df, ["v", "w", "k.x", "none"], probs, 12)
+    for got, x in zip(q, (one, two, few), strict=False):
+        assert np.allclose(got, np.quantile(x, probs), rtol=1e-12)
+    assert q[3] is None and distinct == [13, 13, 5, 0]
+    assert column_medians(df, ["w", "none"]) == {"w": float(np.median(two)), "none": None}
+    keys = sortable(np.sort(two))
+    assert (np.diff(keys) >= 0).all() and (unsorted(keys) == np.sort(two)).all()
+    for p in (0.5, 0.3, 1.0):
+        got = {r["g"]: r["q"] for r in grouped_quantile(df, "g", "w", p).collect()}
+        for g in ("g", None):
+            x = np.array([b for i, b in enumerate(two) if (i % 4 != 0) == (g == "g")])
+            assert math.isclose(got[g], np.quantile(x, p), rel_tol=1e-12)
+    assert grouped_quantile(df.where("w is null"), "g", "w", 0.5).count() == 0
 
 
 def test_top_values_ties_and_pct(spark):
