@@ -90,7 +90,7 @@ SEMANTIC_TYPES = (
 )
 
 # Every format below starts like this; anything else is not tried at all.
-DATE_SHAPE = r"^([0-9]{2}|[A-Z][a-z]{2} [0-9])"
+DATE_SHAPE = r"^([0-9]{1,2}[0-9/-]|[A-Z][a-z]{2} [0-9])"
 # Date formats a text column is tried against (first match wins): a shape
 # regex that gates the parse, the Spark pattern and the equivalent strptime
 # pattern. The gate keeps failing parses cheap and makes both engines agree.
@@ -99,9 +99,18 @@ DATETIME_FORMATS = (
     (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"),
     (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
     (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M"),
-    (r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$", "MM/dd/yyyy", "%m/%d/%Y"),
-    (r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$", "yyyy/MM/dd", "%Y/%m/%d"),
-    (r"^[0-9]{2}-[A-Z][a-z]{2}-[0-9]{4}$", "dd-MMM-yyyy", "%d-%b-%Y"),
-    (r"^[A-Z][a-z]{2} [0-9]{2} [0-9]{4}$", "MMM dd yyyy", "%b %d %Y"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d", "%Y/%m/%d"),
+    (r"^[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}$", "d-MMM-yyyy", "%d-%b-%Y"),
+    (r"^[A-Z][a-z]{2} [0-9]{1,2} [0-9]{4}$", "MMM d yyyy", "%b %d %Y"),
     (r"^[0-9]{8}$", "yyyyMMdd", "%Y%m%d"),
 )
+# Dates of which only the column tells whether the day or the month comes
+# first: shape, then the Spark and strptime patterns for each of the two.
+AMBIGUOUS_FORMATS = (
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", ("M/d/yyyy", "%m/%d/%Y"), ("d/M/yyyy", "%d/%m/%Y")),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$", ("M/d/yyyy H:mm", "%m/%d/%Y %H:%M"), ("d/M/yyyy H:mm", "%d/%m/%Y %H:%M")),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", ("M/d/yyyy H:mm:ss", "%m/%d/%Y %H:%M:%S"), ("d/M/yyyy H:mm:ss", "%d/%m/%Y %H:%M:%S")),
+)
+AMBIGUOUS_SHAPE = r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}"
+# ISO times with a fraction of a second, a zone, or both.
+ISO_SHAPE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:?[0-9]{2})?$"

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvet.functions.constants import (
+    AMBIGUOUS_FORMATS,
+    AMBIGUOUS_SHAPE,
     DATE_SHAPE,
     DATETIME_FORMATS,
+    ISO_SHAPE,
     MIN_SUBSTRING_KEYWORD,
     MISSING_MARKERS,
     TARGET_KEYWORDS,
@@ -55,11 +58,25 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
-def parse_datetime(c: Column) -> Column:
-    """First successful parse among the fixed formats, else null."""
-    parsed = F.coalesce(*[F.when(c.rlike(rx), F.try_to_timestamp(c, F.lit(fmt)))
-                          for rx, fmt, _ in DATETIME_FORMATS])
-    return F.when(c.rlike(DATE_SHAPE), parsed)
+def parse_datetime(c: Column, day_first: Column | None = None) -> Column:
+    """First successful parse among the fixed formats, else null. Times with a
+    zone are their instant, others are UTC; ``day_first`` says how dates like
+    1/5/2020 are meant in their column (month first unless given)."""
+    tries = [F.when(c.rlike(rx), F.try_to_timestamp(c, F.lit(fmt))) for rx, fmt, _ in DATETIME_FORMATS]
+    day = F.lit(False) if day_first is None else F.coalesce(day_first, F.lit(False))
+    for rx, (month_fmt, _), (day_fmt, _) in AMBIGUOUS_FORMATS:
+        tries.append(F.when(c.rlike(rx), F.when(day, F.try_to_timestamp(c, F.lit(day_fmt))).otherwise(F.try_to_timestamp(c, F.lit(month_fmt)))))
+    zone = F.regexp_replace(F.regexp_extract(c, ISO_SHAPE, 2), "^([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    iso = F.concat(F.substring(c, 1, 10), F.lit("T"), F.substring(c, 12, 8), F.regexp_extract(c, ISO_SHAPE, 1), F.when(zone == "", "Z").otherwise(zone))
+    tries.append(F.when(c.rlike(ISO_SHAPE), F.try_to_timestamp(iso, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"))))
+    return F.when(c.rlike(DATE_SHAPE), F.coalesce(*tries))
+
+
+def day_first(c: Column) -> Column:
+    """Aggregate over a text column: whether its dates with slashes have the
+    day first, as some first number is above 12 and no second one is."""
+    first, second = (F.regexp_extract(c, AMBIGUOUS_SHAPE, i).try_cast("int") for i in (1, 2))
+    return (F.coalesce(F.max(first), F.lit(0)) > 12) & (F.coalesce(F.max(second), F.lit(0)) <= 12)
 
 
 def name_suggests_target(c: Column) -> Column:

@@ -27,6 +27,8 @@ SCHEMAS: dict[str, list[tuple[str, str]]] = {
                         ("priority_raw", "string"), ("junk", "string"), ("price", "double"),
                         ("order_day", "string"), ("constant_col", "string"),
                         ("empty_col", "double")],
+    "fx_dates": [("o_orderkey", "bigint"), ("fraction", "string"), ("zoned", "string"), ("compact_zone", "string"), ("month_first", "string"),
+                 ("day_first", "string"), ("clock", "string"), ("named", "string"), ("mixed", "string"), ("wrong", "string")],
     "fx_sum": [("row_id", "string"), ("fare", "double"), ("tip", "double"), ("tolls", "double"),
                ("distance", "double"), ("total", "double")],
     "fx_leak": [("row_id", "bigint"), ("survived", "int"), ("alive", "string"),
@@ -121,12 +123,26 @@ def text_of(name: str, cls: str) -> str:
     return f"CAST({q(name)} AS VARCHAR)"
 
 
-def parse_sql(expr: str) -> str:
+def parse_sql(expr: str, day: str = "false") -> str:
     parts = [f"CASE WHEN regexp_matches({expr}, {lit(rx)}) THEN try_strptime({expr}, {lit(fmt)}) END"
              for rx, _, fmt in K.DATETIME_FORMATS]
+    parts += [f"CASE WHEN regexp_matches({expr}, {lit(rx)}) THEN CASE WHEN {day} THEN try_strptime({expr}, {lit(d)}) ELSE try_strptime({expr}, {lit(m)}) END END"
+              for rx, (_, m), (_, d) in K.AMBIGUOUS_FORMATS]
+    zone = f"replace(replace(regexp_extract({expr}, {lit(K.ISO_SHAPE)}, 2), ':', ''), 'Z', '+0000')"
+    minutes = (f"CASE WHEN {zone} = '' THEN 0 ELSE (CASE WHEN left({zone}, 1) = '-' THEN -1 ELSE 1 END) "
+               f"* (CAST(substr({zone}, 2, 2) AS BIGINT) * 60 + CAST(substr({zone}, 4, 2) AS BIGINT)) END")
+    local = f"try_cast(left({expr}, 19) || regexp_extract({expr}, {lit(K.ISO_SHAPE)}, 1) AS TIMESTAMP)"
+    parts.append(f"CASE WHEN regexp_matches({expr}, {lit(K.ISO_SHAPE)}) THEN {local} - to_minutes({minutes}) END")
     return f"coalesce({', '.join(parts)})"
 
 
+def day_first_sql(rel: str) -> str:
+    """One row of flags: does text column i write the day first?"""
+    number = lambda col, k: f"coalesce(max(try_cast(regexp_extract({col}, {lit(K.AMBIGUOUS_SHAPE)}, {k}) AS INTEGER)), 0)"
+    flags = [f"{number(q(name), 1)} > 12 AND {number(q(name), 2)} <= 12 AS day{i}" for i, (name, dtype) in enumerate(SCHEMAS[rel]) if cls_of(dtype) == "string"]
+    return f"days AS (SELECT {', '.join(flags + ['1 AS one'])} FROM src)"
+
+
 def summary_sql(rel: str) -> str:
     """One row per column: the oracle's version of the profiled table."""
     aggs = ["count(*) AS n_rows"]
@@ -148,7 +164,7 @@ def summary_sql(rel: str) -> str:
             aggs += [f"avg(length({s})) AS la{i}", f"CAST(min(length({s})) AS BIGINT) AS ln{i}",
                      f"CAST(max(length({s})) AS BIGINT) AS lx{i}"]
         if c == "string":
-            p = parse_sql(col)
+            p = parse_sql(col, f"day{i}")
             aggs += [f"count({p}) AS dp{i}",
                      f"strftime(min({p}), '%Y-%m-%d %H:%M:%S') AS dpn{i}",
                      f"strftime(max({p}), '%Y-%m-%d %H:%M:%S') AS dpx{i}",
@@ -184,7 +200,7 @@ def summary_sql(rel: str) -> str:
             f"{pick(f'dtn{i}', c == 'datetime', 'VARCHAR')} AS dt_min, "
             f"{pick(f'dtx{i}', c == 'datetime', 'VARCHAR')} AS dt_max "
             f"FROM agg")
-    return f"agg AS (SELECT {', '.join(aggs)} FROM src), summ AS ({' UNION ALL '.join(rows)})"
+    return f"{day_first_sql(rel)}, agg AS (SELECT {', '.join(aggs)} FROM src, days), summ AS ({' UNION ALL '.join(rows)})"
 
 
 SEMANTIC_CASE = f"""CASE

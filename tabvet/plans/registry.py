@@ -54,7 +54,10 @@ for _rel in ("orders", "part", "documents", "events"):
          f"SELECT column_name, dtype, semantic_type FROM ({OP.column_profile(_rel)}) t")
 _reg("datetime_strings", _on("fx_dirty_orders", P.datetime_candidates),
      OP.datetime_candidates("fx_dirty_orders"))
+_reg("datetime_shapes", _on("fx_dates", P.datetime_candidates), OP.datetime_candidates("fx_dates"))
+_reg("datetime_shape_stats", _on("fx_dates", P.datetime_string_stats), OP.datetime_string_stats("fx_dates"))
 _reg("sample_values", _on("fx_dirty_orders", P.sample_values), OP.sample_values("fx_dirty_orders"))
+_reg("sample_values_documents", _on("documents", P.sample_values), OP.sample_values("documents"))
 _reg("numeric_stats",
      lambda s, sf: P.numeric_stats(relation(s, sf, "lineitem")).select(
          "column_name", "n", "min", "max", "mean", "median", "std", "q1", "q3", "iqr"),

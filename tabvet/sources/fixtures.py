@@ -33,6 +33,19 @@ SELECT o_orderkey, cust_id, status_raw, priority_raw, junk, price, order_day, co
          'IN' AS constant_col, CAST(NULL AS DOUBLE) AS empty_col,
          CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS copies
   FROM orders) t JOIN (SELECT 1 AS c UNION ALL SELECT 2 AS c) n ON n.c <= t.copies
+""",
+    "fx_dates": """
+SELECT o_orderkey, d || 'T' || t || '.' || CAST(o_orderkey % 1000 + 1000 AS STRING) AS fraction,
+       d || ' ' || t || CASE WHEN o_orderkey % 3 = 0 THEN 'Z' WHEN o_orderkey % 3 = 1 THEN '+05:30' ELSE '-08:00' END AS zoned,
+       d || 'T' || t || '.5-0330' AS compact_zone,
+       CAST(m AS STRING) || '/' || CAST(dd AS STRING) || '/' || SUBSTRING(d, 1, 4) AS month_first,
+       CAST(dd AS STRING) || '/' || CAST(m AS STRING) || '/' || SUBSTRING(d, 1, 4) AS day_first,
+       CAST(dd AS STRING) || '/' || CAST(m AS STRING) || '/' || SUBSTRING(d, 1, 4) || ' ' || CAST(o_orderkey % 24 AS STRING) || ':07' AS clock,
+       CAST(dd AS STRING) || '-Mar-' || SUBSTRING(d, 1, 4) AS named,
+       CASE WHEN o_orderkey % 20 = 0 THEN 'n. d.' WHEN o_orderkey % 2 = 0 THEN d ELSE d || ' ' || t || '.25' END AS mixed,
+       CASE WHEN o_orderkey % 4 = 0 THEN '2020-13-45T00:00:00Z' WHEN o_orderkey % 4 = 1 THEN '31/31/2020' ELSE d || 'T99:00:00.5' END AS wrong
+FROM (SELECT o_orderkey, SUBSTRING(CAST(o_orderdate AS STRING), 1, 10) AS d, '0' || CAST(o_orderkey % 10 AS STRING) || ':15:2' || CAST(o_orderkey % 7 AS STRING) AS t,
+             CAST(SUBSTRING(CAST(o_orderdate AS STRING), 6, 2) AS INT) AS m, CAST(SUBSTRING(CAST(o_orderdate AS STRING), 9, 2) AS INT) AS dd FROM orders) t
 """,
     "fx_leak": """
 SELECT o_orderkey AS row_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS survived,

@@ -4,6 +4,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
+from tabvet.functions.moments import pair_correlations
 from tabvet.functions.quantiles import column_medians, grouped_quantile, select_ranks, sortable, unsorted
 from tabvet.operators import profile as P
 
@@ -119,3 +122,45 @@ def test_flagship_entry_runs(spark):
     import __spark_entry__ as entry
     out = entry.entry(spark)
     assert out.count() == 11 and "semantic_type" in out.columns
+
+
+def test_correlations_of_300_columns_with_nulls(spark):
+    rng = np.random.default_rng(5)
+    n, k = 400, 300
+    base = rng.normal(size=(n, 12))
+    x = base @ rng.normal(size=(12, k)) + rng.normal(size=(n, k)) * 2 + 1e6 * rng.integers(0, 2, k)
+    x[rng.random((n, k)) < 0.1] = np.nan
+    x[:, 7] = 3.25
+    x[:, 11] = np.where(np.isnan(x[:, 11]), np.nan, x[:, 10] * -2 + 1)
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(k)])
+    df = spark.createDataFrame(frame).repartition(3)
+    got = {(r["i"], r["j"]): (r["n"], r["r"]) for r in pair_correlations(df, list(frame.columns)).collect()}
+    ref = frame.corr().to_numpy()
+    both = (~np.isnan(x)).astype(int).T @ (~np.isnan(x)).astype(int)
+    assert set(got) == {(i, j) for i in range(k) for j in range(i + 1, k) if 7 not in (i, j)}
+    for (i, j), (m, r) in got.items():
+        assert m == both[i, j] and math.isclose(r, ref[i, j], rel_tol=1e-9, abs_tol=1e-11)
+    assert pair_correlations(df.limit(0), ["c0", "c1"]).count() == 0
+
+
+def test_date_shapes(spark):
+    values = {"day": ["25/5/2020", "1/6/2020", "3/12/2020"], "month": ["1/5/2020", "5/25/2020", "12/3/2020 4:05"],
+              "iso": ["2020-01-02T03:04:05.000", "2020-01-02 03:04:05Z", "2020-01-02T03:04:05.25+05:30"], "odd": ["2020-1-2T", "1/5/20", "99/99/2020"]}
+    df = _df(spark, list(zip(*values.values())), ", ".join(f"{c} string" for c in values))
+    got = {r["column_name"]: r["dt_parsed"] for r in P.datetime_candidates(df).collect()}
+    assert got == {"day": 3, "month": 3, "iso": 3, "odd": 0}
+    span = {r["column_name"]: (r["min"], r["max"]) for r in P.datetime_string_stats(df.select("day", "month", "iso")).collect()}
+    assert span == {"day": ("2020-05-25 00:00:00", "2020-12-03 00:00:00"), "month": ("2020-01-05 00:00:00", "2020-12-03 04:05:00"),
+                    "iso": ("2020-01-01 21:34:05", "2020-01-02 03:04:05")}
+
+
+def test_long_values_are_counted_by_digest(spark):
+    long = "a text that is longer than forty characters, "
+    rows = [(f"{long}{i % 3}",) for i in range(9)] + [("short",)] * 3 + [(f"s{i}",) for i in range(90)]
+    df = _df(spark, rows, "t string")
+    freq = P.value_frequencies(df)
+    assert freq.where(F.length("value") > P.LONG_VALUE).count() == 0 and freq.count() == 94
+    assert P.unique_counts(df).first()["unique_count"] == 94
+    top = [(r["value"], r["count"]) for r in P.top_values(df, 5).orderBy("rank").collect()]
+    assert top == [(f"{long}0", 3), (f"{long}1", 3), (f"{long}2", 3), ("short", 3), ("s0", 1)]
+    assert {r["value"] for r in P.sample_values(df, 94).collect()} == {r[0] for r in rows}
