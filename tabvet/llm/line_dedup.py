@@ -108,10 +108,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
               .where(F.col("n") >= min_docs).select("k", "keep"))
     gone = saved(held.distinct().join(shared, "k").where(~F.col("d").eqNullSafe(F.col("keep")))
                  .groupBy(F.col("d").alias(d)).agg(F.collect_list("k").alias(gone_keys)), "lines-gone")
-    clean = marked.where(F.size(keys) == 0).withColumn(gone_keys, F.lit(None).cast("array<binary>"))
+    # A text without a suspected key stays as it is; only the others are cut into lines again.
+    body = F.coalesce(F.col(text), F.lit(""))
+    n_lines = (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    whole = F.struct(body.alias("text"), n_lines.alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
+    clean = marked.where(F.size(keys) == 0).withColumn(name, whole).drop(keys)
     dirty = marked.where(F.size(keys) > 0)
     dirty = dirty.join(gone, dirty[doc_id].eqNullSafe(gone[d]), "left").drop(gone[d])
-    return clean.unionByName(dirty).withColumn(name, drop(F.col(text), F.col(gone_keys))).drop(keys, gone_keys)
+    return clean.unionByName(dirty.withColumn(name, drop(F.col(text), F.col(gone_keys))).drop(keys, gone_keys))
 
 
 def digest_columns(docs: DataFrame) -> DataFrame:
