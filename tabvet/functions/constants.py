@@ -49,9 +49,7 @@ LEAKAGE_NMI_THRESHOLD = 0.95
 ADDITIVE_LEAKAGE_R2 = 0.99
 LEAK_BINS = 12
 MAX_TREE_DEPTH = 12
-LARGE_DATA_ROWS = 10_000
-TREES_SMALL = 200
-TREES_LARGE = 120
+TREES = 120
 MAX_TRAINING_ROWS = 100_000
 INTERACTIVE_ROW_LIMIT = 20_000
 # Explanation.

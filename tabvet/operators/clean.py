@@ -7,6 +7,8 @@ aggregate whose result is one row per table, never the data itself.
 """
 from __future__ import annotations
 
+import logging
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ MISSING_DETAIL = "Texts that stand for a missing value set to null."
 EMPTY_DETAIL = "Columns of nulls dropped."
 DEDUPE_DETAIL = "Repeats of whole rows dropped."
 
+LOG = logging.getLogger(__name__)
+
 
 def text_columns(df: DataFrame) -> list[str]:
     """Text-like columns: everything that is not numeric, datetime or boolean."""
@@ -164,5 +168,6 @@ def clean_or_raw(df: DataFrame, markers=MISSING_MARKERS) -> tuple[DataFrame, Cle
     try:
         result = clean(df, markers)
         return result.table, result
-    except Exception:  # noqa: BLE001 - any failure falls back to the raw table
+    except Exception:  # noqa: BLE001 - any failure falls back to the raw table, on the record
+        LOG.exception("cleaning failed; the raw table is used")
         return df, None

@@ -31,31 +31,25 @@ def select_features(profile: DataFrame, target: str, exclude: list[str] | None =
     ``profile`` is :func:`tabvet.operators.profile.profiled` output (one row
     per column). Returns ``(position, column_name, role, reason)``.
     """
-    excluded = list(exclude or [])
-    sem = F.col("semantic_type")
-    numeric_dtype = F.col("type_class").isin("integral", "fractional", "boolean")
-    is_excluded = F.col("column_name").isin(excluded) if excluded else F.lit(False)
-    role = (F.when(is_excluded, "dropped")
-            .when(sem.isin("identifier", "constant", "empty", "text"), "dropped")
-            .when(F.col("null_pct") >= K.FEATURE_MAX_NULL_PCT, "dropped")
-            .when(sem.isin("numeric", "categorical_numeric", "boolean"), "numeric")
-            .when(sem == "binary", F.when(numeric_dtype, "numeric").otherwise("categorical"))
-            .when(sem.isin("categorical", "high_cardinality_categorical"),
-                  F.when(F.col("unique_count") > K.FEATURE_MAX_CATEGORIES, "dropped")
-                  .otherwise("categorical"))
-            .otherwise("dropped"))
-    reason = (F.when(is_excluded, "excluded by reflection")
-              .when(sem.isin("identifier", "constant", "empty", "text"),
-                    F.format_string("semantic type '%s'", sem))
-              .when(F.col("null_pct") >= K.FEATURE_MAX_NULL_PCT,
-                    F.format_string("%d%% missing", rnd("null_pct", 0).cast("long")))
-              .when(sem.isin("numeric", "categorical_numeric", "boolean", "binary"), F.lit(None))
-              .when(sem.isin("categorical", "high_cardinality_categorical"),
-                    F.when(F.col("unique_count") > K.FEATURE_MAX_CATEGORIES,
-                           F.format_string("%d categories", F.col("unique_count"))))
-              .otherwise(F.format_string("unhandled type '%s'", sem)))
-    return (profile.where(F.col("column_name") != target)
-            .select("position", "column_name", role.alias("role"), reason.cast("string").alias("reason")))
+    asked = F.col("column_name").isin(list(exclude)) if exclude else F.lit(False)
+    sem, n = F.col("semantic_type"), F.col("unique_count")
+    as_number = F.col("type_class").isin("integral", "fractional", "boolean")
+    # (condition, role, reason), the first that holds decides.
+    rules = (
+        (asked, "dropped", F.lit("left out on request")),
+        (sem.isin("identifier", "constant", "empty", "text"), "dropped", F.concat(sem, F.lit(" column, nothing to learn from"))),
+        (F.col("null_pct") >= K.FEATURE_MAX_NULL_PCT, "dropped", F.format_string("%d of 100 values absent", rnd("null_pct", 0).cast("long"))),
+        (sem.isin("numeric", "categorical_numeric", "boolean") | ((sem == "binary") & as_number), "numeric", None),
+        (sem.isin("categorical", "high_cardinality_categorical") & (n > K.FEATURE_MAX_CATEGORIES), "dropped",
+         F.format_string(f"%d distinct texts, more than {K.FEATURE_MAX_CATEGORIES}", n)),
+        (sem.isin("binary", "categorical", "high_cardinality_categorical"), "categorical", None),
+        (F.lit(True), "dropped", F.concat(F.lit("no encoding for a column of type "), sem)),
+    )
+    role, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for condition, its_role, its_reason in reversed(rules):
+        role = F.when(condition, F.lit(its_role)).otherwise(role)
+        reason = F.when(condition, F.lit(None).cast("string") if its_reason is None else its_reason).otherwise(reason)
+    return profile.where(F.col("column_name") != target).select("position", "column_name", role.alias("role"), reason.alias("reason"))
 
 
 # -------------------------------------------------------------------- F2
@@ -67,7 +61,7 @@ def target_checks(df: DataFrame, target: str, task: str, n_features: int | DataF
     spark = df.sparkSession
     if target not in df.columns:
         return spark.createDataFrame(
-            [("target_exists", False, f"Target '{target}' is not a column in this dataset.")],
+            [("target_exists", False, f"The table has no column '{target}'.")],
             "check string, passed boolean, detail string")
     cls = dict(column_classes(df))[target]
     t = _col(target)
@@ -82,7 +76,7 @@ def target_checks(df: DataFrame, target: str, task: str, n_features: int | DataF
                  F.lit(f"'{target}' is a column.").alias("detail")),
         F.struct(F.lit("target_not_all_null").alias("check"), (F.col("non_null") > 0).alias("passed"),
                  F.when(F.col("non_null") > 0, F.lit(f"'{target}' has values."))
-                 .otherwise(F.lit(f"Every value of '{target}' is null.")).alias("detail")),
+                 .otherwise(F.lit(f"'{target}' holds nulls only.")).alias("detail")),
     ]
     if task == "classification":
         checks.append(F.struct(F.lit("two_classes").alias("check"), (F.col("classes") >= 2).alias("passed"),

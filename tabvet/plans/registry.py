@@ -282,11 +282,11 @@ SELECT position, column_name,
        WHEN semantic_type = 'binary' THEN CASE WHEN type_class IN ('integral', 'fractional', 'boolean') THEN 'numeric' ELSE 'categorical' END
        WHEN semantic_type IN ('categorical', 'high_cardinality_categorical') THEN CASE WHEN unique_count > 100 THEN 'dropped' ELSE 'categorical' END
        ELSE 'dropped' END AS role,
-  CASE WHEN semantic_type IN ('identifier', 'constant', 'empty', 'text') THEN printf('semantic type ''%s''', semantic_type)
-       WHEN null_pct >= 80 THEN printf('%d%% missing', CAST(round(null_pct, 0) AS BIGINT))
+  CASE WHEN semantic_type IN ('identifier', 'constant', 'empty', 'text') THEN semantic_type || ' column, nothing to learn from'
+       WHEN null_pct >= 80 THEN printf('%d of 100 values absent', CAST(round(null_pct, 0) AS BIGINT))
        WHEN semantic_type IN ('numeric', 'categorical_numeric', 'boolean', 'binary') THEN NULL
-       WHEN semantic_type IN ('categorical', 'high_cardinality_categorical') THEN CASE WHEN unique_count > 100 THEN printf('%d categories', unique_count) END
-       ELSE printf('unhandled type ''%s''', semantic_type) END AS reason
+       WHEN semantic_type IN ('categorical', 'high_cardinality_categorical') THEN CASE WHEN unique_count > 100 THEN printf('%d distinct texts, more than 100', unique_count) END
+       ELSE 'no encoding for a column of type ' || semantic_type END AS reason
 FROM prof WHERE column_name <> '{target}'"""
 
 _reg("select_features",
@@ -300,7 +300,7 @@ _reg("target_checks",
                                     FP.select_features(P.profiled(_dirty(s, sf)), "price")),
      _prof_fx("fx_dirty_orders", """
 SELECT * FROM (VALUES ('target_exists', true, '''price'' is a column.')) v("check", passed, detail)
-UNION ALL SELECT 'target_not_all_null', count(price) > 0, CASE WHEN count(price) > 0 THEN '''price'' has values.' ELSE 'Every value of ''price'' is null.' END FROM fx_dirty_orders
+UNION ALL SELECT 'target_not_all_null', count(price) > 0, CASE WHEN count(price) > 0 THEN '''price'' has values.' ELSE '''price'' holds nulls only.' END FROM fx_dirty_orders
 UNION ALL SELECT 'numeric_target', true, '''price'' is numeric.'
 UNION ALL SELECT 'features_left', n >= 1, printf('%d usable feature column(s).', n) FROM (
   SELECT count(*) AS n FROM (""" + _SELECT_FEATURES_SQL.format(target="price") + """) f WHERE role <> 'dropped') c"""))
@@ -561,7 +561,7 @@ dd AS (SELECT run_id, count(*) AS n_dead, array_to_string(list_slice(list_sort(l
 _reg("findings", lambda s, sf: G.findings(_runs(s, sf), _imps(s, sf)), _q("""
 SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY critical DESC, pos ASC) AS INTEGER) AS ord, name, critical, text FROM (
   SELECT run_id, 0 AS pos, 'additive_leakage' AS name, true AS critical,
-         'CRITICAL: a linear mix of the features gives the target, so the scores say nothing about prediction.' AS text
+         'CRITICAL: A linear mix of the features gives the target; the scores say nothing about prediction.' AS text
   FROM rr WHERE coalesce(derived_target, false)
   UNION ALL SELECT run_id, 1, 'leaked_features', true,
          printf('%d leaking column(s) taken out; no score includes them.', leaked_count)

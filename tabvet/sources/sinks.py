@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.util import MLReadable
 from pyspark.sql import DataFrame, SparkSession
@@ -30,33 +32,72 @@ def load_model(path: str, cls: type[MLReadable] = PipelineModel):
     return cls.load(path)
 
 
-def run_rows(spark: SparkSession, run_id: int, project_id: int, outcome, quality: dict | None,
-             attempts: list[dict], created_at: dt.datetime) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The ledger rows of one analysis: the run, one experiment row per
-    model (``is_selected`` on the best), one child run per round."""
-    best = max(outcome.experiments, key=lambda e: e["primary_metric_value"])
-    run = spark.createDataFrame(
-        [(run_id, None, project_id, "analysis", "succeeded", created_at, outcome.task_type,
-          float(best["primary_metric_value"]),
-          float(best["metrics"]["roc_auc"]) if "roc_auc" in best["metrics"] else None,
-          int(outcome.n_train), len(outcome.leaked_features), bool(outcome.additive))],
-        "run_id long, parent_run_id long, project_id long, agent_name string, status string, "
-        "created_at timestamp_ntz, task_type string, primary_value double, roc_auc double, n_train long, "
-        "leaked_count int, derived_target boolean")
-    exps = spark.createDataFrame(
-        [(run_id, e["model_name"], e["primary_metric"], float(e["primary_metric_value"]),
-          float(e["train_seconds"]), e["model_name"] == outcome.best_model) for e in outcome.experiments],
-        "run_id long, model_name string, primary_metric string, primary_metric_value double, "
-        "train_seconds double, is_selected boolean")
-    rounds = spark.createDataFrame(
-        [(run_id * 1000 + a["round"] + 1, run_id, project_id, f"training_round_{a['round']}", "succeeded",
-          created_at, a["best_model"], a["primary_metric"], float(a["primary_metric_value"]))
-         for a in attempts],
-        "run_id long, parent_run_id long, project_id long, agent_name string, status string, "
-        "created_at timestamp_ntz, best_model string, primary_metric string, primary_metric_value double")
-    return run, exps, rounds
-
-
-def append(df: DataFrame, path: str) -> None:
-    """Append rows to a ledger table (parquet, shared storage)."""
-    df.write.mode("append").parquet(path)
+# -------------------------------------------------------------------- S14
+#: Tables of the ledger and their columns; a commit writes all of them.
+LEDGER = {
+    "runs": "run_id long, parent_run_id long, project_id string, agent_name string, status string, created_at timestamp_ntz, error string, "
+            "task_type string, target_column string, primary_value double, roc_auc double, n_train long, leaked_count int, derived_target boolean, "
+            "leaked array<struct<name:string,score:double>>, additive struct<r2:double,contributors:string>, sampled_from long, best_model string, round_gate double",
+    "experiments": "run_id long, model_name string, primary_metric string, primary_metric_value double, train_seconds double, is_selected boolean",
+    "importances": "run_id long, encoded string, importance double",
+}
+
+
+def _new_id() -> int:
+    return int.from_bytes(os.urandom(7))
+
+
+def run_rows(run, project: str, created_at: dt.datetime) -> dict[str, list[tuple]]:
+    """The ledger rows of one analysis (:class:`tabvet.plans.loop.Run`): the
+    run, a child run for each round, an experiment per model, and importances."""
+    run_id, o = _new_id(), run.outcome
+    status = "failed" if run.error else "succeeded"
+    row = dict.fromkeys(("task_type", "target_column", "primary_value", "roc_auc", "n_train", "leaked_count", "derived_target", "leaked", "additive",
+                         "sampled_from", "best_model", "round_gate"))
+    experiments, importances = [], []
+    if o is not None:
+        best = next(e for e in o.experiments if e["model_name"] == o.best_model)
+        auc = best["metrics"].get("roc_auc")
+        row = {"task_type": o.task_type, "target_column": o.target_column, "primary_value": float(best["primary_metric_value"]),
+               "roc_auc": None if auc is None else float(auc), "n_train": int(o.n_train), "leaked_count": len(o.leaked_features),
+               "derived_target": bool(o.additive), "leaked": [(n, float(s)) for n, s in o.leaked_features],
+               "additive": (float(o.additive["r2"]), o.additive["contributors"]) if o.additive else None, "sampled_from": o.sampled_from,
+               "best_model": o.best_model, "round_gate": float(run.quality["gate_value"]) if run.quality else None}
+        experiments = [(run_id, e["model_name"], e["primary_metric"], float(e["primary_metric_value"]), float(e["train_seconds"]),
+                        e["model_name"] == o.best_model) for e in o.experiments]
+        importances = [(run_id, f["feature"], float(f["importance"])) for f in (run.explanation or {}).get("features") or []]
+    runs = [(run_id, None, project, "analysis", status, created_at, run.error, *row.values())]
+    for a in run.attempts:
+        child = dict.fromkeys(row) | {"task_type": a["task_type"], "target_column": a["target_column"], "primary_value": float(a["primary_metric_value"]),
+                                      "best_model": a["best_model"], "round_gate": float(a["gate_value"])}
+        runs.append((_new_id(), run_id, project, f"training_round_{a['round']}", "succeeded", created_at, None, *child.values()))
+    return {"runs": runs, "experiments": experiments, "importances": importances}
+
+
+def record_run(spark: SparkSession, ledger: str, run, project: str = "default", created_at: dt.datetime | None = None) -> str:
+    """Add one analysis to the ledger in the folder ``ledger``; returns the commit.
+
+    The tables' rows are written first, each under the commit's own folder,
+    and one manifest row last. Readers take committed rows only, so a run that
+    dies on the way leaves nothing to be seen.
+    """
+    commit = f"{_new_id():014x}"
+    rows = run_rows(run, project, created_at or dt.datetime.now())
+    for name, schema in LEDGER.items():
+        spark.createDataFrame(rows[name], schema).coalesce(1).write.parquet(f"{ledger}/{name}/commit={commit}")
+    _commit(spark, ledger, commit)
+    return commit
+
+
+def _commit(spark: SparkSession, ledger: str, commit: str) -> None:
+    spark.createDataFrame([(commit,)], "commit string").coalesce(1).write.mode("append").parquet(f"{ledger}/manifest")
+
+
+def read_ledger(spark: SparkSession, ledger: str, name: str) -> DataFrame:
+    """The committed rows of one table of the ledger (see ``LEDGER``); none when nothing was committed."""
+    try:
+        done = spark.read.schema("commit string").parquet(f"{ledger}/manifest")
+    except AnalysisException:  # no commit yet
+        return spark.createDataFrame([], LEDGER[name])
+    rows = spark.read.schema(f"{LEDGER[name]}, commit string").parquet(f"{ledger}/{name}")
+    return rows.join(done, "commit", "left_semi").drop("commit")
