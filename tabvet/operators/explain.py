@@ -6,9 +6,9 @@
   evaluated for many leaves and rows at once with numpy inside
   ``mapInPandas``. Each task emits partial sums; one small aggregate
   finishes the mean |SHAP|.
-* E3 permutation importance on source columns: rows are repeated for every
-  (feature, repeat), ranked in two hash orders and scored by one grouped
-  aggregate.
+* E3 permutation importance on source columns: rows are ranked once, a
+  bijection of ranks deals a column's values to other rows, and one grouped
+  aggregate scores all copies.
 * E4/E5 map encoded names to source columns and fold scores.
 * E6 picks the method and degrades without raising.
 """
@@ -19,12 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
 from tabvet.functions import constants as K
-from tabvet.session import scratch_path
+from tabvet.functions.bijection import deal
+from tabvet.session import scratch_path, ship_package
 
 LOG = logging.getLogger(__name__)
 
@@ -231,42 +235,54 @@ def shap_local_accuracy(model, x: np.ndarray, classification: bool, positive_ind
 
 
 # -------------------------------------------------------------------- E3
+def ranked_rows(df: DataFrame, key: str, seed: int, n_rows: int, rows_per_task: int = 200_000) -> DataFrame:
+    """``df`` with ``_rank``, each row's place (from 0) in a seeded order of its
+    ``key``; written, so that all later reads see the same. Hash ranges cut
+    the ranking into tasks; their number doesn't change the result."""
+    ranges = -(-n_rows // rows_per_task) or 1
+    h = F.md5(F.concat_ws("|", F.col(f"`{key}`").cast("string"), F.lit(f"rank{seed}")))
+    at = (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") * ranges / float(1 << 32)).cast("int")
+    rows = df.withColumn("_h", h).withColumn("_r", at)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_r").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    inside = F.row_number().over(Window.partitionBy("_r").orderBy("_h", key)) - 1
+    out = rows.withColumn("_i", inside).join(F.broadcast(starts), F.col("_r") == F.col("_q")).withColumn("_rank", F.col("_i") + F.col("_s"))
+    path = scratch_path(df.sparkSession, "ranked")
+    out.drop("_h", "_r", "_q", "_s", "_i").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def permuted(df: DataFrame, numeric: list[str], categorical: list[str], key: str, repeats: int, seed: int,
              n_rows: int, rows_per_task: int = 200_000) -> DataFrame:
     """Every row once per (``_feature``, ``_repeat``), with that feature's
-    column permuted over all rows: the value of the row that is i-th in one
-    hash order of the key goes to the row that is i-th in another. Hash
-    ranges cut the ranking into tasks; their number doesn't change the
-    result. ``key`` should be distinct. Numeric columns become doubles."""
+    column permuted over all rows. ``key`` should be distinct. Numeric columns
+    become doubles.
+
+    Rows are ranked once. A bijection of the ranks for each feature and repeat
+    names the row that a value goes to, so only (rank, value) moves; the wide
+    rows meet their new values in one join and are copied in place.
+    """
     sources = numeric + categorical
-    ranges = -(-n_rows // rows_per_task) or 1
-    grid = F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.lit(r).alias("_repeat"))
-                               for f in sources for r in range(repeats)])).alias("_g")
-    group = ["_feature", "_repeat"]
-
-    def ranked(rows: DataFrame, way: str) -> DataFrame:
-        h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(f"{way}{seed}"), *group))
-        at = (F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * ranges / float(1 << 32)).cast("int")
-        rows = rows.withColumn("_h", h).withColumn("_r", at)
-        inside = F.row_number().over(Window.partitionBy(*group, "_r").orderBy("_h", key))
-        if ranges == 1:
-            return rows.withColumn("_i", inside).drop("_h", "_r")
-        before = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-        starts = (rows.groupBy(*group, "_r").agg(F.count(F.lit(1)).alias("_n"))
-                  .select(*group, "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s")))
-        return rows.withColumn("_i", inside).join(starts, [*group, "_r"]).withColumn("_i", F.col("_i") + F.col("_s")).drop("_h", "_r", "_s")
-
-    rows = df.select("*", grid).select("*", "_g.*").drop("_g")
-
-    def own(cols: list[str], kind: str) -> Column:
-        return F.coalesce(F.lit(None).cast(kind), *[F.when(F.col("_feature") == c, F.col(f"`{c}`").cast(kind)) for c in cols])
-
-    values = ranked(rows.select(key, *group, own(numeric, "double").alias("_num"), own(categorical, "string").alias("_text")),
-                    "from").drop(key)
-    dealt = ranked(rows, "to").join(values, [*group, "_i"])
-    swapped = [F.when(F.col("_feature") == c, F.col("_num")).otherwise(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric]
-    swapped += [F.when(F.col("_feature") == c, F.col("_text")).otherwise(F.col(f"`{c}`").cast("string")).alias(c) for c in categorical]
-    return dealt.select(*[F.col(f"`{c}`") for c in df.columns if c not in sources], *swapped, *group)
+    ship_package(df.sparkSession)
+    ranked = ranked_rows(df, key, seed, n_rows, rows_per_task)
+
+    @arrow_udf(LongType())
+    def dealt(ranks: pa.Array, features: pa.Array, repeat: pa.Array) -> pa.Array:
+        keys = (features.to_numpy(zero_copy_only=False).astype(np.int64) * repeats + repeat.to_numpy(zero_copy_only=False)) * 1_000_003 + seed
+        return pa.array(deal(ranks.to_numpy(zero_copy_only=False), n_rows, keys))
+
+    values = [F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").cast("double").alias("num") if c in numeric else F.lit(None).cast("double").alias("num"),
+                       F.lit(None).cast("string").alias("text") if c in numeric else F.col(f"`{c}`").cast("string").alias("text"))
+              for i, c in enumerate(sources)]
+    moved = (ranked.select("_rank", F.inline(F.array(*values))).withColumn("r", F.explode(F.array(*map(F.lit, range(repeats)))))
+             .select(dealt("_rank", "f", "r").alias("_to"), F.struct("f", "r", "num", "text").alias("v")))
+    received = moved.groupBy("_to").agg(F.collect_list("v").alias("_values"))  # features x repeats values for a row
+    copies = ranked.join(received, F.col("_rank") == F.col("_to")).withColumn("_v", F.explode("_values")).drop("_values", "_to", "_rank")
+    mine = F.col("_v.f")
+    swapped = [F.when(mine == i, F.col("_v.num")).otherwise(F.col(f"`{c}`").cast("double")).alias(c) if c in numeric else
+               F.when(mine == i, F.col("_v.text")).otherwise(F.col(f"`{c}`").cast("string")).alias(c) for i, c in enumerate(sources)]
+    return copies.select(*[F.col(f"`{c}`") for c in df.columns if c not in sources], *swapped,
+                         F.get(F.array(*map(F.lit, sources)), mine).alias("_feature"), F.col("_v.r").alias("_repeat"))
 
 
 def permutation_importance(model, prep, test_vec: DataFrame, key: str, classification: bool,
