@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import logging
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,39 +55,56 @@ class LeafGroup:
     value: np.ndarray  # (n, C) leaf value (already divided by the number of trees)
 
 
-def forest_tables(model, classification: bool) -> tuple[list[dict], int]:
-    """Node arrays per tree, from the saved model's node table."""
+#: Nodes of the trees of one block, about: what is built in one task and broadcast at once.
+BLOCK_NODES = 200_000
+
+
+def _tree(rows: pd.DataFrame, classification: bool) -> dict:
+    """Arrays of one tree from its rows of the node table."""
+    n = int(rows["id"].max()) + 1
+    left, right, feat = (np.full(n, -1, dtype=np.int64) for _ in range(3))
+    thr, cover, values = np.zeros(n), np.zeros(n), [None] * n
+    for r in rows.itertuples(index=False):
+        i, stats = int(r.id), np.asarray(r.impurityStats, dtype=float)
+        left[i], right[i] = int(r.leftChild), int(r.rightChild)
+        if classification:
+            cover[i] = stats.sum()
+            values[i] = stats / stats.sum() if stats.sum() > 0 else stats
+        else:
+            cover[i] = stats[0] if len(stats) else float(r.rawCount)
+            values[i] = np.array([float(r.prediction)])
+        if left[i] >= 0:
+            feat[i], thr[i] = int(r.feature), float(r.threshold)
+    return {"left": left, "right": right, "feat": feat, "thr": thr, "cover": cover, "values": values}
+
+
+def forest_blocks(model, classification: bool, block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, int, int]:
+    """``(block, payload)``: the leaf paths of each block of trees, built in
+    tasks from the saved model's node table; number of blocks; total nodes."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
+    ship_package(spark)
     path = scratch_path(spark, "forest")
     model.write().save(path)
-    rows = spark.read.parquet(path + "/data").select("treeID", "nodeData.*").toPandas()
-    trees = []
-    for tid, g in rows.groupby("treeID"):
-        g = g.sort_values("id")
-        n = int(g["id"].max()) + 1
-        left = np.full(n, -1, dtype=np.int64)
-        right = np.full(n, -1, dtype=np.int64)
-        feat = np.full(n, -1, dtype=np.int64)
-        thr = np.zeros(n)
-        cover = np.zeros(n)
-        values = [None] * n
-        for r in g.itertuples(index=False):
-            i = int(r.id)
-            left[i], right[i] = int(r.leftChild), int(r.rightChild)
-            stats = np.asarray(r.impurityStats, dtype=float)
-            if classification:
-                cover[i] = stats.sum()
-                values[i] = stats / stats.sum() if stats.sum() > 0 else stats
-            else:
-                cover[i] = stats[0] if len(stats) else float(r.rawCount)
-                values[i] = np.array([float(r.prediction)])
-            if left[i] >= 0:
-                feat[i] = int(r.split["featureIndex"])
-                thr[i] = float(r.split["leftCategoriesOrThreshold"][0])
-        trees.append({"left": left, "right": right, "feat": feat, "thr": thr, "cover": cover,
-                      "values": values})
-    return trees, int(sum(len(t["left"]) for t in trees))
+    n_trees, total = len(model.treeWeights), int(model.totalNumNodes)
+    per_block = max(1, n_trees * block_nodes // max(1, total))
+    nodes = spark.read.parquet(path + "/data").select(
+        F.floor(F.col("treeID") / per_block).cast("int").alias("block"), "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.prediction",
+        "nodeData.impurityStats", "nodeData.rawCount", F.col("nodeData.split.featureIndex").alias("feature"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        paths = leaf_groups([_tree(t, classification) for _, t in rows.groupby("treeID")], n_trees)
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "payload": [pickle.dumps(paths)]})
+
+    written = scratch_path(spark, "forest-blocks")
+    nodes.groupBy("block").applyInPandas(build, "block int, payload binary").write.parquet(written)
+    return spark.read.parquet(written), -(-n_trees // per_block), total
+
+
+def block_paths(blocks: DataFrame, block: int) -> tuple[list[LeafGroup], np.ndarray]:
+    """Leaf paths and expected value of one block: the part of the forest that the driver holds."""
+    return pickle.loads(bytes(blocks.where(F.col("block") == block).first()["payload"]))
 
 
 def leaf_groups(trees: list[dict], n_trees: int | None = None) -> tuple[list[LeafGroup], np.ndarray]:
@@ -173,50 +191,91 @@ def shap_values(x: np.ndarray, groups: list[LeafGroup], n_features: int, chunk:
 
 
 def tree_shap(model, test_vec: DataFrame, encoded: list[str], classification: bool,
-              positive_index: int = 1, max_rows: int | None = None, key: str | None = None
-              ) -> tuple[DataFrame, int, int]:
+              positive_index: int = 1, max_rows: int | None = None, key: str | None = None,
+              block_nodes: int = BLOCK_NODES) -> tuple[DataFrame, int, int]:
     """Mean |SHAP| per encoded feature over the explained rows: all of
     them, unless a ``max_rows`` budget is asked for. Rows with equal feature
-    vectors are explained once and weighted by their count.
+    vectors are explained once and weighted by their count. Trees are taken in
+    blocks of about ``block_nodes`` nodes, whose leaf paths alone are broadcast;
+    a row's values of several blocks are added up before their size is taken.
 
     Returns ``(scores DataFrame(encoded, importance), rows_explained,
     total_nodes)``. Binary classifiers explain the positive class; with more
     classes the mean over classes of |SHAP| is used.
     """
     spark = test_vec.sparkSession
-    trees, nodes = forest_tables(model, classification)
-    groups, _ = leaf_groups(trees)
+    blocks, n_blocks, nodes = forest_blocks(model, classification, block_nodes)
     n_features = len(encoded)
-    n_classes = groups[0].value.shape[1] if groups else 1
+    n_classes = int(model.numClasses) if classification else 1
     rows = test_vec
     if max_rows is not None:
         order = F.md5(F.col(key).cast("string")) if key else F.md5(F.to_json(F.col("features")))
         rows = test_vec.withColumn("_o", order).orderBy("_o").limit(max_rows).drop("_o")
-    bc = spark.sparkContext.broadcast(groups)
     arr = rows.groupBy(vector_to_array("features").alias("x")).agg(F.count(F.lit(1)).alias("w"))
-
-    def run(batches):
-        gs = bc.value
-        total = np.zeros(n_features)
-        count = 0
+    if n_blocks > 1:  # every block adds to the same rows
+        path = scratch_path(spark, "shap-rows")
+        arr.withColumn("i", F.monotonically_increasing_id()).write.parquet(path)
+        arr = spark.read.parquet(path)
+
+    def phis(groups, pdf):
+        x = np.stack(pdf["x"].to_numpy()).astype(float)
+        for s in range(0, len(x), 128):
+            yield s, shap_values(x[s:s + 128], groups, n_features)
+
+    def strength(phi: np.ndarray) -> np.ndarray:
+        """|SHAP| of each row and feature: of the positive class, the mean over classes, or the one value."""
+        if classification and n_classes == 2:
+            return np.abs(phi[:, :, positive_index])
+        return np.abs(phi).mean(axis=2)
+
+    def summed(total, count):
+        return pd.DataFrame({"idx": np.arange(n_features), "s": total, "n": np.full(n_features, count)})
+
+    def whole(shared):
+        def run(batches):
+            total, count = np.zeros(n_features), 0
+            for pdf in batches:
+                w = pdf["w"].to_numpy()
+                for s, phi in phis(shared.value, pdf) if len(pdf) else ():
+                    total += w[s:s + 128] @ strength(phi)
+                    count += int(w[s:s + 128].sum())
+            yield summed(total, count)
+        return run
+
+    def part(shared):
+        def run(batches):
+            for pdf in batches:
+                for s, phi in phis(shared.value, pdf) if len(pdf) else ():
+                    yield pd.DataFrame({"i": pdf["i"].to_numpy()[s:s + 128], "w": pdf["w"].to_numpy()[s:s + 128], "phi": list(phi.reshape(len(phi), -1))})
+        return run
+
+    def added(batches):
+        """Rows come sorted: the parts of a row are added up before its strength is taken."""
+        total, count, at, weight, phi = np.zeros(n_features), 0, None, 0, None
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["x"].to_numpy()).astype(float)
-            w = pdf["w"].to_numpy()
-            for s in range(0, x.shape[0], 128):
-                phi = shap_values(x[s:s + 128], gs, n_features)
-                if classification and n_classes == 2:
-                    a = np.abs(phi[:, :, positive_index])
-                elif classification:
-                    a = np.abs(phi).mean(axis=2)
-                else:
-                    a = np.abs(phi[:, :, 0])
-                total += w[s:s + 128] @ a
-                count += int(w[s:s + 128].sum())
-        yield pd.DataFrame({"idx": np.arange(n_features), "s": total, "n": np.full(n_features, count)})
-
-    partial = arr.mapInPandas(run, "idx long, s double, n long")
+            for i, w, p in zip(pdf["i"], pdf["w"], pdf["phi"], strict=True):
+                if i == at:
+                    phi = phi + np.asarray(p)
+                    continue
+                if at is not None:
+                    total += weight * strength(phi.reshape(1, n_features, -1))[0]
+                    count += weight
+                at, weight, phi = i, int(w), np.asarray(p)
+        if at is not None:
+            total += weight * strength(phi.reshape(1, n_features, -1))[0]
+            count += weight
+        yield summed(total, count)
+
+    schema = "idx long, s double, n long"
+    if n_blocks == 1:
+        partial = arr.mapInPandas(whole(spark.sparkContext.broadcast(block_paths(blocks, 0)[0])), schema)
+    else:
+        path = scratch_path(spark, "shap-parts")
+        for k in range(n_blocks):
+            shared = spark.sparkContext.broadcast(block_paths(blocks, k)[0])
+            arr.mapInPandas(part(shared), "i long, w long, phi array<double>").write.mode("append").parquet(path)
+            shared.destroy()
+        partial = spark.read.parquet(path).repartition("i").sortWithinPartitions("i").mapInPandas(added, schema)
     names = spark.createDataFrame([(i, e) for i, e in enumerate(encoded)], "idx long, encoded string")
     agg = partial.groupBy("idx").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     scores = (agg.join(F.broadcast(names), "idx")
@@ -227,9 +286,9 @@ def tree_shap(model, test_vec: DataFrame, encoded: list[str], classification: bo
 
 def shap_local_accuracy(model, x: np.ndarray, classification: bool, positive_index: int = 1):
     """Sum of SHAP values plus the expected value, per row (for tests)."""
-    trees, _ = forest_tables(model, classification)
-    groups, expected = leaf_groups(trees)
-    phi = shap_values(x, groups, x.shape[1])
+    blocks, n_blocks, _ = forest_blocks(model, classification)
+    parts = [block_paths(blocks, k) for k in range(n_blocks)]
+    phi, expected = sum(shap_values(x, groups, x.shape[1]) for groups, _ in parts), sum(e for _, e in parts)
     idx = positive_index if classification else 0
     return phi[:, :, idx].sum(axis=1) + expected[idx]
 

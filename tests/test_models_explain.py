@@ -34,6 +34,15 @@ def test_tree_shap_driver_outranks_noise(spark):
     assert n == 200 and s["a"] > s["b"] > s["c"]
 
 
+def test_tree_shap_by_blocks_of_trees(spark):
+    v = _forest_data(spark)
+    for est, cls in ((RandomForestClassifier(numTrees=7, maxDepth=4, seed=1), True), (RandomForestRegressor(numTrees=7, maxDepth=4, seed=1, labelCol="y"), False)):
+        m = est.fit(v)
+        assert E.forest_blocks(m, cls, 70)[1] >= 3 and E.forest_blocks(m, cls)[1] == 1
+        one, many = ({r["encoded"]: r["importance"] for r in E.tree_shap(m, v, ["a", "b", "c"], cls, block_nodes=n)[0].collect()} for n in (10**6, 70))
+        assert set(one) == set(many) and all(np.isclose(one[c], many[c], rtol=1e-9) for c in one)
+
+
 def test_shap_budget(spark):
     nodes = spark.createDataFrame([(653_372,), (10,), (3_000_000,), (0,)], "n long")
     rows, method = E.shap_budget(F.col("n"))
