@@ -106,3 +106,16 @@ def rnd(c, digits: int) -> Column:
 def hash_order(*cols: Column) -> Column:
     """Portable deterministic ordering key (md5 hex agrees across engines)."""
     return F.md5(F.concat_ws("|", *[c.cast("string") for c in cols]))
+
+
+def row_digest(df: DataFrame) -> list[Column]:
+    """128 bits of a whole row as two hashes ``d1, d2``; nulls count, and 0.0 equals -0.0 as in a group-by."""
+    cols = [F.col(f"`{n}`") + F.lit(0.0) if cls == "fractional" and dict(df.dtypes)[n] in ("double", "float") else F.col(f"`{n}`")
+            for n, cls in column_classes(df)]
+    nulls = F.concat_ws("", *[F.when(c.isNull(), "1").otherwise("0") for c in cols])
+    return [F.xxhash64(F.lit(seed), nulls, *cols).alias(f"d{seed}") for seed in (1, 2)]
+
+
+def shared_digests(df: DataFrame) -> DataFrame:
+    """``(d1, d2, cnt)`` of the rows that occur more than once: only digests are shuffled, hot ones combined before."""
+    return df.select(*row_digest(df)).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1")

@@ -8,14 +8,14 @@ aggregate whose result is one row per table, never the data itself.
 from __future__ import annotations
 
 import logging
-
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvet.functions.constants import MISSING_MARKERS
-from tabvet.functions.exprs import column_classes, is_marker, strip
+from tabvet.functions.exprs import column_classes, is_marker, row_digest, shared_digests, strip
+from tabvet.session import scratch_path
 
 REPORT_SCHEMA = ("step int, action string, detail string, rows_affected bigint, "
                  "columns string")
@@ -93,13 +93,18 @@ def drop_empty_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 # -------------------------------------------------------------------- C4
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+def drop_duplicate_rows(df: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """C4: exact duplicates removed (nulls compare equal).
 
-    A hash aggregate over all columns: duplicated hot rows collapse in the
-    map-side combine, so skew does not reach one reducer.
+    Rows with a digest of their own stay where they are; only rows of a
+    ``shared`` digest (found first, unless given) are compared whole.
     """
-    return df.dropDuplicates()
+    shared = shared if shared is not None else shared_digests(df)
+    d1, d2 = row_digest(df)
+    marked = df.select("*", d1.alias("_d1"), d2.alias("_d2")).join(shared.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), "cnt").withColumnRenamed("cnt", "_cnt"),
+                                                                  ["_d1", "_d2"], "left")
+    cols = [_col(c) for c in df.columns]
+    return marked.where("_cnt IS NULL").select(*cols).unionByName(marked.where("_cnt IS NOT NULL").select(*cols).dropDuplicates())
 
 
 # -------------------------------------------------------------------- C5
@@ -121,43 +126,37 @@ def clean(df: DataFrame, markers=MISSING_MARKERS) -> Cleaned:
     spark = df.sparkSession
     trimmed = trim_text(df)
     nulled = normalise_missing(trimmed, markers)
-    no_empty, dropped = drop_empty_columns(nulled)
-    deduped = drop_duplicate_rows(no_empty)
-
-    # Keep column order for trim (as the reference reports it): order by position.
-    pos = {c: i for i, c in enumerate(df.columns)}
-    pos_df = spark.createDataFrame([(c, i) for c, i in pos.items()], "column_name string, position int")
-    trim_rows = (trim_counts(df).where(F.col("rows_changed") > 0).join(F.broadcast(pos_df), "column_name")
-                 .agg(F.lit(1).alias("step"), F.lit("trim_whitespace").alias("action"),
-                      F.lit(TRIM_DETAIL).alias("detail"), F.lit(0).cast("long").alias("rows_affected"),
-                      F.array_join(F.transform(F.sort_array(F.collect_list(
-                          F.struct("position", "column_name"))), lambda s: s["column_name"]), ",")
-                      .alias("columns"), F.count(F.lit(1)).alias("n")))
-    miss_rows = (missing_counts(trimmed, markers).where(F.col("n_nulled") > 0)
-                 .agg(F.lit(2).alias("step"), F.lit("normalise_missing").alias("action"),
-                      F.lit(MISSING_DETAIL).alias("detail"),
-                      F.sum("n_nulled").cast("long").alias("rows_affected"),
-                      F.array_join(F.sort_array(F.collect_list("column_name")), ",").alias("columns"),
-                      F.count(F.lit(1)).alias("n")))
-    empty_rows = spark.createDataFrame(
-        [(3, "drop_empty_columns", EMPTY_DETAIL, 0, ",".join(dropped), len(dropped))],
-        "step int, action string, detail string, rows_affected bigint, columns string, n bigint")
-    n_before = df.agg(F.count(F.lit(1)).alias("rows_before"))
-    n_after = deduped.agg(F.count(F.lit(1)).alias("rows_after"))
-    n_mid = no_empty.agg(F.count(F.lit(1)).alias("rows_mid"))
-    dupe_rows = (n_mid.crossJoin(n_after)
-                 .select(F.lit(4).alias("step"), F.lit("drop_duplicate_rows").alias("action"),
-                         F.lit(DEDUPE_DETAIL).alias("detail"),
-                         (F.col("rows_mid") - F.col("rows_after")).alias("rows_affected"),
-                         F.lit("").alias("columns"),
-                         (F.col("rows_mid") - F.col("rows_after")).alias("n")))
-    report = (trim_rows.unionByName(miss_rows).unionByName(empty_rows).unionByName(dupe_rows)
-              .where(F.col("n") > 0).drop("n"))
-    summary = (n_before.crossJoin(n_after).crossJoin(report.agg(F.count(F.lit(1)).alias("n_actions")))
-               .select("rows_before", "rows_after",
-                       F.lit(len(df.columns)).cast("long").alias("columns_before"),
-                       F.lit(len(deduped.columns)).cast("long").alias("columns_after"),
-                       (F.col("n_actions") > 0).alias("changed")))
+    texts = set(text_columns(df))
+    # One scan for all counts: what trimming changes, what becomes null, what is left.
+    counts = []
+    for i, c in enumerate(df.columns):
+        value, cut = _col(c), strip(_col(c))
+        gone = cut.isNotNull() & is_marker(cut, markers)
+        counts.append(F.struct(
+            F.lit(i).alias("position"),
+            (F.count_if(value != cut) if c in texts else F.lit(0).cast("long")).alias("trimmed"),
+            (F.count_if(gone) if c in texts else F.lit(0).cast("long")).alias("nulled"),
+            (F.count(F.when(value.isNotNull() & ~gone, 1)) if c in texts else F.count(value)).alias("left")))
+    facts = df.agg(F.count(F.lit(1)).alias("n"), F.array(*counts).alias("cols")).first()
+    cols = [(df.columns[r["position"]], r) for r in facts["cols"]]
+    dropped = [c for c, r in cols if r["left"] == 0]
+    no_empty = nulled.drop(*dropped)
+    # And one for the digests of rows that occur more than once, written as the table and its count both need them.
+    path = scratch_path(spark, "shared-rows")
+    shared_digests(no_empty).write.parquet(path)
+    shared = spark.read.schema("d1 long, d2 long, cnt long").parquet(path)
+    repeats = shared.agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0))).first()[0]
+    deduped = drop_duplicate_rows(no_empty, shared)
+
+    cut, gone = [c for c, r in cols if r["trimmed"]], [c for c, r in cols if r["nulled"]]
+    actions = [(1, "trim_whitespace", TRIM_DETAIL, 0, ",".join(cut), len(cut)),
+               (2, "normalise_missing", MISSING_DETAIL, sum(r["nulled"] for _, r in cols), ",".join(sorted(gone)), len(gone)),
+               (3, "drop_empty_columns", EMPTY_DETAIL, 0, ",".join(dropped), len(dropped)),
+               (4, "drop_duplicate_rows", DEDUPE_DETAIL, repeats, "", repeats)]
+    taken = [a[:-1] for a in actions if a[-1]]
+    report = spark.createDataFrame(taken, REPORT_SCHEMA)
+    summary = spark.createDataFrame([(facts["n"], facts["n"] - repeats, len(df.columns), len(no_empty.columns), bool(taken))],
+                                    "rows_before long, rows_after long, columns_before long, columns_after long, changed boolean")
     return Cleaned(deduped, report, summary, dropped)
 
 

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabvet.operators import ask as Q
 from tabvet.operators import clean as C
+from tabvet.operators import profile as P
 
 
 def test_trim_then_markers_then_empty_then_dedupe(spark):
@@ -77,3 +79,18 @@ def test_all_null_group_sums_to_zero(spark):
     assert out == {"a": 0.0, "b": 2.0}
     out = {r["group"]: r["metric"] for r in Q.aggregate(df, "g", "v", "mean").collect()}
     assert out["a"] is None
+
+
+def test_duplicates_by_digest(spark):
+    rows = [(1, "a", None), (1, "a", None), (1, None, "a"), (None, "a", "1"), (2, "x", "y"), (2, "x", "y"), (2, "x", "y")]
+    df = spark.createDataFrame(rows, "i int, s string, t string").selectExpr("*", "CASE WHEN i = 1 THEN double('NaN') WHEN i = 2 THEN -0.0D ELSE 0.0D END AS d")
+    df = df.unionByName(df.where("i = 2").withColumn("d", F.lit(0.0)))
+    assert P.duplicate_rows(df).first()[0] == 6
+    key = lambda r: repr(tuple(r)).replace("-0.0", "0.0")
+    got = sorted(map(key, C.drop_duplicate_rows(df).collect()))
+    assert got == sorted(map(key, df.dropDuplicates().collect())) and len(got) == 4
+    cleaned = C.clean(df.withColumn("e", F.lit(" n/a ")))
+    assert [tuple(r) for r in cleaned.summary.collect()] == [(10, 4, 5, 4, True)] and cleaned.dropped_columns == ["e"]
+    assert {r["action"]: r["rows_affected"] for r in cleaned.report.collect()} == {
+        "trim_whitespace": 0, "normalise_missing": 10, "drop_empty_columns": 0, "drop_duplicate_rows": 6}
+    assert cleaned.table.count() == 4 and C.clean(df.limit(0)).table.count() == 0
