@@ -916,25 +916,38 @@ SELECT {i} AS position, '{c}' AS column_name, CASE
 
 
 def _dialect_dir(spark, sf: str) -> str:
-    """Write customer in four dialects and two encodings (one file each)."""
-    from pyspark.sql import functions as F
+    """customer in four dialects and the documents in two encodings, three files each."""
     base = scratch_path(spark, "dialects")
-    cust = relation(spark, sf, "customer")
     for name, sep in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", "|")):
-        (cust.coalesce(1).write.option("header", True).option("sep", sep).csv(f"{base}/{name}"))
-    # latin-1 text with accents, from the French documents' first lines
-    docs = (relation(spark, sf, "documents").where(F.col("lang") == "fr")
-            .select("doc_id", F.substring_index("text", "\n", 1).alias("line")))
-    docs.coalesce(1).write.option("header", True).option("sep", ";").option("encoding", "ISO-8859-1") \
-        .csv(f"{base}/latin1")
+        relation(spark, sf, "customer").repartition(3, "c_custkey").write.option("header", True).option("sep", sep).csv(f"{base}/{name}")
+    for name, charset in (("utf8", "UTF-8"), ("latin1", "ISO-8859-1")):
+        _documents_csv(spark, sf, f"{base}/{name}", charset, 3)
     return base
 
 
-_reg("sniff_encoding", lambda s, sf: S.sniff(s, _dialect_dir(s, sf) + "/*", "*.csv").select(
-    "encoding", "delimiter").groupBy("encoding", "delimiter").count(), None)
-_reg("sniff_delimiter", lambda s, sf: S.sniff(s, _dialect_dir(s, sf) + "/*", "*.csv").select(
-    __import__("pyspark.sql.functions", fromlist=["regexp_extract"]).regexp_extract("path", r"/([a-z0-9]+)/part-", 1)
-    .alias("dialect"), "delimiter", "encoding"), None)
+def _documents_csv(spark, sf: str, path: str, charset: str, files: int) -> None:
+    (relation(spark, sf, "documents").repartition(files, "doc_id").write.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"')
+     .option("encoding", charset).csv(path))
+
+
+def _sniffed(spark, sf):
+    from pyspark.sql import functions as F
+    return S.sniff(spark, _dialect_dir(spark, sf) + "/*", "*.csv").withColumn("dialect", F.regexp_extract("path", r"/([a-z0-9]+)/part-", 1))
+
+
+def _scan_latin1(spark, sf):
+    path = scratch_path(spark, "latin1")
+    _documents_csv(spark, sf, path, "ISO-8859-1", 2)
+    return S.scan(spark, path)[0]
+
+
+_reg("sniff_encoding", lambda s, sf: _sniffed(s, sf).groupBy("dialect", "encoding").count(), """
+SELECT dialect, CASE WHEN dialect = 'latin1' THEN 'latin-1' ELSE 'utf-8' END AS encoding, CAST(3 AS BIGINT) AS count
+FROM (VALUES ('comma'), ('semicolon'), ('tab'), ('pipe'), ('utf8'), ('latin1')) d(dialect)""")
+_reg("sniff_delimiter", lambda s, sf: _sniffed(s, sf).groupBy("dialect", "delimiter").count(), """
+SELECT dialect, delimiter, CAST(3 AS BIGINT) AS count
+FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|'), ('utf8', ';'), ('latin1', ';')) d(dialect, delimiter)""")
+_reg("scan_csv_latin1", _scan_latin1, "SELECT doc_id, text, lang, source, n_chars FROM documents")
 
 
 def _repair(spark, sf):
