@@ -539,6 +539,29 @@ def _q(select: str, extra: str = "", fixtures=("fx_runs", "fx_importances")) ->
 
 _reg("quality_checks", lambda s, sf: G.quality_checks(_runs(s, sf), _imps(s, sf)),
      _q("SELECT run_id, ord, name, coalesce(passed, false) AS passed, gating, detail FROM checks"))
+def _named_runs(spark, sf):
+    """Runs that also know which columns leaked, what the target is a mix of, and what was sampled."""
+    from pyspark.sql import functions as F
+    score = F.lit(0.95) + F.pmod("run_id", F.lit(5)) / 100.0
+    leaked = F.array(F.struct(F.lit("late").alias("name"), F.lit(0.951).alias("score")), F.struct(F.concat(F.lit("col"), F.col("run_id") % 7).alias("name"), score.alias("score")))
+    return _runs(spark, sf).select("*", F.when(F.col("leaked_count") > 0, leaked).alias("leaked"),
+                                   F.when(F.col("derived_target"), F.struct(F.lit(0.9912).alias("r2"), F.lit("a,b").alias("contributors"))).alias("additive"),
+                                   F.when(F.col("run_id") % 3 == 0, F.col("run_id") + 1000).alias("sampled_from"))
+
+
+_LEAK_NAMES = """CASE WHEN 0.95 + run_id % 5 / 100.0 > 0.951 THEN printf('col%d (%.3f), late (0.951)', run_id % 7, CAST(0.95 + run_id % 5 / 100.0 AS DOUBLE))
+       ELSE printf('late (0.951), col%d (%.3f)', run_id % 7, CAST(0.95 + run_id % 5 / 100.0 AS DOUBLE)) END"""
+_MIX_TEXT = "A linear mix of the features gives the target (R2 0.9912: a,b)"
+_reg("quality_checks_named", lambda s, sf: G.quality_checks(_named_runs(s, sf)).where("name IN ('target_leakage', 'target_is_derived')").select(
+    "run_id", "name", "passed", "detail"), with_ctes(f"""
+SELECT run_id, 'target_leakage' AS name, leaked_count = 0 AS passed, CASE WHEN leaked_count = 0 THEN 'Leak scan clean.' ELSE {_LEAK_NAMES} || ' taken out.' END AS detail FROM fx_runs
+UNION ALL SELECT run_id, 'target_is_derived', NOT derived_target,
+  CASE WHEN derived_target THEN '{_MIX_TEXT}.' ELSE 'No linear mix of the features gives the target.' END FROM fx_runs""", "fx_runs"))
+_reg("findings_named", lambda s, sf: G.findings(_named_runs(s, sf)).where("name IN ('additive_leakage', 'leaked_features', 'sampled_from')").select(
+    "run_id", "name", "critical", "text"), with_ctes(f"""
+SELECT run_id, 'additive_leakage' AS name, true AS critical, 'CRITICAL: {_MIX_TEXT}; the scores say nothing about prediction.' AS text FROM fx_runs WHERE derived_target
+UNION ALL SELECT run_id, 'leaked_features', true, {_LEAK_NAMES} || ' taken out; no score includes them.' FROM fx_runs WHERE leaked_count > 0
+UNION ALL SELECT run_id, 'sampled_from', false, printf('Fitted on a sample out of %d rows.', run_id + 1000) FROM fx_runs WHERE run_id % 3 = 0""", "fx_runs"))
 _reg("quality_verdict", lambda s, sf: G.verdict(_runs(s, sf), _imps(s, sf)), _q("SELECT * FROM verd"))
 _reg("dead_features", lambda s, sf: G.dead_features(_imps(s, sf)), with_ctes("""
 SELECT run_id, encoded, CASE WHEN total > 0 THEN abs(importance) / total END AS share,
