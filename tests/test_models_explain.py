@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -65,3 +65,41 @@ def test_training_removes_leak_and_adds_indicator(spark):
     assert [n for n, _ in o.leaked_features] == ["alive"]
     assert ("missing:measured", "measured (was missing)") in o.prep.encoded()
     assert o.n_train + o.n_test == 600 and o.best_model == "logistic_regression"
+
+
+def test_rows_that_no_tree_tells_apart_are_explained_once(spark):
+    v = _forest_data(spark)
+    m = RandomForestClassifier(numTrees=3, maxDepth=3, seed=1).fit(v)
+    nodes = E.node_table(m)
+    x = vector_to_array("features")
+    both = v.select(x.alias("x"), E.told_apart(x, nodes, 3).alias("t")).toPandas()
+    assert len({tuple(t) for t in both["t"]}) < len({tuple(t) for t in both["x"]}) / 3
+    blocks, _, _ = E.forest_blocks(m, True)
+    groups, _ = E.block_paths(blocks, 0)
+    phi, same = (E.shap_values(np.stack(both[c].to_numpy()), groups, 3) for c in ("x", "t"))
+    assert (phi == same).all()
+    scores = {r["encoded"]: r["importance"] for r in E.tree_shap(m, v, ["a", "b", "c"], True)[0].collect()}
+    assert np.allclose([scores[c] for c in "abc"], np.abs(phi[:, :, 1]).mean(axis=0), rtol=1e-9)
+
+
+def test_forest_points_count_every_row(spark):
+    rows = spark.range(40_000).selectExpr("cast(id % 3 = 0 as double) label", "array(sqrt(id), cast(id % 2 as double)) x")
+    v = rows.select("label", array_to_vector("x").alias("features"))
+    points = MD.forest_points(v, 2, [0], 40_000, points=1000).select("label", vector_to_array("features").alias("x"), "weight").toPandas()
+    assert np.isclose(points["weight"].sum(), 40_000) and points["weight"].max() <= 40
+    assert len(points) <= 1000 + 64 * 2 * 2 and len({x[0] for x in points["x"]}) <= 64
+    byclass = points.groupby("label")["weight"].sum()
+    assert np.isclose(byclass[1.0], 13_334) and np.isclose(byclass[0.0], 26_666)
+
+
+def test_forest_is_fitted_on_weighted_points(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id", "rand(1) a", "rand(2) b").selectExpr("*", "cast(a + 0.3 * b > 0.7 as int) survived")
+    monkeypatch.setattr(MD, "FOREST_POINTS", 10**6)
+    by_rows = MD.train(df, "survived", "classification", key="id", model_names=["random_forest"], trees=10)
+    seen = []
+    monkeypatch.setattr(MD, "FOREST_POINTS", 1000)
+    monkeypatch.setattr(MD, "forest_points", lambda *a, f=MD.forest_points: seen.append(f(*a, points=1000)) or seen[-1])
+    merged = MD.train(df, "survived", "classification", key="id", model_names=["random_forest"], trees=10)
+    assert np.isclose(seen[0].agg(F.sum("weight")).first()[0], merged.n_train)
+    one, other = (o.experiments[0]["primary_metric_value"] for o in (by_rows, merged))
+    assert abs(one - other) < 0.03 and other > 0.9
