@@ -162,3 +162,15 @@ def test_long_values_are_counted_by_digest(spark):
     top = [(r["value"], r["count"]) for r in P.top_values(df, 5).orderBy("rank").collect()]
     assert top == [(f"{long}0", 3), (f"{long}1", 3), (f"{long}2", 3), ("short", 3), ("s0", 1)]
     assert {r["value"] for r in P.sample_values(df, 94).collect()} == {r[0] for r in rows}
+
+
+def test_only_texts_that_could_be_dates_are_parsed(spark, sf):
+    from tabvet.functions.exprs import looks_like_date, parse_datetime
+    from tabvet.sources.fixtures import relation
+    ids = relation(spark, sf, "fx_sum").select(F.col("row_id").alias("t"))
+    assert ids.where(looks_like_date(F.col("t"))).isEmpty()
+    dates = relation(spark, sf, "fx_dates")
+    texts = dates.select(F.explode(F.array(*[F.col(c) for c, kind in dates.dtypes if kind == "string"])).alias("t")).unionByName(ids)
+    for day in (True, False):
+        parsed = parse_datetime(F.col("t"), F.lit(day)).isNotNull()
+        assert texts.where(parsed & ~looks_like_date(F.col("t"))).isEmpty() and not texts.where(parsed).isEmpty()
