@@ -103,3 +103,17 @@ def test_forest_is_fitted_on_weighted_points(spark, monkeypatch):
     assert np.isclose(seen[0].agg(F.sum("weight")).first()[0], merged.n_train)
     one, other = (o.experiments[0]["primary_metric_value"] for o in (by_rows, merged))
     assert abs(one - other) < 0.03 and other > 0.9
+
+
+def test_training_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        made.add(1)
+        return x
+
+    df = spark.range(900).selectExpr("id", "rand(1) a", "rand(2) b").select("id", "a", noted("b").alias("b"), F.expr("cast(a > 0.6 as int) survived"))
+    o = MD.train(df, "survived", "classification", key="id", model_names=["logistic_regression"])
+    assert made.value == 900 and o.n_train + o.n_test == 900
+    assert o.test.columns == ["id", "label", "a", "b", "features"] == o.train.columns

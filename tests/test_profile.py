@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tabvet.functions import exprs as X
 from tabvet.functions.moments import pair_correlations
 from tabvet.functions.quantiles import column_medians, grouped_quantile, select_ranks, sortable, unsorted
 from tabvet.operators import profile as P
@@ -174,3 +175,17 @@ def test_only_texts_that_could_be_dates_are_parsed(spark, sf):
     for day in (True, False):
         parsed = parse_datetime(F.col("t"), F.lit(day)).isNotNull()
         assert texts.where(parsed & ~looks_like_date(F.col("t"))).isEmpty() and not texts.where(parsed).isEmpty()
+
+
+def test_dates_are_told_from_ids_whatever_their_separators(spark):
+    texts = ["2020-01-05", "2020-01-05 01:02:03", "2020-01-05T01:02:03", "2020-01-05 01:02", "2020/1/5", "5-Mar-2020", "15-Mar-2020", "Mar 5 2020", "20200105",
+             "1/5/2020", "13/5/2020", "1/5/2020 1:02", "01/05/2020 1:02:03", "2020-01-05T01:02:03.5Z", "2020-01-05 01:02:03+0530"]
+    ids = ["123456-1-155-770-211", "1-2-3", "12-34", "ab/cd", "12345678901", "", "4000-1-7-8-9"]
+    df = spark.createDataFrame([(t,) for t in texts + ids] + [(None,)], "t string")
+    got = {r["t"]: (r["d"], r["p"] is not None) for r in df.select("t", X.looks_like_date(F.col("t")).alias("d"), X.parse_datetime(F.col("t"), F.lit(True)).alias("p")).collect()}
+    assert all(got[t] == (True, True) for t in texts) and not any(got[t][0] or got[t][1] for t in ids)
+    days = ["13/5/2020", "1/2/2020"]
+    prof = P.profiled(spark.createDataFrame([(days[i % 2], f"{i}-1", i % 3 == 0) for i in range(40)], "day string, id string, flag boolean"))
+    rows = {r["column_name"]: r for r in prof.collect()}
+    assert rows["day"]["dt_parsed"] == 40 and rows["day"]["dt_parsed_min"] == "2020-02-01 00:00:00" and rows["day"]["unique_count"] == 2
+    assert rows["id"]["dt_parsed"] == 0 and rows["id"]["unique_count"] == 40 and rows["id"]["len_max"] == 4 and rows["flag"]["len_min"] == 4
