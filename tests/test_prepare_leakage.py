@@ -91,7 +91,7 @@ def test_split_takes_digits_made_before(spark):
 def test_contingency_counts_bins(spark):
     rows = [(i % 2, float(i), v, t) for i, (v, t) in enumerate([(0.0, "a"), (-0.0, "nan"), (None, None), (float("nan"), "a")] * 10)]
     df = spark.createDataFrame(rows, "y int, wide double, few double, t string")
-    ct = {tuple(r) for r in LK.contingency(df, "y", ["wide", "few", "t"]).select("feature", "x", "y", "n").collect()}
+    ct = {tuple(r) for r in LK.contingency(df, "y", ["wide", "few", "t"], 10).select("feature", "x", "y", "n").collect()}
     assert {r for r in ct if r[0] == "few"} == {("few", "0.0", "0.0", 10), ("few", "-0.0", "1.0", 10), ("few", "nan", "0.0", 10), ("few", "nan", "1.0", 10)}
     assert {r for r in ct if r[0] == "t"} == {("t", "a", "0.0", 10), ("t", "nan", "1.0", 10), ("t", "nan", "0.0", 10), ("t", "a", "1.0", 10)}
     assert {r for r in ct if r[0] == "wide"} == {("wide", str(b), y, 2) for b in range(10) for y in ("0.0", "1.0")}
