@@ -9,10 +9,13 @@ of every prefix key. Component ids need fewer: there prefix keys are worked in
 two rounds, the first pairs every class with its neighbours in orders that put
 similar sets side by side, which is linear in the key's size; the second takes
 all pairs that the first left in different components.
+Tables of a few thousand ids (classes, pairs, labels) are broadcast up to a
+bound and shuffled beyond it, with the same result.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BooleanType
 
-from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, components, mix, prepare, row_keys, saved, unused, word_hashes
+from tabvet.llm.common import as_bytes, bits_for, bloom_has, bloom_pair, few, lookup, mix, prepare, row_keys, saved, stars, unused, word_hashes
 
 WORDS, PERCENT = 5, 80
 #: Entries of the table of frequent shingles that sets the order: a bound on
@@ -111,7 +114,7 @@ class JaccardJoin:
         classes = scanned.where("kind = 0 AND n > 0").groupBy("c")
         self._suffix = classes.agg(F.any_value("cells").alias("cells"))
         self._orders = classes.agg(F.any_value("o1").alias("o1"), F.any_value("o2").alias("o2"), F.any_value("b").alias("b"))
-        self._shared = self._links = None
+        self._shared = self._links = self._labels = None
         self._order = self._frequent(scanned.where("kind = 1").select("c", "n"))
 
     # ---------------------------------------------------------------- scanning
@@ -201,32 +204,36 @@ class JaccardJoin:
         out = (pairs.select(low.alias("x"), high.alias("y"))
                .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
         if checked is not None:
-            out = out.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        return saved(self._suffixes(out), "join-pairs")
+            out = out.join(lookup(checked.select("a", "b")), ["a", "b"], "left_anti")
+        return saved(self._suffixes(saved(out, "join-candidates")), "join-pairs")
 
     def _suffixes(self, pairs: DataFrame) -> DataFrame:
         """Suffix filter: sets split by hash ranges cannot share more than the smaller part of each."""
         one = self._suffix.select(F.col("c").alias("a"), F.col("cells").alias("ca"))
         two = self._suffix.select(F.col("c").alias("b"), F.col("cells").alias("cb"))
         need = _need(F.col("na"), F.col("nb"), self.percent).cast("bigint")
-        return pairs.join(one, "a").join(two, "b").where(_may_share(F.col("ca"), F.col("cb"), need)).drop("ca", "cb")
+        return one.join(lookup(pairs), "a").join(two, "b").where(_may_share(F.col("ca"), F.col("cb"), need)).drop("ca", "cb")
 
     # ---------------------------------------------------------------- verification
-    def _fetch(self, wanted: DataFrame) -> DataFrame:
-        """(c, shingles) of the wanted classes. A Bloom filter of bounded size
-        keeps other documents' sets on the map side; the join makes it exact."""
-        n_words = self.words
-        bits_log2 = bits_for(wanted.count(), 16, LOW_BITS, HIGH_BITS)
-        once, _ = bloom_pair(wanted, lambda b: b.column(0).to_numpy().view(np.uint64), bits_log2)
-        shared = self.spark.sparkContext.broadcast(once)
+    def _fetch(self, wanted: DataFrame, listed: bool) -> DataFrame:
+        """(c, shingles) of the wanted classes. Their list, if few, or else a
+        Bloom filter of bounded size keeps other documents' sets on the map
+        side; the join makes it exact."""
+        n_words, bits_log2 = self.words, 0
+        if listed:
+            kept = np.sort(wanted.toArrow().column("c").to_numpy())
+        else:
+            bits_log2 = bits_for(wanted.count(), 16, LOW_BITS, HIGH_BITS)
+            kept = np.frombuffer(bloom_pair(wanted, lambda b: b.column(0).to_numpy().view(np.uint64), bits_log2)[0], np.uint8)
+        shared = self.spark.sparkContext.broadcast(kept)
 
         def fetch(batches):
-            bits, done = np.frombuffer(shared.value, np.uint8), set()
+            kept, done = shared.value, set()
             for part in _chunks(batches, CHUNK):
                 sets = _sets(part.column(1), n_words)
                 cs = np.array([_class_of(s) for s in sets], np.int64)
                 out = []
-                for i in np.flatnonzero(bloom_has(bits, cs.view(np.uint64), bits_log2)):
+                for i in np.flatnonzero(np.isin(cs, kept) if listed else bloom_has(kept, cs.view(np.uint64), bits_log2)):
                     if int(cs[i]) not in done:
                         done.add(int(cs[i]))
                         out.append(i)
@@ -237,21 +244,22 @@ class JaccardJoin:
                                                      ["c", "shingles"])
 
         found = self.docs.mapInArrow(fetch, "c bigint, shingles array<bigint>")
-        return saved(found.join(wanted, "c", "left_semi").dropDuplicates(["c"]), "join-sets")
+        return saved((found if listed else found.join(wanted, "c", "left_semi")).dropDuplicates(["c"]), "join-sets")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked): exact intersection of both sets."""
-        sets = self._fetch(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("c")).distinct())
+        sets = self._fetch(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).select(F.col("a").alias("c")).distinct(), few(pairs))
         one = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa"))
         two = sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", _linked(F.col("sa"), F.col("sb"), F.lit(self.percent)).alias("linked"))
+        return one.join(lookup(pairs), "a").join(two, "b").select("a", "b", _linked(F.col("sa"), F.col("sb"), F.lit(self.percent)).alias("linked"))
 
     # ---------------------------------------------------------------- the join
     def _keys(self) -> DataFrame:
-        """(k, c, n, i) of the prefix keys that two classes or more share."""
+        """(k, c, n, i, o1, o2, b) of the prefix keys that two classes or more share."""
         if self._shared is None:
             rows = self._prefixes().repartition("k").groupBy("k", "c", "n").agg(F.min("i").alias("i"))
-            self._shared = saved(rows.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("here > 1").drop("here"), "join-prefixes")
+            shared = rows.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("here > 1").drop("here")
+            self._shared = saved(shared.join(self._orders, "c"), "join-rows")
         return self._shared
 
     def links(self) -> DataFrame:
@@ -259,7 +267,7 @@ class JaccardJoin:
         that pass the filters, each verified once. Classes stand for their
         documents, whose sets are equal; ``link_counts`` counts by document."""
         if self._links is None:
-            rows = saved(self._keys().join(self._orders, "c").select("k", F.struct(*ROW).alias("v")), "join-rows")
+            rows = self._keys().select("k", F.struct(*ROW).alias("v"))
             x, y = rows.alias("x"), rows.alias("y")
             every = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v.c") < F.col("y.v.c")) & self._may(F.col("x.v"), F.col("y.v")))
                      .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
@@ -287,31 +295,45 @@ class JaccardJoin:
         """(node, label) of each linked class, for component ids only: pairs
         that an earlier round has already put in one component aren't looked
         for, as they can't change it. ``links`` gives all links."""
+        ends = [table.select(F.col(end).alias("node")) for table in self._stars() for end in ("node", "label")]
+        return self._labelled(reduce(DataFrame.unionByName, ends).distinct(), "node")
+
+    def _labelled(self, rows: DataFrame, c: str) -> DataFrame:
+        """``rows`` with the label of their class ``c``'s component: the class itself if it links with none."""
+        rows = rows.withColumn("label", F.col(c))
+        for table in self._stars():
+            rows = (rows.withColumnRenamed("label", "was").join(lookup(table.select(F.col("node").alias("was"), "label")), "was", "left")
+                    .withColumn("label", F.coalesce("label", "was")).drop("was"))
+        return rows
+
+    def _stars(self) -> list[DataFrame]:
+        """Two tables (node, label): the first takes classes to the components
+        that neighbours' links make, the second takes those to the final ones."""
+        if self._labels is not None:
+            return self._labels
         by_key = Window.partitionBy("k")
         shared = self._keys()
         # MinHash orders give the likeliest neighbours, an order by chance other ones for every key.
-        near = _neighbours(shared.join(self._orders, "c"), [(("o1", "o2"), 1), (("o2", "o1"), 1), ((F.xxhash64("k", "c"),), 2)])
+        near = _neighbours(shared, [(("o1", "o2"), 1), (("o2", "o1"), 1), ((F.xxhash64("k", "c"),), 2)])
         checked = saved(self._verify(self._candidates(near.where(self._may(F.col("x"), F.col("y"))))), "join-checked")
-        found = checked.where("linked").select("a", "b")
-        label = components(found, "join").select(F.col("node").alias("c"), "label")
-        apart = (shared.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-                 .withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key)).where("lo <> hi"))
-        rows = saved(apart.drop("lo", "hi").join(self._orders, "c").select("k", "label", F.struct(*ROW).alias("v")), "join-apart")
+        self._labels = [stars(checked.where("linked").select("a", "b"), "join")]
+        apart = (self._labelled(shared, "c").withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key))
+                 .where("lo <> hi"))
+        rows = saved(apart.select("k", "label", F.struct(*ROW).alias("v")), "join-apart")
         x, y = rows.alias("x"), rows.alias("y")
         cross = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") < F.col("y.label")) & self._may(F.col("x.v"), F.col("y.v")))
                  .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
-        last = self._candidates(cross, checked)
-        enough = saved(found.unionByName(self._verify(last).where("linked").select("a", "b")), "join-links")
-        return components(enough, "join")
+        last = self._verify(self._candidates(cross, checked)).where("linked").select("a", "b")
+        ends = self._labelled(self._labelled(last, "a").withColumnRenamed("label", "la"), "b").select(F.col("la").alias("a"), F.col("label").alias("b"))
+        self._labels = [*self._labels, stars(saved(ends, "join-links"), "join")]
+        return self._labels
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
-        label = self.class_components()
-        least = (self.members.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("d"))
-                 .join(label.select(F.col("node").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c")))
-        heads = least.groupBy("label").agg(F.min("d").alias("component_id"))
-        names = least.join(heads, "label").select("c", "component_id")
-        return (self.members.where("n > 0").join(names, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        rows = self._labelled(self.members.where("n > 0"), "c")
+        # Written, as Spark splits the rows of a large component only if both sides of the join come straight from a shuffle.
+        heads = saved(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "join-heads")
+        return (rows.join(heads, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
                 .unionByName(self.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
 
 

@@ -457,6 +457,56 @@ def test_ngram_join_on_groups_of_copies(spark):
     assert Counter(map(tuple, ngram_join.digest_columns(some).collect())) == jaccard_by_hand(pairs)
 
 
+def near_copies(seed, n=40):
+    r, base, table = random.Random(seed), words(120, seed).split(), []
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(r.randrange(1, 5)):
+            copy[r.randrange(120)] = f"new{r.randrange(10**6)}"
+        table.append(" ".join(copy))
+    return table
+
+
+def test_ngram_join_deals_few_tasks(spark):
+    pairs = list(enumerate(near_copies(31) + near_copies(32, 10) + ["one two three"] * 20 + [words(60, 33 + i) for i in range(20)] + [None]))
+    some, sc, n = spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(3), spark.sparkContext, 31
+    held = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "")
+        assert Counter(map(tuple, ngram_join.digest_columns(some).collect())) == jaccard_by_hand(pairs)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    seen = sc.statusTracker()
+    stages = {k for j in seen.getJobIdsForGroup("few-tasks") for k in seen.getJobInfo(j).stageIds}
+    tasks = sum(x.numCompletedTasks for x in map(seen.getStageInfo, stages) if x)
+    assert 10 * n < tasks < 50 * n, tasks  # each shuffle deals n tasks
+
+
+def test_ngram_join_alike_by_broadcast_and_shuffle(spark, monkeypatch):
+    pairs = list(enumerate(near_copies(41, 25) + ["one two three"] * 3 + [words(60, 42), "", None]))
+    r = random.Random(43)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    some, links = spark.createDataFrame(pairs, "doc_id bigint, text string"), spark.createDataFrame(edges, "a bigint, b bigint")
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    for rows in (1 << 16, 0):  # all small tables broadcast, none broadcast
+        monkeypatch.setattr(common, "FEW", rows)
+        assert Counter(map(tuple, ngram_join.digest_columns(some).collect())) == jaccard_by_hand(pairs)
+        assert Counter(map(tuple, common.components(links, "t").collect())) == Counter(label.items())
+    join = ngram_join.JaccardJoin(some)
+    of = {x["c"]: x["doc_id"] for x in join.members.collect()}
+    size = Counter(x[2] for x in jaccard_by_hand(pairs[:25]))
+    assert {of[x["node"]] for x in join.class_components().collect()} == {x[0] for x in jaccard_by_hand(pairs[:25]) if size[x[2]] > 1}
+
+
 def test_ngram_join_gives_every_link(spark):
     r, base = random.Random(21), words(150, 13).split()
     table = [(i, " ".join([*base[:2 * i], f"new{i}", *base[2 * i + 1:]])) for i in range(40)]  # near copies of one text, all different
