@@ -4,8 +4,10 @@ Shingles are put in a rare-first order. A pair that reaches the threshold
 shares a shingle among the first few of both sets, so only those prefixes are
 joined; length, positional and suffix filters remove pairs before any set is
 fetched, and each pair left is verified once by exact intersection. Documents
-with equal sets are one class and never form pairs. ``links`` takes all pairs
-of every prefix key. Component ids need fewer: there prefix keys are worked in
+with equal sets are one class and never form pairs. Most shared prefix keys
+have a few classes: their pairs are made where the key's rows meet, and only
+rows of larger keys travel with their bitmaps. ``links`` takes all pairs of
+every prefix key. Component ids need fewer: there the larger keys are worked in
 two rounds, the first pairs every class with its neighbours in orders that put
 similar sets side by side, which is linear in the key's size; the second takes
 all pairs that the first left in different components.
@@ -34,6 +36,7 @@ WORDS, PERCENT = 5, 80
 FREQUENT = 1 << 20
 CELLS = 256  # of the suffix filter's histogram
 BITS = 512   # of its bitmap
+SMALL = 4    # classes of a prefix key up to which its pairs are all made at once
 MARKS = 1 << 22  # places of the table that tells at once that a shingle isn't frequent
 LOW_BITS, HIGH_BITS = 18, 28
 RECENT = 1 << 21  # shingles that a task remembers to notice repeats
@@ -112,9 +115,9 @@ class JaccardJoin:
         #: doc_id, n, c: one row per document; c names its class of equal sets.
         self.members = scanned.where("kind = 0").select("doc_id", "n", "c")
         classes = scanned.where("kind = 0 AND n > 0").groupBy("c")
-        self._suffix = classes.agg(F.any_value("cells").alias("cells"))
+        self._suffix = classes.agg(F.any_value("cells").alias("cells"), F.any_value("b").alias("bits"))
         self._orders = classes.agg(F.any_value("o1").alias("o1"), F.any_value("o2").alias("o2"), F.any_value("b").alias("b"))
-        self._shared = self._links = self._labels = None
+        self._met = self._shared = self._links = self._labels = None
         self._order = self._frequent(scanned.where("kind = 1").select("c", "n"))
 
     # ---------------------------------------------------------------- scanning
@@ -189,30 +192,35 @@ class JaccardJoin:
         return self.docs.mapInArrow(prefixes, "k bigint, c bigint, n int, i int")
 
     # ---------------------------------------------------------------- filters
-    def _may(self, one, two):
-        """Length, positional and suffix (bitmap) filters of two rows (c, n, i, b) of one key."""
-        (na, ia, ba), (nb, ib, bb) = ((x["n"], x["i"], x["b"]) for x in (one, two))
-        need = _need(na, nb, self.percent)
-        differ = sum((F.bit_count(F.get(ba, j).bitwiseXOR(F.get(bb, j))) for j in range(BITS // 64)), F.lit(0))
+    def _fits(self, one, two):
+        """Length and positional filters of two rows (c, n, i) of one key."""
+        (na, ia), (nb, ib) = ((x["n"], x["i"]) for x in (one, two))
         return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent)
-                & (F.least(na - ia, nb - ib) + F.least(ia, ib) >= need) & (differ <= na + nb - 2 * need))
+                & (F.least(na - ia, nb - ib) + F.least(ia, ib) >= _need(na, nb, self.percent)))
+
+    def _alike(self, na, nb, ba, bb):
+        """Suffix filter by the bitmaps of two sets of na and nb shingles."""
+        differ = sum((F.bit_count(F.get(ba, j).bitwiseXOR(F.get(bb, j))) for j in range(BITS // 64)), F.lit(0))
+        return differ <= na + nb - 2 * _need(na, nb, self.percent)
+
+    def _may(self, one, two):
+        """All filters of two rows (c, n, i, b) of one key."""
+        return self._fits(one, two) & self._alike(one["n"], two["n"], one["b"], two["b"])
 
     def _candidates(self, pairs: DataFrame, checked: DataFrame | None = None) -> DataFrame:
-        """Pairs (a, b, na, nb) of rows (x, y), each once, without those checked before and those that the histograms clear."""
-        low = F.when(F.col("x.c") < F.col("y.c"), F.struct("x.c", "x.n")).otherwise(F.struct("y.c", "y.n"))
-        high = F.when(F.col("x.c") < F.col("y.c"), F.struct("y.c", "y.n")).otherwise(F.struct("x.c", "x.n"))
-        out = (pairs.select(low.alias("x"), high.alias("y"))
-               .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct())
+        """Pairs (a, b, na, nb) of ``pairs``, each once, without those checked before and those that bitmaps and histograms clear."""
+        out = pairs.distinct()
         if checked is not None:
             out = out.join(lookup(checked.select("a", "b")), ["a", "b"], "left_anti")
         return saved(self._suffixes(saved(out, "join-candidates")), "join-pairs")
 
     def _suffixes(self, pairs: DataFrame) -> DataFrame:
-        """Suffix filter: sets split by hash ranges cannot share more than the smaller part of each."""
-        one = self._suffix.select(F.col("c").alias("a"), F.col("cells").alias("ca"))
-        two = self._suffix.select(F.col("c").alias("b"), F.col("cells").alias("cb"))
+        """Suffix filters: the bitmaps, and that sets split by hash ranges cannot share more than the smaller part of each."""
+        one = self._suffix.select(F.col("c").alias("a"), F.col("cells").alias("ca"), F.col("bits").alias("ba"))
+        two = self._suffix.select(F.col("c").alias("b"), F.col("cells").alias("cb"), F.col("bits").alias("bb"))
         need = _need(F.col("na"), F.col("nb"), self.percent).cast("bigint")
-        return one.join(lookup(pairs), "a").join(two, "b").where(_may_share(F.col("ca"), F.col("cb"), need)).drop("ca", "cb")
+        both = one.join(lookup(pairs), "a").join(two, "b").where(self._alike(*map(F.col, ("na", "nb", "ba", "bb"))))
+        return both.where(_may_share(F.col("ca"), F.col("cb"), need)).select("a", "b", "na", "nb")
 
     # ---------------------------------------------------------------- verification
     def _fetch(self, wanted: DataFrame, listed: bool) -> DataFrame:
@@ -255,11 +263,28 @@ class JaccardJoin:
 
     # ---------------------------------------------------------------- the join
     def _keys(self) -> DataFrame:
-        """(k, c, n, i, o1, o2, b) of the prefix keys that two classes or more share."""
-        if self._shared is None:
+        """(k, x, y) of the prefix keys that two classes or more share: every
+        pair x, y of the classes (c, n, i) of a small key that passes the first
+        filters, and every class x of a larger one, where y is null."""
+        if self._met is None:
             rows = self._prefixes().repartition("k").groupBy("k", "c", "n").agg(F.min("i").alias("i"))
-            shared = rows.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("here > 1").drop("here")
-            self._shared = saved(shared.join(self._orders, "c"), "join-rows")
+            shared = rows.withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("here > 1")
+            one, in_key = F.struct("c", "n", "i"), Window.partitionBy("k").orderBy("c")
+            before = F.array(*(F.lag(one, step).over(in_key) for step in range(1, SMALL)))
+            near = shared.select("k", "here", one.alias("x"), before.alias("ys"))
+            small = F.filter("ys", lambda y: y.isNotNull() & self._fits(F.col("x"), y))
+            alone = F.array(F.when(F.lit(False), F.col("x")))  # one null
+            self._met = saved(near.select("k", "x", F.explode(F.when(F.col("here") <= SMALL, small).otherwise(alone)).alias("y")), "join-keys")
+        return self._met
+
+    def _small(self) -> DataFrame:
+        """Pairs (a, b, na, nb) of the small keys, not distinct."""
+        return _ordered(self._keys().where("y IS NOT NULL"))
+
+    def _rows(self) -> DataFrame:
+        """(k, c, n, i, o1, o2, b) of the larger keys."""
+        if self._shared is None:
+            self._shared = saved(self._keys().where("y IS NULL").select("k", "x.*").join(self._orders, "c"), "join-rows")
         return self._shared
 
     def links(self) -> DataFrame:
@@ -267,11 +292,12 @@ class JaccardJoin:
         that pass the filters, each verified once. Classes stand for their
         documents, whose sets are equal; ``link_counts`` counts by document."""
         if self._links is None:
-            rows = self._keys().select("k", F.struct(*ROW).alias("v"))
+            rows = self._rows().select("k", F.struct(*ROW).alias("v"))
             x, y = rows.alias("x"), rows.alias("y")
             every = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v.c") < F.col("y.v.c")) & self._may(F.col("x.v"), F.col("y.v")))
                      .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
-            self._links = saved(self._verify(self._candidates(every)).where("linked").select("a", "b"), "join-all-links")
+            pairs = self._small().unionByName(_ordered(every))
+            self._links = saved(self._verify(self._candidates(pairs)).where("linked").select("a", "b"), "join-all-links")
         return self._links
 
     def link_counts(self) -> DataFrame:
@@ -312,18 +338,20 @@ class JaccardJoin:
         if self._labels is not None:
             return self._labels
         by_key = Window.partitionBy("k")
-        shared = self._keys()
+        shared = self._rows()
         # MinHash orders give the likeliest neighbours, an order by chance other ones for every key.
         near = _neighbours(shared, [(("o1", "o2"), 1), (("o2", "o1"), 1), ((F.xxhash64("k", "c"),), 2)])
-        checked = saved(self._verify(self._candidates(near.where(self._may(F.col("x"), F.col("y"))))), "join-checked")
+        pairs = self._small().unionByName(_ordered(near.where(self._may(F.col("x"), F.col("y")))))
+        checked = saved(self._verify(self._candidates(pairs)), "join-checked")
         self._labels = [stars(checked.where("linked").select("a", "b"), "join")]
+        # Pairs of small keys have all been checked.
         apart = (self._labelled(shared, "c").withColumn("lo", F.min("label").over(by_key)).withColumn("hi", F.max("label").over(by_key))
                  .where("lo <> hi"))
         rows = saved(apart.select("k", "label", F.struct(*ROW).alias("v")), "join-apart")
         x, y = rows.alias("x"), rows.alias("y")
         cross = (x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.label") < F.col("y.label")) & self._may(F.col("x.v"), F.col("y.v")))
                  .select(F.col("x.v").alias("x"), F.col("y.v").alias("y")))
-        last = self._verify(self._candidates(cross, checked)).where("linked").select("a", "b")
+        last = self._verify(self._candidates(_ordered(cross), checked)).where("linked").select("a", "b")
         ends = self._labelled(self._labelled(last, "a").withColumnRenamed("label", "la"), "b").select(F.col("la").alias("a"), F.col("label").alias("b"))
         self._labels = [*self._labels, stars(saved(ends, "join-links"), "join")]
         return self._labels
@@ -364,6 +392,13 @@ def _neighbours(rows: DataFrame, orders: list) -> DataFrame:
     return near.select("x", F.explode("ys").alias("y")).where("y IS NOT NULL")
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b, na, nb), a < b, of rows x and y."""
+    low, high = (F.when((F.col("x.c") < F.col("y.c")) == first, F.struct("x.c", "x.n")).otherwise(F.struct("y.c", "y.n")) for first in (True, False))
+    return (pairs.select(low.alias("x"), high.alias("y"))
+            .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")))
+
+
 @arrow_udf(BooleanType())
 def _may_share(ca: pa.Array, cb: pa.Array, need: pa.Array) -> pa.Array:
     out = []

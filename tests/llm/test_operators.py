@@ -507,6 +507,32 @@ def test_ngram_join_alike_by_broadcast_and_shuffle(spark, monkeypatch):
     assert {of[x["node"]] for x in join.class_components().collect()} == {x[0] for x in jaccard_by_hand(pairs[:25]) if size[x[2]] > 1}
 
 
+def test_ngram_join_deals_bitmaps_of_large_keys_only(spark, monkeypatch):
+    dealt = []
+
+    def spy(df, name):
+        out = common.saved(df, name)
+        if "k" in out.columns and {"b", "v"} & set(out.columns):  # rows of keys with their bitmaps
+            dealt.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "saved", spy)
+    small = [t for i, n in enumerate((2, 2, 2, 2, 3, 3, 4, 4)) for t in near_copies(60 + i, n)] + [words(60, 70), "tiny text", "tiny text", "", None]
+    pairs = list(enumerate(small))
+    some = spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(4)
+    assert Counter(map(tuple, ngram_join.digest_columns(some).collect())) == jaccard_by_hand(pairs)
+    assert dealt and not sum(dealt), dealt
+    pairs = list(enumerate(small + [t for i, n in enumerate((5, 6, 12)) for t in near_copies(80 + i, n)]))
+    some = spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(4)
+    found = set()
+    for classes in (2, 7):
+        monkeypatch.setattr(ngram_join, "SMALL", classes)
+        join = ngram_join.JaccardJoin(some)
+        assert Counter(map(tuple, join.result().collect())) == jaccard_by_hand(pairs)
+        found.add(frozenset(map(tuple, join.links().collect())))
+    assert sum(dealt) and len(found) == 1
+
+
 def test_ngram_join_gives_every_link(spark):
     r, base = random.Random(21), words(150, 13).split()
     table = [(i, " ".join([*base[:2 * i], f"new{i}", *base[2 * i + 1:]])) for i in range(40)]  # near copies of one text, all different
